@@ -10,6 +10,8 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,17 +32,41 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
     return builder.config(map=settings).getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the executors this package, once for each application.
+
+    Functions that run in Python workers are pickled by reference, so the workers must be
+    able to import them wherever they run.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="factloom-code-")) / "factloom.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
+
+
 def staging_dir(spark: SparkSession) -> str:
     """The shared folder that the session names in spark.checkpoint.dir.
 
     Only where it is unset (tests, a single machine) a folder under the system's
-    temporary folder is made and recorded in the session.
+    temporary folder is made and set as the context's checkpoint folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="factloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if current.isDefined():
+            found = current.get()
+        else:
+            found = tempfile.mkdtemp(prefix="factloom-")
+            spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 

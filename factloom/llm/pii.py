@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.session import ship_package
+
 KINDS = ("email", "ip", "card", "phone")
 SPANS = "array<struct<kind:string,start:int,end:int,disguised:boolean>>"
 
@@ -219,6 +221,7 @@ def all_spans(text: str | None) -> list[tuple[str, int, int, bool]]:
 
 def find_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds the array `pii` of the spans of every whole text."""
+    ship_package(df.sparkSession)
 
     @F.pandas_udf(SPANS)
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -230,6 +233,7 @@ def find_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Replaces each span by its kind in brackets."""
+    ship_package(df.sparkSession)
 
     @F.pandas_udf("string")
     def masked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

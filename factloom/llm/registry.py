@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import exact_dedup, pii, sharding, tokens, url_filter
+import corpus_pipeline
+from factloom.llm import decontamination, exact_dedup, packing, pii, sharding, simhash, tokens, toxicity, url_filter, warc
 from factloom.session import table
 
 SHARDS = 40
@@ -19,6 +20,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pieces_of(table(spark, sf_dir, "documents"), tokens.vocabulary())
+    return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.document_columns(table(spark, sf_dir, "documents"))
     return sharding.shard_rows(rows, SHARDS).select(
@@ -30,12 +36,32 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.group_rows(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = simhash.group_documents(table(spark, sf_dir, "documents"))
+    return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.digest_columns(decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark")))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = tokens.count_tokens(docs, tokens.vocabulary())
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "severity", "p_toxic", "grade", "toxic")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.digest_columns(pii.find_pii(docs))
@@ -58,10 +84,16 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM ranked""
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
+        "op2_packing": op2_packing,
         "op3_sharding": op3_sharding,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_simhash": op5_simhash,
+        "op6_decontamination": op6_decontamination,
         "op7_token_counts": op7_token_counts,
+        "op8_toxicity": op8_toxicity,
+        "op9_warc": op9_warc,
         "op10_pii": op10_pii,
+        "pipeline": corpus_pipeline.run,
     }
 
 

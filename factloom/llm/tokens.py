@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.session import ship_package
+
 SPLIT_CHARS = 1 << 16
 BATCH_BYTES = 1 << 20
 #: The pre-tokenisation pattern of byte-level BPE files.
@@ -138,6 +140,7 @@ def encoder(path: str) -> Encoder:
 
 def count_tokens(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """Adds n_bytes (UTF-8) and n_tokens."""
+    ship_package(df.sparkSession)
 
     @F.pandas_udf("bigint")
     def lengths(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.session import ship_package
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Host, path and decision, as the contract of the query states them.
@@ -97,6 +99,7 @@ _LOWERED = str.maketrans(UPPER, LOWER)
 
 def filter_urls(df: DataFrame, url: str = "url", *, rules=RULES, strict=None, soft=None, limit: float = LIMIT) -> DataFrame:
     """Adds host, path, rule, verdict and the vocabulary's hits to every row."""
+    ship_package(df.sparkSession)
     words = tuple(sorted((STRICT if strict is None else strict).items())), tuple(sorted((SOFT if soft is None else soft).items()))
 
     @F.pandas_udf(HITS)

@@ -2,12 +2,12 @@
 
 Features are the distinct lower-cased words of a text and the words' prefixes of 4 to 6
 letters, as presences. A bounded sample of labelled documents (at most TRAIN_ROWS, those
-with the smallest hash of the id) selects the features whose rate differs between toxic
-and clean texts by a Z_LIMIT-fold standard error, at most MAX_FEATURES of them.
+with the smallest hash of the id) selects the features whose rate in toxic texts is at least
+LIFT times that in clean ones, by a Z_LIMIT-fold standard error; at most MAX_FEATURES.
 
 Labels say only toxic or not, so severity grades are ordered by how much speaks for it:
 grade 0 is not toxic, and toxic sample texts are divided into GRADES - 1 equal parts by
-their number of selected features of toxic texts. The model has one weight vector shared
+their number of selected features. The model has one weight vector shared
 by all thresholds: P(grade <= k) = sigmoid(threshold_k - weights . features), fitted by
 gradient descent with an L2 penalty. Scores are the expected grade, the probability of
 any toxicity, and the decision `toxic` where that probability is at least LIMIT.
@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 from factloom.session import ship_package, stage
 
 TRAIN_ROWS = 8_192
-MAX_FEATURES = 4_096
+MAX_FEATURES = 2_048
 MIN_DOCUMENTS = 3
+LIFT = 10.0
 Z_LIMIT = 4.0
 GRADES = 4
 LIMIT = 0.5
@@ -93,7 +94,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
 
 
 def select_features(sample: DataFrame, limit: int = MAX_FEATURES) -> list[tuple[str, float]]:
-    """Features and z-scores, by the size of the score."""
+    """Features of toxic texts and their z-scores, the largest first."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, toxic = [], []
@@ -111,8 +112,9 @@ def select_features(sample: DataFrame, limit: int = MAX_FEATURES) -> list[tuple[
     counts = sample.select("text", "toxic").mapInArrow(emit, "feature string, toxic int").groupBy("feature").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
     rate = F.col("n") / (n0 + n1)
     z = (F.col("t") / n1 - (F.col("n") - F.col("t")) / n0) / F.sqrt(rate * (1 - rate) * (1 / n1 + 1 / n0) + 1e-12)
-    found = counts.filter(F.col("n") >= MIN_DOCUMENTS).select("feature", z.alias("z")).filter(F.abs("z") >= Z_LIMIT)
-    return [(r.feature, r.z) for r in found.orderBy(F.abs("z").desc(), "feature").limit(limit).collect()]
+    lift = ((F.col("t") + 0.5) / n1) / ((F.col("n") - F.col("t") + 0.5) / n0)
+    found = counts.filter((F.col("n") >= MIN_DOCUMENTS) & (lift >= LIFT)).select("feature", z.alias("z")).filter(F.col("z") >= Z_LIMIT)
+    return [(r.feature, r.z) for r in found.orderBy(F.col("z").desc(), "feature").limit(limit).collect()]
 
 
 def fit_thresholds(x: np.ndarray, grades: np.ndarray, levels: int, *, penalty: float = 1e-3, steps: int = 400, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +126,7 @@ def fit_thresholds(x: np.ndarray, grades: np.ndarray, levels: int, *, penalty: f
     moment, square = np.zeros(sum(sizes)), np.zeros(sum(sizes))
     for step in range(1, steps + 1):
         theta = first + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
-        cumulative = 1 / (1 + np.exp(-(theta - (x @ w)[:, None])))
+        cumulative = 1 / (1 + np.exp(np.clip((x @ w.astype(x.dtype))[:, None] - theta, -50, 50)))
         upper = np.concatenate([cumulative, np.ones((n, 1))], axis=1)
         lower = np.concatenate([np.zeros((n, 1)), cumulative], axis=1)
         rows = np.arange(n)
@@ -134,7 +136,7 @@ def fit_thresholds(x: np.ndarray, grades: np.ndarray, levels: int, *, penalty: f
         is_upper = (grades[:, None] == np.arange(levels - 1)).astype(float)
         is_lower = (grades[:, None] == np.arange(1, levels)).astype(float)
         d_theta = (is_lower - is_upper) * slope / p[:, None] * balance[:, None]
-        g_w = -(x.T @ d_theta.sum(axis=1)) + penalty * w
+        g_w = -(x.T @ d_theta.sum(axis=1).astype(x.dtype)) + penalty * w
         g_theta = d_theta.sum(axis=0)
         tails = np.cumsum(g_theta[::-1])[::-1]
         gradient = np.concatenate([g_w, [g_theta.sum()], tails[1:] * np.exp(gaps)])
@@ -160,11 +162,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, grades: i
             yield pd.Series([sorted({place[x] for w in words_of(t) for x in features_of(w) if x in place}) for t in texts])
 
     coded = sample.select("doc_id", "toxic", encoded("text").alias("x")).orderBy("doc_id").collect()  # at most `rows`
-    x, toxic = np.zeros((len(coded), len(place)), np.float64), np.array([int(r.toxic > 0) for r in coded])
+    x, toxic = np.zeros((len(coded), len(place)), np.float32), np.array([int(r.toxic > 0) for r in coded])
     for i, r in enumerate(coded):
         x[i, r.x] = 1
-    speaks = np.array([z > 0 for _, z in chosen])
-    strength = x[:, speaks].sum(axis=1)
+    strength = x.sum(axis=1)
     cuts = np.quantile(strength[toxic == 1], np.arange(1, grades - 1) / (grades - 1))
     grade = np.where(toxic == 1, 1 + (strength[:, None] > cuts).sum(axis=1), 0)
     levels = int(grade.max()) + 1

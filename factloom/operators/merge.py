@@ -42,8 +42,13 @@ def identity_key(template_id: str, columns: Sequence[str], values: str = "values
 
 
 def support(rows: DataFrame, template_id: str, columns: Sequence[str]) -> DataFrame:
-    """Identity and number of supporting rows; one partly aggregated shuffle."""
-    return rows.groupBy(identity_key(template_id, columns).alias("identity")).agg(F.count("*").alias("n_support"))
+    """Identity and number of supporting rows.
+
+    Rows are counted by spelling first, so each distinct spelling is normalised once.
+    """
+    parts = [F.col("values")[c].alias(c) for c in identity_columns(template_id, columns)]
+    spelled = rows.groupBy(F.struct(*parts).alias("values")).agg(F.count("*").alias("_n"))
+    return spelled.groupBy(identity_key(template_id, columns).alias("identity")).agg(F.sum("_n").alias("n_support"))
 
 
 def _item(kind: str, at: Column, name: Column, text: Column, norm: Column, payload: Column) -> Column:

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factloom.plans import curation
+
 FLAGSHIP = "merge_support"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(curation.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(curation.ORACLE)

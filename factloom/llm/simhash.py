@@ -256,13 +256,23 @@ def tables_for(rows: int, similarity: float = SIMILARITY, recall: float = RECALL
     return width, tables, math.floor(mean + 3 * math.sqrt(mean * (1 - mean / bits)))
 
 
-def _table_key(table: int, width: int, lanes: int) -> Column:
-    chosen = random.Random(f"{SEED}-{table}").sample(range(64 * lanes), width)
-    bit = lambda at: F.shiftrightunsigned(F.col("fp")[at // 64], at % 64).bitwiseAND(1)
-    key = F.lit(table << width).cast("bigint")
-    for place, at in enumerate(chosen):
-        key = key + F.shiftleft(bit(at), place)
-    return key
+def with_table_keys(prints: DataFrame, width: int, tables: int, lanes: int) -> DataFrame:
+    """n, fp and key: a row for every table, whose key is the table and its sampled bits."""
+    ship_package(prints.sparkSession)
+    chosen = [random.Random(f"{SEED}-{t}").sample(range(64 * lanes), width) for t in range(tables)]
+
+    @F.pandas_udf("array<bigint>")
+    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for given in batches:
+            values = np.array(given.tolist(), np.int64).reshape(-1, lanes)
+            out = np.empty((len(values), tables), np.int64)
+            for t, places in enumerate(chosen):
+                out[:, t] = t << width
+                for place, at in enumerate(places):
+                    out[:, t] += ((values[:, at // 64] >> (at % 64)) & 1) << place
+            yield pd.Series(list(out))
+
+    return prints.select("n", "fp", F.explode(keys("fp")).alias("key"))
 
 
 def similar_pairs(prints: DataFrame, rows: int, *, similarity: float = SIMILARITY, block: int = BLOCK, lanes: int = LANES) -> DataFrame:
@@ -272,7 +282,9 @@ def similar_pairs(prints: DataFrame, rows: int, *, similarity: float = SIMILARIT
     predecessor within the radius, which suffices to join the shard's groups.
     """
     width, tables, radius = tables_for(rows, similarity, lanes=lanes)
-    keyed = prints.select("n", "fp", F.explode(F.array(*[_table_key(t, width, lanes) for t in range(tables)])).alias("key"))
+    # Fingerprints fill few files but make many keys, so they are dealt to all cores.
+    dealt = prints.repartition(2 * prints.sparkSession.sparkContext.defaultParallelism, "n")
+    keyed = with_table_keys(dealt, width, tables, lanes)
     counts = stage(keyed.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1"), "similar-keys")
     blocks = (
         keyed.join(counts, "key")

@@ -17,8 +17,9 @@ Two kinds of shard keys:
   other 48 bits, by the same argument. No link is lost.
 - by similarity (`similar_pairs`): 256-bit fingerprints of five-word shingles, whose
   distance is concentrated around its mean for a similarity, in tables keyed by sampled
-  bits. The number of tables follows from the number of fingerprints and RECALL at the
-  least similarity. Pairs within the radius are verified by the exact Jaccard similarity.
+  bits. Proposed pairs are verified by the exact Jaccard similarity and give groups. Prefixes of
+  the shingle sets then find every pair of different groups that can be similar enough,
+  and these are verified too: no link is lost, and fingerprints only save work.
 
 Edge cases: null texts are empty; a text with no words has fingerprint 0 and is linked
 like any other; fewer words than a shingle form one shingle; texts of any length are
@@ -34,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +51,10 @@ WORDS = 5
 SIMILARITY = 0.8
 LANES = 4
 RECALL = 0.98
+#: For the order of prefixes: rows of the sample, sightings that make a shingle hot, and most hot shingles.
+HOT_SAMPLE = 1 << 16
+HOT_SEEN = 8
+HOT_MOST = 8192
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MASK = (1 << 64) - 1
 
@@ -87,10 +93,14 @@ def _mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def majorities(hashes: np.ndarray, lanes: int) -> list[int]:
+    """Lanes of the fingerprint of some hashes."""
+    return [_majority(_mixed(hashes, k)) if len(hashes) else 0 for k in range(lanes)]
+
+
 def fingerprint(text: str | None, words: int = 3, lanes: int = 1) -> list[int]:
     """The 64-bit lanes of a text's fingerprint."""
-    hashes = shingle_hashes(text, words)
-    return [_majority(_mixed(hashes, k)) if len(hashes) else 0 for k in range(lanes)]
+    return majorities(shingle_hashes(text, words), lanes)
 
 
 def _signed(x: int) -> int:
@@ -279,7 +289,8 @@ def similar_pairs(prints: DataFrame, rows: int, *, similarity: float = SIMILARIT
     """Candidate pairs a < b of numbers (column n) of wide fingerprints (column fp).
 
     In every shard a fingerprint is paired with its nearest and its smallest-numbered
-    predecessor within the radius, which suffices to join the shard's groups.
+    predecessor within the radius. These are proposals only: some fail verification, and
+    the links that they would have stood for are left to `missing_pairs`.
     """
     width, tables, radius = tables_for(rows, similarity, lanes=lanes)
     # Fingerprints fill few files but make many keys, so they are dealt to all cores.
@@ -341,31 +352,180 @@ def proposals(tree: list[tuple[int, int]], queries: list[tuple[int, int]], radiu
     return sorted(out)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """n, id and root of every row: rows of one root are near-duplicates of each other.
+def hot_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
+    """Hashes of shingles that many rows of a sample share, the rarest first.
 
-    docs must have a row number n. Links have an exact Jaccard similarity of the sets of
-    `words`-word shingles of at least `similarity`.
+    They only order the prefixes; which links are found doesn't depend on them.
     """
+    rows = docs.count()
+    part = min(1 / 16, HOT_SAMPLE / max(1, rows))
+
+    @F.pandas_udf("array<bigint>")
+    def shingle_set(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts])
+
+    sample = docs.filter(F.pmod(F.xxhash64("n"), F.lit(1 << 20)) < int(part * (1 << 20)))
+    counts = sample.select(F.explode(shingle_set("_text")).alias("token")).groupBy("token").count()
+    found = counts.filter(F.col("count") >= HOT_SEEN).orderBy(F.desc("count"), "token").limit(HOT_MOST).collect()
+    return np.array([r.token for r in reversed(found)], np.int64)
+
+
+def least_common(size: int, similarity: float) -> int:
+    """Shingles that a set of this size shares with any set that is similar enough."""
+    return math.ceil(similarity * size - 1e-9)
+
+
+def with_prefix(docs: DataFrame, hot: np.ndarray, *, words: int = WORDS, similarity: float = SIMILARITY, lanes: int = LANES) -> DataFrame:
+    """n, fp, prefix, cold and size of the distinct shingles of each text (column _text).
+
+    Shingles are ordered by hash, hot ones last in the
+    order of `hot`. The prefix is so long that two sets similar enough share one of it;
+    its first `cold` shingles aren't hot.
+    """
+    ship_package(docs.sparkSession)
+    places = np.argsort(hot)
+    ordered = hot[places]
+
+    @F.pandas_udf("struct<fp:array<bigint>,prefix:array<bigint>,cold:int,size:int>")
+    def described(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        def row(text) -> tuple:
+            hashes = np.unique(shingle_hashes(text, words))
+            fp = [_signed(x) for x in fingerprint(text, words, lanes)]
+            tokens, taken = hashes.view(np.int64), len(hashes) - least_common(len(hashes), similarity) + 1 if len(hashes) else 0
+            cold = len(tokens)
+            if len(ordered):
+                at = np.minimum(np.searchsorted(ordered, tokens), len(ordered) - 1)
+                warm = ordered[at] == tokens
+                tokens = np.concatenate((tokens[~warm], hot[np.sort(places[at[warm]])]))
+                cold -= int(warm.sum())
+            return fp, tokens[:taken], min(cold, taken), len(hashes)
+
+        for texts in batches:
+            yield pd.DataFrame([row(t) for t in texts], columns=["fp", "prefix", "cold", "size"])
+
+    return docs.select("n", described("_text").alias("d")).select("n", "d.*")
+
+
+def may_be_similar(size_a: np.ndarray, at_a: np.ndarray, size_b: np.ndarray, at_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets whose first common shingle has these places can be similar enough."""
+    most = np.minimum(size_a - at_a, size_b - at_b)
+    return most >= similarity / (1 + similarity) * (size_a + size_b) - 1e-9
+
+
+def _cold_pairs(postings: DataFrame, similarity: float) -> DataFrame:
+    """Pairs a, b of different groups that share a shingle few rows have."""
+    ship_package(postings.sparkSession)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def paired(rows: np.ndarray) -> pa.RecordBatch:
+            token, n, group, size, at = rows
+            firsts, seconds, left, step = [], [], np.arange(len(token)), 1
+            while len(left := left[left + step < len(token)]) and len(left := left[token[left] == token[left + step]]):
+                i, j = left, left + step
+                fits = (group[i] != group[j]) & may_be_similar(size[i], at[i], size[j], at[j], similarity)
+                firsts.append(n[i[fits]])
+                seconds.append(n[j[fits]])
+                step += 1
+            none = np.empty(0, np.int64)
+            a, b = np.concatenate([none, *firsts]), np.concatenate([none, *seconds])
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        rest = np.empty((5, 0), np.int64)
+        for batch in batches:
+            rows = np.concatenate((rest, np.array([c.to_numpy() for c in batch.columns], np.int64).reshape(5, -1)), axis=1)
+            if not rows.shape[1]:
+                continue
+            cut = np.searchsorted(rows[0], rows[0, -1])  # the last shingle may go on
+            rest = rows[:, cut:]
+            yield paired(rows[:, :cut])
+        yield paired(rest)
+
+    dealt = postings.select("token", "n", "group", F.col("size").cast("bigint"), F.col("at").cast("bigint"))
+    return dealt.repartition("token").sortWithinPartitions("token").mapInArrow(search, "a bigint, b bigint")
+
+
+def _hot_pairs(postings: DataFrame, similarity: float, block: int) -> DataFrame:
+    """The same for shingles that many rows have.
+
+    Rows of a shingle's largest group need no pairs among themselves, so only the others
+    are asked, against blocks of all.
+    """
+    ship_package(postings.sparkSession)
+    groups = postings.groupBy("token", "group").agg(F.count("*").alias("_n"))
+    counts = groups.groupBy("token").agg(
+        F.sum("_n").alias("_n"), F.count("*").alias("_groups"), F.max(F.struct("_n", "group"))["group"].alias("_largest")
+    )
+    counts = stage(counts.filter("_groups > 1").drop("_groups"), "similar-hot")
+    packed = F.array("n", "group", F.col("size").cast("bigint"), F.col("at").cast("bigint"))
+    kept = (
+        postings.join(counts, "token")
+        .withColumn("_asks", F.col("group") != F.col("_largest"))
+        .withColumn("_block", F.pmod(F.xxhash64("n"), F.ceil(F.col("_n") / block)).cast("int"))
+    )
+    blocks = stage(kept.groupBy("token", "_block", "_asks").agg(F.flatten(F.collect_list(packed)).alias("members")), "similar-blocks")
+
+    @F.pandas_udf("struct<a:array<bigint>,b:array<bigint>>")
+    def search(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for asked, members in batches:
+            rows = []
+            for x, y in zip(asked, members, strict=True):
+                x, y = (np.asarray(v, np.int64).reshape(-1, 4) for v in (x, y))
+                fits = (x[:, None, 1] != y[None, :, 1]) & may_be_similar(x[:, None, 2], x[:, None, 3], y[None, :, 2], y[None, :, 3], similarity)
+                i, j = np.nonzero(fits)
+                rows.append((np.minimum(x[i, 0], y[j, 0]), np.maximum(x[i, 0], y[j, 0])))
+            yield pd.DataFrame(rows, columns=["a", "b"])
+
+    asked = blocks.filter("_asks").select("token", F.col("_block").alias("_asking"), F.col("members").alias("asked"))
+    # Two blocks that both ask meet once.
+    met = blocks.join(asked, "token").filter("not _asks or _asking >= _block")
+    found = met.select(search("asked", "members").alias("p"))
+    return found.select(F.inline(F.arrays_zip("p.a", "p.b"))).toDF("a", "b")
+
+
+def missing_pairs(prefixes: DataFrame, *, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """All pairs a < b of different groups (column group) that can be similar enough."""
+    postings = prefixes.select("n", "group", "size", "cold", F.posexplode("prefix").alias("at", "token"))
+    cold = _cold_pairs(postings.filter("at < cold"), similarity)
+    return cold.unionByName(_hot_pairs(postings.filter("at >= cold"), similarity, block)).distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs whose shingle sets have at least this Jaccard similarity."""
 
     @F.pandas_udf("array<bigint>")
     def shingle_set(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts])
 
-    prints = with_fingerprint(docs.select("n", F.col(text_col).alias("_text")), "_text", words=words, lanes=LANES).drop("_text")
-    prints = stage(prints, "similar-prints")
-    first = stage(prints.groupBy("fp").agg(F.min("n").alias("n")), "similar-distinct")
-    pairs = stage(similar_pairs(first, first.count(), similarity=similarity, block=block), "similar-pairs")
-    equal = prints.join(first.withColumnRenamed("n", "_first"), "fp").filter("n <> _first").select(F.col("_first").alias("a"), F.col("n").alias("b"))
-    pairs = pairs.unionByName(equal).distinct()
     named = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
-    sets = stage(docs.select("n", text_col).join(named, "n").select("n", shingle_set(F.col(text_col)).alias("s")), "similar-sets")
+    sets = stage(docs.join(named, "n").select("n", shingle_set("_text").alias("s")), "similar-sets")
     both = pairs.join(sets.select(F.col("n").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("n").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
-    links = both.filter((union == 0) | (common >= similarity * union)).select("a", "b")
-    return components(links)
+    return both.filter((union == 0) | (common >= similarity * union)).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """n, id and root of every row: rows of one root are near-duplicates of each other.
+
+    docs must have a row number n. Links have an exact Jaccard similarity of the sets of
+    `words`-word shingles of at least `similarity`. First those are linked
+    that the fingerprints propose, then every pair of different groups that
+    the prefixes leave possible; so the groups are those of all pairs compared.
+    """
+    docs = docs.select("n", F.col(text_col).alias("_text"))
+    rule = {"words": words, "similarity": similarity}
+    prints = stage(with_prefix(docs, hot_shingles(docs, words), **rule), "similar-prints")
+    first = stage(prints.groupBy("fp").agg(F.min("n").alias("n")), "similar-distinct")
+    equal = prints.select("n", "fp").join(first.select("fp", F.col("n").alias("_first")), "fp").filter("n <> _first")
+    equal = stage(equal.select(F.col("_first").alias("a"), F.col("n").alias("b")), "similar-equal")
+    pairs = stage(similar_pairs(first.select("n", "fp"), first.count(), similarity=similarity, block=block), "similar-pairs")
+    links = stage(verified(pairs.unionByName(equal).distinct(), docs, **rule), "similar-links")
+    groups = components(links)
+    grouped = prints.drop("fp").join(groups.withColumnRenamed("node", "n"), "n", "left").withColumn("group", F.coalesce("root", "n"))
+    rest = stage(missing_pairs(grouped, similarity=similarity, block=block), "similar-missing")
+    return components(links.unionByName(verified(rest, docs, **rule)))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -17,7 +17,7 @@ Two kinds of shard keys:
   other 48 bits, by the same argument. No link is lost.
 - by similarity (`similar_pairs`): 256-bit fingerprints of five-word shingles, whose
   distance is concentrated around its mean for a similarity, in tables keyed by sampled
-  bits. Proposed pairs are verified by the exact Jaccard similarity and give groups. Prefixes of
+  bits. Equal sets are linked first. Proposed pairs are verified by the exact Jaccard similarity and give groups. Prefixes of
   the shingle sets then find every pair of different groups that can be similar enough,
   and these are verified too: no link is lost, and fingerprints only save work.
 
@@ -377,9 +377,9 @@ def least_common(size: int, similarity: float) -> int:
 
 
 def with_prefix(docs: DataFrame, hot: np.ndarray, *, words: int = WORDS, similarity: float = SIMILARITY, lanes: int = LANES) -> DataFrame:
-    """n, fp, prefix, cold and size of the distinct shingles of each text (column _text).
+    """n, key, fp, prefix, cold and size of the distinct shingles of each text (column _text).
 
-    Shingles are ordered by hash, hot ones last in the
+    key is a digest of the whole set. Shingles are ordered by hash, hot ones last in the
     order of `hot`. The prefix is so long that two sets similar enough share one of it;
     its first `cold` shingles aren't hot.
     """
@@ -387,7 +387,7 @@ def with_prefix(docs: DataFrame, hot: np.ndarray, *, words: int = WORDS, similar
     places = np.argsort(hot)
     ordered = hot[places]
 
-    @F.pandas_udf("struct<fp:array<bigint>,prefix:array<bigint>,cold:int,size:int>")
+    @F.pandas_udf("struct<key:binary,fp:array<bigint>,prefix:array<bigint>,cold:int,size:int>")
     def described(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         def row(text) -> tuple:
             hashes = np.unique(shingle_hashes(text, words))
@@ -399,10 +399,10 @@ def with_prefix(docs: DataFrame, hot: np.ndarray, *, words: int = WORDS, similar
                 warm = ordered[at] == tokens
                 tokens = np.concatenate((tokens[~warm], hot[np.sort(places[at[warm]])]))
                 cold -= int(warm.sum())
-            return fp, tokens[:taken], min(cold, taken), len(hashes)
+            return xxhash.xxh3_128_digest(hashes.tobytes()), fp, tokens[:taken], min(cold, taken), len(hashes)
 
         for texts in batches:
-            yield pd.DataFrame([row(t) for t in texts], columns=["fp", "prefix", "cold", "size"])
+            yield pd.DataFrame([row(t) for t in texts], columns=["key", "fp", "prefix", "cold", "size"])
 
     return docs.select("n", described("_text").alias("d")).select("n", "d.*")
 
@@ -510,22 +510,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """n, id and root of every row: rows of one root are near-duplicates of each other.
 
     docs must have a row number n. Links have an exact Jaccard similarity of the sets of
-    `words`-word shingles of at least `similarity`. First those are linked
-    that the fingerprints propose, then every pair of different groups that
+    `words`-word shingles of at least `similarity`. Equal sets are linked first, then the
+    distinct sets that the fingerprints propose, then every pair of different groups that
     the prefixes leave possible; so the groups are those of all pairs compared.
     """
     docs = docs.select("n", F.col(text_col).alias("_text"))
     rule = {"words": words, "similarity": similarity}
     prints = stage(with_prefix(docs, hot_shingles(docs, words), **rule), "similar-prints")
-    first = stage(prints.groupBy("fp").agg(F.min("n").alias("n")), "similar-distinct")
-    equal = prints.select("n", "fp").join(first.select("fp", F.col("n").alias("_first")), "fp").filter("n <> _first")
+    first = stage(prints.groupBy("key").agg(F.min("n").alias("n"), F.min("fp").alias("fp")), "similar-distinct")
+    equal = prints.select("n", "key").join(first.select("key", F.col("n").alias("_first")), "key").filter("n <> _first")
     equal = stage(equal.select(F.col("_first").alias("a"), F.col("n").alias("b")), "similar-equal")
     pairs = stage(similar_pairs(first.select("n", "fp"), first.count(), similarity=similarity, block=block), "similar-pairs")
-    links = stage(verified(pairs.unionByName(equal).distinct(), docs, **rule), "similar-links")
+    links = stage(verified(pairs, docs, **rule), "similar-links")
     groups = components(links)
-    grouped = prints.drop("fp").join(groups.withColumnRenamed("node", "n"), "n", "left").withColumn("group", F.coalesce("root", "n"))
+    distinct = prints.drop("key", "fp").join(equal.select(F.col("b").alias("n")), "n", "left_anti")
+    grouped = distinct.join(groups.withColumnRenamed("node", "n"), "n", "left").withColumn("group", F.coalesce("root", "n"))
     rest = stage(missing_pairs(grouped, similarity=similarity, block=block), "similar-missing")
-    return components(links.unionByName(verified(rest, docs, **rule)))
+    return components(links.unionByName(verified(rest, docs, **rule)).unionByName(equal))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -61,3 +61,11 @@ def test_families_of_borderline_variants(spark, monkeypatch, block):
     expected = groups([t or "" for t in texts])
     assert 1 < len(expected) < len(texts)
     assert found(spark, texts, block=block) == expected
+
+
+def test_texts_dominated_by_one_line(spark):
+    rng, line = np.random.default_rng(8), " ".join(POOL[:9])
+    bodies = [rng.choice(POOL, 300).tolist() for _ in range(2)]
+    copy = [*bodies[1][:150], "changed", *bodies[1][151:]]
+    texts = [" ".join([*body, *[line] * 200]) for body in (*bodies, copy)]
+    assert found(spark, texts) == groups(texts) == {(0,), (1, 2)}

@@ -17,7 +17,8 @@ Two kinds of shard keys:
   other 48 bits, by the same argument. No link is lost.
 - by similarity (`similar_pairs`): 256-bit fingerprints of five-word shingles, whose
   distance is concentrated around its mean for a similarity, in tables keyed by sampled
-  bits. Equal sets are linked first. Proposed pairs are verified by the exact Jaccard similarity and give groups. Prefixes of
+  bits. Fingerprints are those of the distinct shingles, and equal sets are linked first.
+  Proposed pairs are verified by the exact Jaccard similarity and give groups. Prefixes of
   the shingle sets then find every pair of different groups that can be similar enough,
   and these are verified too: no link is lost, and fingerprints only save work.
 
@@ -103,6 +104,11 @@ def fingerprint(text: str | None, words: int = 3, lanes: int = 1) -> list[int]:
     return majorities(shingle_hashes(text, words), lanes)
 
 
+def set_fingerprint(text: str | None, words: int = WORDS, lanes: int = LANES) -> list[int]:
+    """The same of the distinct shingles."""
+    return majorities(np.unique(shingle_hashes(text, words)), lanes)
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -391,7 +397,7 @@ def with_prefix(docs: DataFrame, hot: np.ndarray, *, words: int = WORDS, similar
     def described(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         def row(text) -> tuple:
             hashes = np.unique(shingle_hashes(text, words))
-            fp = [_signed(x) for x in fingerprint(text, words, lanes)]
+            fp = [_signed(x) for x in majorities(hashes, lanes)]
             tokens, taken = hashes.view(np.int64), len(hashes) - least_common(len(hashes), similarity) + 1 if len(hashes) else 0
             cold = len(tokens)
             if len(ordered):

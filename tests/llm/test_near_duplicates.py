@@ -69,3 +69,13 @@ def test_texts_dominated_by_one_line(spark):
     copy = [*bodies[1][:150], "changed", *bodies[1][151:]]
     texts = [" ".join([*body, *[line] * 200]) for body in (*bodies, copy)]
     assert found(spark, texts) == groups(texts) == {(0,), (1, 2)}
+
+
+def test_repeated_passages_count_once(spark):
+    rng, texts = np.random.default_rng(9), []
+    for words, passage, times in ((300, 40, 5), (300, 30, 20), (1000, 30, 40)):
+        body, own = rng.choice(POOL, words).tolist(), rng.choice(POOL, passage).tolist()
+        texts += [" ".join([*body, *own]), " ".join([*body, *own * times])]
+    assert found(spark, texts) == groups(texts) == {(0, 1), (2, 3), (4, 5)}
+    a, b = ([x for lane in simhash.set_fingerprint(t) for x in f"{lane:064b}"] for t in texts[:2])
+    assert sum(x != y for x, y in zip(a, b, strict=True)) <= simhash.tables_for(40_695)[2]

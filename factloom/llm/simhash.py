@@ -51,7 +51,8 @@ BLOCK = 1024
 WORDS = 5
 SIMILARITY = 0.8
 LANES = 4
-RECALL = 0.98
+#: Fingerprint tables. What they miss is found by prefixes, so they only save work.
+TABLES = 8
 #: For the order of prefixes: rows of the sample, sightings that make a shingle hot, and most hot shingles.
 HOT_SAMPLE = 1 << 16
 HOT_SEEN = 8
@@ -263,13 +264,12 @@ def expected_distance(similarity: float, bits: int) -> float:
     return bits * math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def tables_for(rows: int, similarity: float = SIMILARITY, recall: float = RECALL, lanes: int = LANES) -> tuple[int, int, int]:
+def tables_for(rows: int, similarity: float = SIMILARITY, lanes: int = LANES) -> tuple[int, int, int]:
     """Bits of a key, number of tables, and the radius for so many fingerprints."""
     bits = 64 * lanes
     mean = expected_distance(similarity, bits)
     width = min(30, max(8, math.ceil(math.log2(max(2, rows) / 4))))
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - mean / bits) ** width))
-    return width, tables, math.floor(mean + 3 * math.sqrt(mean * (1 - mean / bits)))
+    return width, TABLES, math.floor(mean + 3 * math.sqrt(mean * (1 - mean / bits)))
 
 
 def with_table_keys(prints: DataFrame, width: int, tables: int, lanes: int) -> DataFrame:
@@ -413,33 +413,33 @@ def with_prefix(docs: DataFrame, hot: np.ndarray, *, words: int = WORDS, similar
     return docs.select("n", described("_text").alias("d")).select("n", "d.*")
 
 
-def may_be_similar(size_a: np.ndarray, at_a: np.ndarray, size_b: np.ndarray, at_b: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether sets whose first common shingle has these places can be similar enough."""
-    most = np.minimum(size_a - at_a, size_b - at_b)
-    return most >= similarity / (1 + similarity) * (size_a + size_b) - 1e-9
+def fitting(size_a: np.ndarray, size_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes can be similar enough."""
+    return np.minimum(size_a, size_b) >= similarity * np.maximum(size_a, size_b) - 1e-9
 
 
 def _cold_pairs(postings: DataFrame, similarity: float) -> DataFrame:
-    """Pairs a, b of different groups that share a shingle few rows have."""
+    """Pairs a, b of different groups for each shingle of their prefixes that few rows have."""
     ship_package(postings.sparkSession)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def paired(rows: np.ndarray) -> pa.RecordBatch:
-            token, n, group, size, at = rows
+            token, n, group, size = rows
             firsts, seconds, left, step = [], [], np.arange(len(token)), 1
             while len(left := left[left + step < len(token)]) and len(left := left[token[left] == token[left + step]]):
                 i, j = left, left + step
-                fits = (group[i] != group[j]) & may_be_similar(size[i], at[i], size[j], at[j], similarity)
-                firsts.append(n[i[fits]])
-                seconds.append(n[j[fits]])
+                fits = (group[i] != group[j]) & fitting(size[i], size[j], similarity)
+                firsts.append(i[fits])
+                seconds.append(j[fits])
                 step += 1
             none = np.empty(0, np.int64)
-            a, b = np.concatenate([none, *firsts]), np.concatenate([none, *seconds])
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            i, j = np.concatenate([none, *firsts]), np.concatenate([none, *seconds])
+            a, b, total = np.minimum(n[i], n[j]), np.maximum(n[i], n[j]), size[i] + size[j]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, total, np.maximum(size[i], size[j]))], names=["a", "b", "total", "larger"])
 
-        rest = np.empty((5, 0), np.int64)
+        rest = np.empty((4, 0), np.int64)
         for batch in batches:
-            rows = np.concatenate((rest, np.array([c.to_numpy() for c in batch.columns], np.int64).reshape(5, -1)), axis=1)
+            rows = np.concatenate((rest, np.array([c.to_numpy() for c in batch.columns], np.int64).reshape(4, -1)), axis=1)
             if not rows.shape[1]:
                 continue
             cut = np.searchsorted(rows[0], rows[0, -1])  # the last shingle may go on
@@ -447,8 +447,10 @@ def _cold_pairs(postings: DataFrame, similarity: float) -> DataFrame:
             yield paired(rows[:, :cut])
         yield paired(rest)
 
-    dealt = postings.select("token", "n", "group", F.col("size").cast("bigint"), F.col("at").cast("bigint"))
-    return dealt.repartition("token").sortWithinPartitions("token").mapInArrow(search, "a bigint, b bigint")
+    # Most rows are their own group, and zeros take no room in a shuffle.
+    dealt = postings.select("token", "n", (F.col("group") - F.col("n")).alias("group"), "size").repartition("token")
+    dealt = dealt.sortWithinPartitions("token").select("token", "n", (F.col("group") + F.col("n")).alias("group"), F.col("size").cast("bigint"))
+    return dealt.mapInArrow(search, "a bigint, b bigint, total bigint, larger bigint")
 
 
 def _hot_pairs(postings: DataFrame, similarity: float, block: int) -> DataFrame:
@@ -463,7 +465,7 @@ def _hot_pairs(postings: DataFrame, similarity: float, block: int) -> DataFrame:
         F.sum("_n").alias("_n"), F.count("*").alias("_groups"), F.max(F.struct("_n", "group"))["group"].alias("_largest")
     )
     counts = stage(counts.filter("_groups > 1").drop("_groups"), "similar-hot")
-    packed = F.array("n", "group", F.col("size").cast("bigint"), F.col("at").cast("bigint"))
+    packed = F.array("n", "group", F.col("size").cast("bigint"))
     kept = (
         postings.join(counts, "token")
         .withColumn("_asks", F.col("group") != F.col("_largest"))
@@ -471,29 +473,39 @@ def _hot_pairs(postings: DataFrame, similarity: float, block: int) -> DataFrame:
     )
     blocks = stage(kept.groupBy("token", "_block", "_asks").agg(F.flatten(F.collect_list(packed)).alias("members")), "similar-blocks")
 
-    @F.pandas_udf("struct<a:array<bigint>,b:array<bigint>>")
+    @F.pandas_udf("struct<a:array<bigint>,b:array<bigint>,total:array<bigint>,larger:array<bigint>>")
     def search(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for asked, members in batches:
             rows = []
             for x, y in zip(asked, members, strict=True):
-                x, y = (np.asarray(v, np.int64).reshape(-1, 4) for v in (x, y))
-                fits = (x[:, None, 1] != y[None, :, 1]) & may_be_similar(x[:, None, 2], x[:, None, 3], y[None, :, 2], y[None, :, 3], similarity)
+                x, y = (np.asarray(v, np.int64).reshape(-1, 3) for v in (x, y))
+                fits = (x[:, None, 1] != y[None, :, 1]) & fitting(x[:, None, 2], y[None, :, 2], similarity)
+                if np.array_equal(x, y):
+                    fits &= x[:, None, 0] < y[None, :, 0]
                 i, j = np.nonzero(fits)
-                rows.append((np.minimum(x[i, 0], y[j, 0]), np.maximum(x[i, 0], y[j, 0])))
-            yield pd.DataFrame(rows, columns=["a", "b"])
+                a, b, sizes = x[i, 0], y[j, 0], (x[i, 2], y[j, 2])
+                rows.append((np.minimum(a, b), np.maximum(a, b), np.add(*sizes), np.maximum(*sizes)))
+            yield pd.DataFrame(rows, columns=["a", "b", "total", "larger"])
 
     asked = blocks.filter("_asks").select("token", F.col("_block").alias("_asking"), F.col("members").alias("asked"))
     # Two blocks that both ask meet once.
     met = blocks.join(asked, "token").filter("not _asks or _asking >= _block")
     found = met.select(search("asked", "members").alias("p"))
-    return found.select(F.inline(F.arrays_zip("p.a", "p.b"))).toDF("a", "b")
+    return found.select(F.inline(F.arrays_zip("p.a", "p.b", "p.total", "p.larger"))).toDF("a", "b", "total", "larger")
 
 
 def missing_pairs(prefixes: DataFrame, *, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """All pairs a < b of different groups (column group) that can be similar enough."""
+    """All pairs a < b of different groups (column group) that can be similar enough.
+
+    A pair's common shingles are those counted in both prefixes and others; the others lie
+    behind the prefix that ends first, so they are at most what is left of the larger set.
+    """
     postings = prefixes.select("n", "group", "size", "cold", F.posexplode("prefix").alias("at", "token"))
     cold = _cold_pairs(postings.filter("at < cold"), similarity)
-    return cold.unionByName(_hot_pairs(postings.filter("at >= cold"), similarity, block)).distinct()
+    met = cold.unionByName(_hot_pairs(postings.filter("at >= cold"), similarity, block))
+    counted = met.groupBy("a", "b", "total", "larger").agg(F.count("*").alias("_common"))
+    most = F.col("_common") + F.ceil(similarity * F.col("larger") - 1e-9) - 1
+    return counted.filter(most >= similarity / (1 + similarity) * F.col("total") - 1e-9).select("a", "b")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -79,3 +79,14 @@ def test_repeated_passages_count_once(spark):
     assert found(spark, texts) == groups(texts) == {(0, 1), (2, 3), (4, 5)}
     a, b = ([x for lane in simhash.set_fingerprint(t) for x in f"{lane:064b}"] for t in texts[:2])
     assert sum(x != y for x, y in zip(a, b, strict=True)) <= simhash.tables_for(40_695)[2]
+
+
+def test_pairs_at_the_least_similarity(spark):
+    rng, texts = np.random.default_rng(10), []
+    for _ in range(400):
+        words = rng.choice(POOL, 104).tolist()
+        other = list(words)
+        other[20] = other[50] = "changed"  # 10 of 100 shingles differ: 90 / 110
+        texts += [" ".join(words), " ".join(other)]
+    assert found(spark, texts) == groups(texts)
+    assert len(groups(texts)) == 400

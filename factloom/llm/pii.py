@@ -105,8 +105,6 @@ DIGIT_WORDS = {
     "zéro": "0", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
-#: Shortest run of digit words (or digit words mixed with digits) that is rewritten.
-MIN_DIGIT_WORDS = 4
 
 _EXOTIC = re.compile("[­Ͱ-\U0010ffff]")
 _BRACKETED = re.compile(
@@ -117,10 +115,16 @@ _BARE = re.compile(
     r"[A-Za-z0-9-]+(?:[ \t]+(?:dot|punkt|punto)[ \t]+[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+", re.I
 )
 _BARE_DOT = re.compile(r"[ \t]+(?:dot|punkt|punto)[ \t]+", re.I)
+#: A domain after a sign that is there already.
+_DOTTED = re.compile(r"(?<=@)[A-Za-z0-9-]+(?:[ \t]+(?:dot|punkt|punto)[ \t]+[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+", re.I)
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
+_DIGIT = rf"(?:{_WORD}|[0-9]+)"
+_DOT = r"(?:dot|punkt|punto)"
+#: Digits, digit words and dots between them, of which one at least is a word.
 _SPELLED = re.compile(
-    rf"(?<![^\W_])(?:plus[ \t]+)?(?:{_WORD})(?:[ \t,-]{{1,3}}(?:{_WORD}|[0-9]+|dot|punkt|punto)){{{MIN_DIGIT_WORDS - 1},}}(?![^\W_])", re.I
+    rf"(?<![^\W_])(?:(?P<plus>plus)[ \t,-]{{1,3}}|(?<=\+))?{_DIGIT}(?:[ \t,-]{{1,3}}(?:{_DOT}[ \t,-]{{1,3}})?{_DIGIT}(?![^\W_]))+", re.I
 )
+_HAS_WORD = re.compile(rf"(?<![^\W_])(?:{_WORD}|{_DOT}|plus)(?![^\W_])", re.I)
 _SPELLED_PART = re.compile(rf"plus|{_WORD}|[0-9]+|dot|punkt|punto", re.I)
 
 
@@ -175,28 +179,37 @@ def _bare(text: str) -> list[tuple[int, int, str]]:
     for m in _BARE.finditer(text):
         edits.append((m.start("at"), m.end("at"), "@"))
         edits += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(text, m.start(), m.end())]
-    return sorted(edits)
+    for m in _DOTTED.finditer(text):
+        edits += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(text, m.start(), m.end())]
+    return sorted(set(edits))
 
 
 def _spelled(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in _SPELLED.finditer(text):
-        parts = [x.lower() for x in _SPELLED_PART.findall(m[0])]
-        new = "".join("+" if x == "plus" else "." if x in ("dot", "punkt", "punto") else DIGIT_WORDS.get(x, x) for x in parts)
-        edits.append((m.start(), m.end(), new))
+        if not _HAS_WORD.search(m[0]):
+            continue
+        before = None
+        for part in _SPELLED_PART.finditer(text, m.start(), m.end()):
+            said = part[0].lower()
+            # Groups of plain digits stay apart; what meets a word is joined.
+            if before and not (before[0].isdigit() and said.isdigit()):
+                edits.append((before.end(), part.start(), ""))
+            if not said.isdigit():
+                edits.append((*part.span(), "+" if said == "plus" else "." if said in ("dot", "punkt", "punto") else DIGIT_WORDS[said]))
+            before = part
     return edits
 
 
 _BRACKET = re.compile(r"[\[({<][ \t]*(?:at|@|arroba|dot|\.|punkt|point|punto)[ \t]*[\])}>]", re.I)
 _DOT_WORD = re.compile(r"[ \t](?:dot|punkt|punto|at|arroba)[ \t]", re.I)
-_TWO_DIGITS = re.compile(rf"(?<![^\W_])(?:{_WORD})[ \t,-]{{1,3}}(?:{_WORD}|[0-9]+)(?![^\W_])", re.I)
 
 
 def disguised_spans(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans of disguised identifiers in the source that meet no plain span."""
     steps: list[Rewritten] = []
     current = text
-    for rewrite, trigger in ((_fold, _EXOTIC), (_signs, _BRACKET), (_bare, _DOT_WORD), (_spelled, _TWO_DIGITS)):
+    for rewrite, trigger in ((_fold, _EXOTIC), (_signs, _BRACKET), (_bare, _DOT_WORD), (_spelled, _HAS_WORD)):
         if trigger.search(current) and (edits := rewrite(current)):
             steps.append(Rewritten(current, edits))
             current = steps[-1].text

@@ -4,7 +4,8 @@ Each input partition is a memtable: its (digest, row) entries are flushed as one
 sorted by digest, with Parquet Bloom filters on the digest. Compaction merges the runs
 into one entry for each digest that keeps the preferred row and the count; partial
 aggregation reduces a hot digest inside each run before anything is shuffled. Lookups
-join every entry with the compacted index.
+join every entry with the compacted index; compaction and lookups read every run whole,
+and nothing probes the runs' Bloom filters: the bitmap below is the only filter in use.
 
 Hits (digests of several rows) receive byte verification. A fixed-size bitmap filter of
 the hit digests selects the texts that are compared; the smallest and largest normalised

@@ -93,6 +93,11 @@ class Encoder:
         special = {x["content"]: x["id"] for x in said.get("added_tokens", [])}
         if any(x.get(k) for x in said.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word", "normalized")):
             return None
+        # tiktoken merges by id, so merges must make tokens in the order of their ids.
+        pairs = [x.split(" ") if isinstance(x, str) else x for x in model.get("merges", [])]
+        made = [model["vocab"].get("".join(x), -1) for x in pairs]
+        if made != sorted(set(made)) or made[:1] == [-1]:
+            return None
         byte = _byte_of()
         ranks = {bytes(byte[c] for c in word): i for word, i in model["vocab"].items() if word not in special}
         return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)

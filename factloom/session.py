@@ -10,6 +10,7 @@ import atexit
 import os
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
@@ -53,6 +54,10 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+#: Staged tables that are still in use, by the identity of their DataFrame.
+_staged: dict[int, tuple] = {}
+
+
 def staging_dir(spark: SparkSession) -> str:
     """The shared folder that the session names in spark.checkpoint.dir.
 
@@ -65,6 +70,8 @@ def staging_dir(spark: SparkSession) -> str:
         if current.isDefined():
             found = current.get()
         else:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
             found = tempfile.mkdtemp(prefix="factloom-")
             spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -86,6 +93,22 @@ def stage(df: DataFrame, name: str, *, options: dict[str, str] | None = None) ->
     spark = df.sparkSession
     path = f"{staging_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**(options or {})).parquet(path)
+    remove_at_exit(spark, path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    _staged[id(staged)] = (weakref.ref(staged), path)
+    return staged
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes staged tables that nothing will read again, so that they take no room."""
+    for df in tables:
+        ref, path = _staged.pop(id(df), (lambda: None, ""))
+        if ref() is df:
+            _remove(df.sparkSession, path)
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """The folder goes when the driver ends, if it is still there."""
     pid = os.getpid()
 
     def clean() -> None:
@@ -96,7 +119,6 @@ def stage(df: DataFrame, name: str, *, options: dict[str, str] | None = None) ->
                 pass
 
     atexit.register(clean)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import math
 import random
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.graph import components
-from factloom.session import ship_package, stage
+from factloom.session import release, ship_package, stage
 
 SEED = 42
 RADIUS = 3
@@ -51,12 +52,17 @@ BLOCK = 1024
 WORDS = 5
 SIMILARITY = 0.8
 LANES = 4
+#: Fingerprints whose keys one task makes.
+DEALT = 1 << 14
 #: Fingerprint tables. What they miss is found by prefixes, so they only save work.
 TABLES = 8
-#: For the order of prefixes: rows of the sample, sightings that make a shingle hot, and most hot shingles.
-HOT_SAMPLE = 1 << 16
-HOT_SEEN = 8
-HOT_MOST = 8192
+#: For the order of prefixes: shingles counted at once, texts that make a shingle shared, most shared shingles sent to the tasks.
+RUN = 1 << 22
+SHARED = 3
+MOST = 1 << 20
+#: Texts known to have a shingle, from which it is searched by blocks; and its most rows in a list that is searched whole.
+LONG = 64
+LONGEST = 256
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MASK = (1 << 64) - 1
 
@@ -299,8 +305,8 @@ def similar_pairs(prints: DataFrame, rows: int, *, similarity: float = SIMILARIT
     the links that they would have stood for are left to `missing_pairs`.
     """
     width, tables, radius = tables_for(rows, similarity, lanes=lanes)
-    # Fingerprints fill few files but make many keys, so they are dealt to all cores.
-    dealt = prints.repartition(2 * prints.sparkSession.sparkContext.defaultParallelism, "n")
+    # Fingerprints fill few files but make many keys, so they are dealt out, by their number.
+    dealt = prints.repartition(max(8, rows // DEALT), "n")
     keyed = with_table_keys(dealt, width, tables, lanes)
     counts = stage(keyed.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1"), "similar-keys")
     blocks = (
@@ -358,23 +364,100 @@ def proposals(tree: list[tuple[int, int]], queries: list[tuple[int, int]], radiu
     return sorted(out)
 
 
-def hot_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
-    """Hashes of shingles that many rows of a sample share, the rarest first.
+def _packed(values: np.ndarray) -> bytes:
+    """Small numbers as compressed planes of their bytes."""
+    return zlib.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
-    They only order the prefixes; which links are found doesn't depend on them.
-    """
-    rows = docs.count()
-    part = min(1 / 16, HOT_SAMPLE / max(1, rows))
 
-    @F.pandas_udf("array<bigint>")
-    def shingle_set(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts])
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+
+
+def _summed(buckets: list[np.ndarray], seen: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets in order, and the sums of what belongs to them."""
+    values, counts = np.concatenate(buckets), np.concatenate(seen)
+    order = np.argsort(values, kind="stable")
+    values, counts = values[order], counts[order]
+    starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    return values[starts], np.add.reduceat(counts, starts)
 
-    sample = docs.filter(F.pmod(F.xxhash64("n"), F.lit(1 << 20)) < int(part * (1 << 20)))
-    counts = sample.select(F.explode(shingle_set("_text")).alias("token")).groupBy("token").count()
-    found = counts.filter(F.col("count") >= HOT_SEEN).orderBy(F.desc("count"), "token").limit(HOT_MOST).collect()
-    return np.array([r.token for r in reversed(found)], np.int64)
+
+def shingle_frequencies(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """bucket, seen: how many texts (column _text) have a shingle, for the shared ones.
+
+    A bucket is the first 32 bits of a shingle's hash. All texts are counted. Each task
+    sorts its buckets and sends them as runs of differences, one for each range of buckets,
+    which takes one or two bytes a shingle; a range is merged in one pass.
+    """
+    ship_package(docs.sparkSession)
+    bits = max(4, math.ceil(math.log2(2 * max(1, docs.rdd.getNumPartitions()))))
+    shift = 32 - bits
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def runs(held: list[np.ndarray]) -> pa.RecordBatch:
+            buckets, seen = np.unique(np.concatenate(held), return_counts=True)
+            cuts = np.searchsorted(buckets, np.arange((1 << bits) + 1, dtype=np.int64) << shift)
+            rows = [(r, buckets[a:b], seen[a:b]) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            columns = [pa.array([r for r, _, _ in rows], pa.int32()), pa.array([_packed(np.diff(x, prepend=0)) for _, x, _ in rows], pa.binary()), pa.array([_packed(x) for _, _, x in rows], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["part", "steps", "seen"])
+
+        held, size = [], 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                held.append((np.unique(shingle_hashes(text, words)) >> np.uint64(32)).astype(np.int64))
+                size += len(held[-1])
+                if size >= RUN:
+                    yield runs(held)
+                    held, size = [], 0
+        if size:
+            yield runs(held)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def shared(buckets: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
+            often = seen >= SHARED
+            return pa.RecordBatch.from_arrays([pa.array(buckets[often]), pa.array(seen[often])], names=["bucket", "seen"])
+
+        part, buckets, seen, size = None, [], [], 0
+        for batch in batches:
+            for own, steps, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != part and size:
+                    yield shared(*_summed(buckets, seen))
+                    buckets, seen, size = [], [], 0
+                part = own
+                buckets.append(np.cumsum(_unpacked(steps)))
+                seen.append(_unpacked(counts))
+                size += len(seen[-1])
+                if size > 2 * RUN:
+                    x, y = _summed(buckets, seen)
+                    buckets, seen, size = [x], [y], 1
+        if size:
+            yield shared(*_summed(buckets, seen))
+
+    runs = docs.select("_text").mapInArrow(count, "part int, steps binary, seen binary")
+    return runs.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "bucket bigint, seen bigint")
+
+
+def most_frequent(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets in order, and how many texts have them, of at most MOST of the most frequent.
+
+    They only order the prefixes; which links are found doesn't depend on them.
+    """
+    table = stage(shingle_frequencies(docs, words).withColumn("level", F.floor(4 * F.log2("seen")).cast("int")), "similar-frequencies")
+    levels = sorted(((r.level, r["count"]) for r in table.groupBy("level").count().collect()), reverse=True)  # 256 levels at most
+    least, total = None, 0
+    for level, number in levels:
+        total += number
+        if total > MOST:
+            break
+        least = level
+    if least is None:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    found = table.filter(F.col("level") >= least).select("bucket", "seen").toArrow()
+    buckets, seen = found["bucket"].to_numpy(), found["seen"].to_numpy()
+    order = np.argsort(buckets)
+    release(table)
+    return buckets[order].astype(np.uint32), np.minimum(seen[order], (1 << 32) - 1).astype(np.uint32)
 
 
 def least_common(size: int, similarity: float) -> int:
@@ -382,30 +465,31 @@ def least_common(size: int, similarity: float) -> int:
     return math.ceil(similarity * size - 1e-9)
 
 
-def with_prefix(docs: DataFrame, hot: np.ndarray, *, words: int = WORDS, similarity: float = SIMILARITY, lanes: int = LANES) -> DataFrame:
+def with_prefix(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], *, words: int = WORDS, similarity: float = SIMILARITY, lanes: int = LANES) -> DataFrame:
     """n, key, fp, prefix, cold and size of the distinct shingles of each text (column _text).
 
-    key is a digest of the whole set. Shingles are ordered by hash, hot ones last in the
-    order of `hot`. The prefix is so long that two sets similar enough share one of it;
-    its first `cold` shingles aren't hot.
+    key is a digest of the whole set. Shingles are ordered by how many texts have them
+    (`frequent`; what isn't there comes first), then by hash. The prefix is so long that two
+    sets similar enough share one of it; fewer than LONG texts are known to have its first
+    `cold` shingles.
     """
     ship_package(docs.sparkSession)
-    places = np.argsort(hot)
-    ordered = hot[places]
+    buckets, known = frequent
 
     @F.pandas_udf("struct<key:binary,fp:array<bigint>,prefix:array<bigint>,cold:int,size:int>")
     def described(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         def row(text) -> tuple:
             hashes = np.unique(shingle_hashes(text, words))
             fp = [_signed(x) for x in majorities(hashes, lanes)]
-            tokens, taken = hashes.view(np.int64), len(hashes) - least_common(len(hashes), similarity) + 1 if len(hashes) else 0
-            cold = len(tokens)
-            if len(ordered):
-                at = np.minimum(np.searchsorted(ordered, tokens), len(ordered) - 1)
-                warm = ordered[at] == tokens
-                tokens = np.concatenate((tokens[~warm], hot[np.sort(places[at[warm]])]))
-                cold -= int(warm.sum())
-            return xxhash.xxh3_128_digest(hashes.tobytes()), fp, tokens[:taken], min(cold, taken), len(hashes)
+            taken = len(hashes) - least_common(len(hashes), similarity) + 1 if len(hashes) else 0
+            first, cold = hashes[:taken], taken
+            if len(buckets) and taken:
+                own = (hashes >> np.uint64(32)).astype(np.uint32)
+                at = np.minimum(np.searchsorted(buckets, own), len(buckets) - 1)
+                seen = np.where(buckets[at] == own, known[at], 0)
+                order = np.argsort(seen, kind="stable")[:taken]  # hashes are in order already
+                first, cold = hashes[order], int(np.count_nonzero(seen[order] < LONG))
+            return xxhash.xxh3_128_digest(hashes.tobytes()), fp, first.view(np.int64), cold, len(hashes)
 
         for texts in batches:
             yield pd.DataFrame([row(t) for t in texts], columns=["key", "fp", "prefix", "cold", "size"])
@@ -419,12 +503,24 @@ def fitting(size_a: np.ndarray, size_b: np.ndarray, similarity: float) -> np.nda
 
 
 def _cold_pairs(postings: DataFrame, similarity: float) -> DataFrame:
-    """Pairs a, b of different groups for each shingle of their prefixes that few rows have."""
+    """Pairs a, b of different groups for each shingle of their prefixes that few rows have.
+
+    Lists of over LONGEST rows come out as they are, marked `long`: shingle, n, group, size.
+    """
     ship_package(postings.sparkSession)
+    names = ["a", "b", "total", "larger", "long"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def paired(rows: np.ndarray) -> pa.RecordBatch:
-            token, n, group, size = rows
+        def table(columns: list[np.ndarray], long: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.full(len(columns[0]), long))], names=names)
+
+        def paired(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            starts = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1]))) if rows.shape[1] else np.empty(0, np.int64)
+            lengths = np.diff(np.append(starts, rows.shape[1]))
+            long = np.repeat(lengths > LONGEST, lengths)
+            if long.any():
+                yield table(list(rows[:, long]), True)
+            token, n, group, size = rows[:, ~long]
             firsts, seconds, left, step = [], [], np.arange(len(token)), 1
             while len(left := left[left + step < len(token)]) and len(left := left[token[left] == token[left + step]]):
                 i, j = left, left + step
@@ -435,7 +531,7 @@ def _cold_pairs(postings: DataFrame, similarity: float) -> DataFrame:
             none = np.empty(0, np.int64)
             i, j = np.concatenate([none, *firsts]), np.concatenate([none, *seconds])
             a, b, total = np.minimum(n[i], n[j]), np.maximum(n[i], n[j]), size[i] + size[j]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, total, np.maximum(size[i], size[j]))], names=["a", "b", "total", "larger"])
+            yield table([a, b, total, np.maximum(size[i], size[j])], False)
 
         rest = np.empty((4, 0), np.int64)
         for batch in batches:
@@ -444,13 +540,13 @@ def _cold_pairs(postings: DataFrame, similarity: float) -> DataFrame:
                 continue
             cut = np.searchsorted(rows[0], rows[0, -1])  # the last shingle may go on
             rest = rows[:, cut:]
-            yield paired(rows[:, :cut])
-        yield paired(rest)
+            yield from paired(rows[:, :cut])
+        yield from paired(rest)
 
     # Most rows are their own group, and zeros take no room in a shuffle.
     dealt = postings.select("token", "n", (F.col("group") - F.col("n")).alias("group"), "size").repartition("token")
     dealt = dealt.sortWithinPartitions("token").select("token", "n", (F.col("group") + F.col("n")).alias("group"), F.col("size").cast("bigint"))
-    return dealt.mapInArrow(search, "a bigint, b bigint, total bigint, larger bigint")
+    return dealt.mapInArrow(search, "a bigint, b bigint, total bigint, larger bigint, long boolean")
 
 
 def _hot_pairs(postings: DataFrame, similarity: float, block: int) -> DataFrame:
@@ -465,7 +561,7 @@ def _hot_pairs(postings: DataFrame, similarity: float, block: int) -> DataFrame:
         F.sum("_n").alias("_n"), F.count("*").alias("_groups"), F.max(F.struct("_n", "group"))["group"].alias("_largest")
     )
     counts = stage(counts.filter("_groups > 1").drop("_groups"), "similar-hot")
-    packed = F.array("n", "group", F.col("size").cast("bigint"))
+    packed = F.array("n", "group", "size")
     kept = (
         postings.join(counts, "token")
         .withColumn("_asks", F.col("group") != F.col("_largest"))
@@ -501,8 +597,10 @@ def missing_pairs(prefixes: DataFrame, *, similarity: float = SIMILARITY, block:
     behind the prefix that ends first, so they are at most what is left of the larger set.
     """
     postings = prefixes.select("n", "group", "size", "cold", F.posexplode("prefix").alias("at", "token"))
-    cold = _cold_pairs(postings.filter("at < cold"), similarity)
-    met = cold.unionByName(_hot_pairs(postings.filter("at >= cold"), similarity, block))
+    cold = stage(_cold_pairs(postings.filter("at < cold"), similarity), "similar-cold")
+    long = cold.filter("long").select(F.col("a").alias("token"), F.col("b").alias("n"), F.col("total").alias("group"), F.col("larger").alias("size"))
+    hot = postings.filter("at >= cold").select("token", "n", "group", F.col("size").cast("bigint")).unionByName(long)
+    met = cold.filter("not long").drop("long").unionByName(_hot_pairs(hot, similarity, block))
     counted = met.groupBy("a", "b", "total", "larger").agg(F.count("*").alias("_common"))
     most = F.col("_common") + F.ceil(similarity * F.col("larger") - 1e-9) - 1
     return counted.filter(most >= similarity / (1 + similarity) * F.col("total") - 1e-9).select("a", "b")
@@ -534,17 +632,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = docs.select("n", F.col(text_col).alias("_text"))
     rule = {"words": words, "similarity": similarity}
-    prints = stage(with_prefix(docs, hot_shingles(docs, words), **rule), "similar-prints")
+    prints = stage(with_prefix(docs, most_frequent(docs, words), **rule), "similar-prints")
     first = stage(prints.groupBy("key").agg(F.min("n").alias("n"), F.min("fp").alias("fp")), "similar-distinct")
     equal = prints.select("n", "key").join(first.select("key", F.col("n").alias("_first")), "key").filter("n <> _first")
     equal = stage(equal.select(F.col("_first").alias("a"), F.col("n").alias("b")), "similar-equal")
     pairs = stage(similar_pairs(first.select("n", "fp"), first.count(), similarity=similarity, block=block), "similar-pairs")
     links = stage(verified(pairs, docs, **rule), "similar-links")
+    release(first, pairs)
     groups = components(links)
     distinct = prints.drop("key", "fp").join(equal.select(F.col("b").alias("n")), "n", "left_anti")
     grouped = distinct.join(groups.withColumnRenamed("node", "n"), "n", "left").withColumn("group", F.coalesce("root", "n"))
     rest = stage(missing_pairs(grouped, similarity=similarity, block=block), "similar-missing")
-    return components(links.unionByName(verified(rest, docs, **rule)).unionByName(equal))
+    release(prints)
+    more = stage(verified(rest, docs, **rule), "similar-links")
+    return components(links.unionByName(more).unionByName(equal))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

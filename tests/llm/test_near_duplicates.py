@@ -55,7 +55,7 @@ def family(rng, variants: int, words: int, changed: int) -> list[str]:
 
 @pytest.mark.parametrize("block", [1024, 16])
 def test_families_of_borderline_variants(spark, monkeypatch, block):
-    monkeypatch.setattr(simhash, "HOT_SEEN", 2)
+    monkeypatch.setattr(simhash, "LONG", 8)
     rng = np.random.default_rng(7)
     texts = [*family(rng, 300, 260, 4), *family(rng, 120, 120, 2), "", None, " ", "one", "one two"]
     expected = groups([t or "" for t in texts])

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.session import stage
+from factloom.session import release, stage
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -104,13 +104,16 @@ def differing_hits(docs: DataFrame, index: DataFrame, id_col: str, text_col: str
     )
 
 
-def group_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, key_bytes: int = 32) -> DataFrame:
+def group_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, key_bytes: int = 32, held: list[DataFrame] | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
-    key_bytes: bytes of the SHA-256 that the index is keyed by.
+    key_bytes: bytes of the SHA-256 that the index is keyed by. held: gets the staged
+    tables that the result reads.
     """
+    held = [] if held is None else held
     runs = flush(docs, id_col, text_col, key_bytes)
     index = stage(compact(runs), "dedup-index")
+    held += [runs, index]
     differing = stage(differing_hits(docs, index, id_col, text_col, key_bytes), "dedup-differing")
     if differing.isEmpty():
         return _result(runs.join(index, "_key"))
@@ -124,6 +127,7 @@ def group_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ).withColumn("_sha", F.unhex(F.sha2("_text", 256)))
     again = again.withColumn("_key", F.substring("_sha", 1, key_bytes)).join(differing, "_key", "left_semi")
     again = stage(again, "dedup-again")
+    held += [differing, again]
     by_text = again.groupBy("_key", "_text").agg(F.min(_best()).alias("_keep"), F.count("*").alias("_n"))
     return sound.unionByName(_result(again.join(by_text, ["_key", "_text"])))
 
@@ -145,5 +149,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     named = stage(docs.withColumn("_unique", F.monotonically_increasing_id()), "dedup-input")
     keyed = named.withColumn("_pair", F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("_unique")))
-    kept = group_rows(keyed, "_pair", text_col).filter("kept").select(F.col("doc_id._unique").alias("_unique"))
+    held: list[DataFrame] = []
+    kept = group_rows(keyed, "_pair", text_col, held=held).filter("kept").select(F.col("doc_id._unique").alias("_unique"))
+    kept = stage(kept, "dedup-kept")
+    release(*held)
     return named.join(kept, "_unique", "left_semi").drop("_unique")

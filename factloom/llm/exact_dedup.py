@@ -150,7 +150,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     named = stage(docs.withColumn("_unique", F.monotonically_increasing_id()), "dedup-input")
     keyed = named.withColumn("_pair", F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("_unique")))
     held: list[DataFrame] = []
-    kept = group_rows(keyed, "_pair", text_col, held=held).filter("kept").select(F.col("doc_id._unique").alias("_unique"))
-    kept = stage(kept, "dedup-kept")
+    dropped = group_rows(keyed, "_pair", text_col, held=held).filter("not kept").select(F.col("doc_id._unique").alias("_unique"))
+    dropped = stage(dropped, "dedup-dropped")
     release(*held)
-    return named.join(kept, "_unique", "left_semi").drop("_unique")
+    return named.join(dropped, "_unique", "left_anti").drop("_unique")

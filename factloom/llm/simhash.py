@@ -63,6 +63,8 @@ MOST = 1 << 20
 #: Texts known to have a shingle, from which it is searched by blocks; and its most rows in a list that is searched whole.
 LONG = 64
 LONGEST = 256
+#: Bits of the parity sketch by which block searches rule pairs out.
+SKETCH = 512
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MASK = (1 << 64) - 1
 
@@ -466,17 +468,17 @@ def least_common(size: int, similarity: float) -> int:
 
 
 def with_prefix(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], *, words: int = WORDS, similarity: float = SIMILARITY, lanes: int = LANES) -> DataFrame:
-    """n, key, fp, prefix, cold and size of the distinct shingles of each text (column _text).
+    """n, key, fp, prefix, cold, size and sketch of the distinct shingles of each text (column _text).
 
     key is a digest of the whole set. Shingles are ordered by how many texts have them
     (`frequent`; what isn't there comes first), then by hash. The prefix is so long that two
     sets similar enough share one of it; fewer than LONG texts are known to have its first
-    `cold` shingles.
+    `cold` shingles. For the sketch see `parities`.
     """
     ship_package(docs.sparkSession)
     buckets, known = frequent
 
-    @F.pandas_udf("struct<key:binary,fp:array<bigint>,prefix:array<bigint>,cold:int,size:int>")
+    @F.pandas_udf("struct<key:binary,fp:array<bigint>,prefix:array<bigint>,cold:int,size:int,sketch:array<bigint>>")
     def described(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         def row(text) -> tuple:
             hashes = np.unique(shingle_hashes(text, words))
@@ -489,14 +491,29 @@ def with_prefix(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], *, wor
                 seen = np.where(buckets[at] == own, known[at], 0)
                 order = np.argsort(seen, kind="stable")[:taken]  # hashes are in order already
                 first, cold = hashes[order], int(np.count_nonzero(seen[order] < LONG))
-            return xxhash.xxh3_128_digest(hashes.tobytes()), fp, first.view(np.int64), cold, len(hashes)
+            return xxhash.xxh3_128_digest(hashes.tobytes()), fp, first.view(np.int64), cold, len(hashes), parities(hashes)
 
         for texts in batches:
-            yield pd.DataFrame([row(t) for t in texts], columns=["key", "fp", "prefix", "cold", "size"])
+            yield pd.DataFrame([row(t) for t in texts], columns=["key", "fp", "prefix", "cold", "size", "sketch"])
 
     return docs.select("n", described("_text").alias("d")).select("n", "d.*")
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Whether each of SKETCH buckets holds an odd number of the shingles, as 64-bit lanes.
+
+    Two sets differ in at least as many shingles as their sketches differ in bits.
+    """
+    odd = np.bincount((hashes & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def most_differing(size_a: np.ndarray, size_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Shingles that only one of two sets of these sizes has, at most, if they are similar enough."""
+    total = size_a + size_b
+    return total - 2 * np.ceil(similarity / (1 + similarity) * total - 1e-9)
+
+
 def fitting(size_a: np.ndarray, size_b: np.ndarray, similarity: float) -> np.ndarray:
     """Whether sets of these sizes can be similar enough."""
     return np.minimum(size_a, size_b) >= similarity * np.maximum(size_a, size_b) - 1e-9
@@ -553,7 +570,7 @@ def _hot_pairs(postings: DataFrame, similarity: float, block: int) -> DataFrame:
     """The same for shingles that many rows have.
 
     Rows of a shingle's largest group need no pairs among themselves, so only the others
-    are asked, against blocks of all.
+    are asked, against blocks of all. Pairs whose sketches differ too much don't come out.
     """
     ship_package(postings.sparkSession)
     groups = postings.groupBy("token", "group").agg(F.count("*").alias("_n"))
@@ -561,7 +578,7 @@ def _hot_pairs(postings: DataFrame, similarity: float, block: int) -> DataFrame:
         F.sum("_n").alias("_n"), F.count("*").alias("_groups"), F.max(F.struct("_n", "group"))["group"].alias("_largest")
     )
     counts = stage(counts.filter("_groups > 1").drop("_groups"), "similar-hot")
-    packed = F.array("n", "group", "size")
+    packed, width = F.concat(F.array("n", "group", "size"), F.col("sketch")), 3 + SKETCH // 64
     kept = (
         postings.join(counts, "token")
         .withColumn("_asks", F.col("group") != F.col("_largest"))
@@ -574,11 +591,16 @@ def _hot_pairs(postings: DataFrame, similarity: float, block: int) -> DataFrame:
         for asked, members in batches:
             rows = []
             for x, y in zip(asked, members, strict=True):
-                x, y = (np.asarray(v, np.int64).reshape(-1, 3) for v in (x, y))
+                x, y = (np.asarray(v, np.int64).reshape(-1, width) for v in (x, y))
                 fits = (x[:, None, 1] != y[None, :, 1]) & fitting(x[:, None, 2], y[None, :, 2], similarity)
-                if np.array_equal(x, y):
+                if np.array_equal(x[:, 0], y[:, 0]):
                     fits &= x[:, None, 0] < y[None, :, 0]
                 i, j = np.nonzero(fits)
+                differing = np.zeros(len(i), np.int64)
+                for lane in range(3, width):
+                    differing += np.bitwise_count((x[i, lane] ^ y[j, lane]).view(np.uint64))
+                near = differing <= most_differing(x[i, 2], y[j, 2], similarity)
+                i, j = i[near], j[near]
                 a, b, sizes = x[i, 0], y[j, 0], (x[i, 2], y[j, 2])
                 rows.append((np.minimum(a, b), np.maximum(a, b), np.add(*sizes), np.maximum(*sizes)))
             yield pd.DataFrame(rows, columns=["a", "b", "total", "larger"])
@@ -596,10 +618,11 @@ def missing_pairs(prefixes: DataFrame, *, similarity: float = SIMILARITY, block:
     A pair's common shingles are those counted in both prefixes and others; the others lie
     behind the prefix that ends first, so they are at most what is left of the larger set.
     """
-    postings = prefixes.select("n", "group", "size", "cold", F.posexplode("prefix").alias("at", "token"))
+    postings = prefixes.select("n", "group", "size", "cold", "sketch", F.posexplode("prefix").alias("at", "token"))
     cold = stage(_cold_pairs(postings.filter("at < cold"), similarity), "similar-cold")
     long = cold.filter("long").select(F.col("a").alias("token"), F.col("b").alias("n"), F.col("total").alias("group"), F.col("larger").alias("size"))
-    hot = postings.filter("at >= cold").select("token", "n", "group", F.col("size").cast("bigint")).unionByName(long)
+    long = long.join(prefixes.select("n", "sketch"), "n")
+    hot = postings.filter("at >= cold").select("token", "n", "group", F.col("size").cast("bigint"), "sketch").unionByName(long)
     met = cold.filter("not long").drop("long").unionByName(_hot_pairs(hot, similarity, block))
     counted = met.groupBy("a", "b", "total", "larger").agg(F.count("*").alias("_common"))
     most = F.col("_common") + F.ceil(similarity * F.col("larger") - 1e-9) - 1

@@ -25,6 +25,8 @@ AMINO_NAMES = {
     "proline": "P", "serine": "S", "threonine": "T", "tryptophan": "W", "tyrosine": "Y", "valine": "V",
     "selenocysteine": "U", "pyrrolysine": "O", "stop": "*", "termination": "*",
 }
+#: Signs of change.
+ARROWS = ("->", "-->", "→", "⟶", ">")
 BASE_NAMES = {"adenine": "A", "cytosine": "C", "guanine": "G", "thymine": "T", "thymidine": "T", "uracil": "U"}
 
 SIR = {
@@ -48,19 +50,21 @@ LINKAGE_RESIDUE = {"N-linked": "N", "C-mannosylation": "W"}
 LINKAGE_NAMES = ("N-linked", "O-linked", "C-mannosylation")
 
 INTERACTION_VERBS = ("binds", "cleaves", "inhibits", "activates", "degrades", "relocalizes")
-INTERACTIONS = {
-    "binds": ("binds", "bind", "binding", "bound", "interacts", "interacts with", "interaction", "associates", "associates with",
-              "association", "complexes with", "physical interaction", "direct interaction", "co precipitates"),
-    "cleaves": ("cleaves", "cleave", "cleavage", "cleaved", "proteolysis", "proteolytic cleavage", "processes"),
-    "inhibits": ("inhibits", "inhibit", "inhibition", "blocks", "block", "suppresses", "suppression", "antagonizes", "antagonises",
-                 "impairs", "disrupts", "downregulates", "represses"),
-    "activates": ("activates", "activate", "activation", "induces", "induction", "stimulates", "upregulates", "enhances", "promotes"),
-    "degrades": ("degrades", "degrade", "degradation", "targets for degradation", "promotes degradation", "proteasomal degradation",
-                 "ubiquitinates"),
-    "relocalizes": ("relocalizes", "relocalises", "relocalization", "relocalisation", "mislocalizes", "mislocalises", "sequesters",
-                    "sequestration", "retains", "redistributes", "translocates"),
+INTERACTION_OF = {
+    "binds": "binds", "bind": "binds", "binding": "binds", "bound": "binds", "interacts": "binds", "interacts with": "binds", "interaction": "binds",
+    "associates": "binds", "associates with": "binds", "association": "binds", "complexes with": "binds", "physical interaction": "binds",
+    "direct interaction": "binds", "co precipitates": "binds", "cleaves": "cleaves", "cleave": "cleaves", "cleavage": "cleaves", "cleaved": "cleaves",
+    "proteolysis": "cleaves", "proteolytic cleavage": "cleaves", "processes": "cleaves", "inhibits": "inhibits", "inhibit": "inhibits",
+    "inhibition": "inhibits", "blocks": "inhibits", "block": "inhibits", "suppresses": "inhibits", "suppression": "inhibits",
+    "antagonizes": "inhibits", "antagonises": "inhibits", "impairs": "inhibits", "disrupts": "inhibits", "downregulates": "inhibits",
+    "represses": "inhibits", "activates": "activates", "activate": "activates", "activation": "activates", "induces": "activates",
+    "induction": "activates", "stimulates": "activates", "upregulates": "activates", "enhances": "activates", "promotes": "activates",
+    "degrades": "degrades", "degrade": "degrades", "degradation": "degrades", "targets for degradation": "degrades",
+    "promotes degradation": "degrades", "proteasomal degradation": "degrades", "ubiquitinates": "degrades", "relocalizes": "relocalizes",
+    "relocalises": "relocalizes", "relocalization": "relocalizes", "relocalisation": "relocalizes", "mislocalizes": "relocalizes",
+    "mislocalises": "relocalizes", "sequesters": "relocalizes", "sequestration": "relocalizes", "retains": "relocalizes",
+    "redistributes": "relocalizes", "translocates": "relocalizes",
 }
-INTERACTION_OF = {word: verb for verb, words in INTERACTIONS.items() for word in words}
 
 ASSERTIONS = ("measured", "inferred", "predicted", "reported", "disputed")
 NOT_A_METHOD = ("measured", "reported", "inferred", "disputed")

@@ -26,7 +26,7 @@ def _of_class(columns: Sequence[str], names: Sequence[str]) -> list[str]:
 
 
 def split_genes(genes: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(genes, F.lit("")), "[,;]"), F.trim), lambda g: g != "")
+    return F.filter(F.transform(F.split(F.coalesce(genes, F.lit("")), "[,;]"), lambda g: F.trim(g)), lambda g: g != "")  # trim itself would take the index as characters
 
 
 def gene_keys(entries: Column) -> Column:

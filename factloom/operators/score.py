@@ -27,3 +27,16 @@ def precision_recall(found: DataFrame, wanted: DataFrame, keys: Sequence[str]) -
         "tp", "fp", "fn", share(F.col("tp") + F.col("fp")).alias("precision"), share(F.col("tp") + F.col("fn")).alias("recall"),
         share(F.col("tp") + (F.col("fp") + F.col("fn")) / 2).alias("f1"),
     )
+
+
+def per_key_recall(found: DataFrame, wanted: DataFrame, keys: Sequence[str], by: str, limit: int = 15) -> DataFrame:
+    """Recall of each value of `by`, for the `limit` values with most wanted keys (ties by value)."""
+    counts = outcomes(found, wanted, keys).filter("in_wanted").groupBy(by).agg(F.count("*").alias("reference"), F.count_if("in_found").alias("found"))
+    return counts.withColumn("recall", F.round(F.col("found") / F.col("reference"), 4)).orderBy(F.desc("reference"), by).limit(limit)
+
+
+def report(found: DataFrame, wanted: DataFrame, asked: DataFrame, keys: Sequence[str], by: str) -> DataFrame:
+    """Precision and recall over the wanted keys whose `by` was asked for, and the sizes of both sides."""
+    kept = wanted.join(asked.select(by).distinct(), by, "left_semi")
+    sizes = found.dropna(subset=list(keys)).agg(F.count_distinct(*keys).alias("predictions")).crossJoin(wanted.dropna(subset=list(keys)).agg(F.count_distinct(*keys).alias("reference")))
+    return precision_recall(found, kept, keys).crossJoin(sizes)  # one row each

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.plans import curation
+from factloom.plans import answering, curation
 
 FLAGSHIP = "merge_support"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(curation.QUERIES)
+    return curation.QUERIES | answering.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(curation.ORACLE)
+    return curation.ORACLE | answering.ORACLE

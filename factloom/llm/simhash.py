@@ -57,7 +57,7 @@ DEALT = 1 << 14
 #: Fingerprint tables. What they miss is found by prefixes, so they only save work.
 TABLES = 8
 #: For the order of prefixes: shingles counted at once, texts that make a shingle shared, most shared shingles sent to the tasks.
-RUN = 1 << 22
+RUN = 1 << 20
 SHARED = 3
 MOST = 1 << 20
 #: Texts known to have a shingle, from which it is searched by blocks; and its most rows in a list that is searched whole.
@@ -430,7 +430,7 @@ def shingle_frequencies(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 buckets.append(np.cumsum(_unpacked(steps)))
                 seen.append(_unpacked(counts))
                 size += len(seen[-1])
-                if size > 2 * RUN:
+                if size > 4 * RUN:
                     x, y = _summed(buckets, seen)
                     buckets, seen, size = [x], [y], 1
         if size:

@@ -17,8 +17,9 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -108,13 +109,18 @@ DIGIT_WORDS = {
 
 _EXOTIC = re.compile("[­Ͱ-\U0010ffff]")
 _BRACKETED = re.compile(
-    r"[ \t]*[\[({<][ \t]*(?:(?P<at>at|@|arroba)|(?P<dot>dot|\.|punkt|point|punto))[ \t]*[\])}>][ \t]*", re.I
+    r"(?:(?<![ \t])[ \t]*|(?<=[ \t]))[\[({<][ \t]*(?:(?P<at>at|@|arroba)|(?P<dot>dot|\.|punkt|point|punto))[ \t]*[\])}>][ \t]*", re.I
 )
 _BARE = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:[ \t]+(?:dot|punkt|punto)[ \t]+[A-Za-z0-9_%+-]+){0,3}(?P<at>[ \t]+(?:at|arroba)[ \t]+)"
     r"[A-Za-z0-9-]+(?:[ \t]+(?:dot|punkt|punto)[ \t]+[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+", re.I
 )
-_BARE_DOT = re.compile(r"[ \t]+(?:dot|punkt|punto)[ \t]+", re.I)
+_BARE_DOT = re.compile(r"(?<![ \t])[ \t]+(?:dot|punkt|punto)[ \t]+", re.I)
+#: Top-level labels that a bare "at" leads to (fixed values).
+TOP_LEVEL = frozenset(
+    "com net org edu gov mil int info biz io co uk de fr es it nl eu us ca au nz jp cn kr in ru ua br mx ar cl ch at be se no dk fi pl cz pt gr ie tr me tv dev app ai example test".split()
+)
+_USER_NAME = re.compile(r"[0-9._%+-]")
 #: A domain after a sign that is there already.
 _DOTTED = re.compile(r"(?<=@)[A-Za-z0-9-]+(?:[ \t]+(?:dot|punkt|punto)[ \t]+[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+", re.I)
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
@@ -177,6 +183,10 @@ def _signs(text: str) -> list[tuple[int, int, str]]:
 def _bare(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in _BARE.finditer(text):
+        local, domain = text[m.start() : m.start("at")], text[m.end("at") : m.end()]
+        told = _BARE_DOT.search(domain) or _USER_NAME.search(local.strip("."))
+        if not told or re.split(r"[.\s]", domain)[-1].lower() not in TOP_LEVEL:
+            continue  # prose
         edits.append((m.start("at"), m.end("at"), "@"))
         edits += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(text, m.start(), m.end())]
     for m in _DOTTED.finditer(text):
@@ -215,11 +225,13 @@ def disguised_spans(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[
             current = steps[-1].text
     if not steps:
         return []
+    starts, ends = [a for a, _, _ in plain], list(accumulate((b for _, _, b in plain), max))
     out = []
     for start, kind, end in plain_spans(current):
         for step in reversed(steps):
             start, end = step.span(start, end)
-        if not any(a < end and start < b for a, _, b in plain):
+        before = bisect_left(starts, end)  # plain spans that start before this one ends
+        if not before or ends[before - 1] <= start:
             out.append((start, kind, end))
     return out
 

@@ -161,9 +161,10 @@ def find_contamination(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The documents without any hit, with their own columns."""
-    found = find_contamination(docs.withColumn("_text", F.col(text_col)), benchmark, "_text", **options)
-    return found.filter("found.n_hit = 0").select(*docs.columns)
+    """The documents without any hit, with their own columns, whatever their names."""
+    own = [f"own{i}" for i in range(len(docs.columns))]
+    found = find_contamination(docs.toDF(*own), benchmark, own[docs.columns.index(text_col)], **options)
+    return found.filter("found.n_hit = 0").select(*own).toDF(*docs.columns)
 
 
 def digest_columns(found: DataFrame) -> DataFrame:

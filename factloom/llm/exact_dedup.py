@@ -147,10 +147,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows are told apart by a row id that is staged with them, so repeated ids are safe.
     """
+    own = docs.columns
+    docs = docs.toDF(*[f"own{i}" for i in range(len(own))])
+    id_col, text_col = (f"own{own.index(c)}" for c in (id_col, text_col))
     named = stage(docs.withColumn("_unique", F.monotonically_increasing_id()), "dedup-input")
     keyed = named.withColumn("_pair", F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("_unique")))
     held: list[DataFrame] = []
     dropped = group_rows(keyed, "_pair", text_col, held=held).filter("not kept").select(F.col("doc_id._unique").alias("_unique"))
     dropped = stage(dropped, "dedup-dropped")
     release(*held)
-    return named.join(dropped, "_unique", "left_anti").drop("_unique")
+    return named.join(dropped, "_unique", "left_anti").drop("_unique").toDF(*own)

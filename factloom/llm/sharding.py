@@ -79,14 +79,19 @@ def _key(seed: int) -> Column:
 
 
 def shard_rows(df: DataFrame, shards: int, *, seed: int = 42, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Adds shard (0 to shards-1) and slot (0, 1, ... inside the shard) to every row."""
-    spark = df.sparkSession
+    """Adds shard (0 to shards-1) and slot (0, 1, ... inside the shard) to every row.
+
+    They replace input columns of these names; all others pass through, whatever their names.
+    """
+    spark, given = df.sparkSession, df.drop("shard", "slot")
+    own = [f"own{i}" for i in range(len(given.columns))]
+    df = given.toDF(*own)
     rows = stage(df.withColumn("_row", F.monotonically_increasing_id()), "shard-rows")
     rows = rows.withColumn("_part", F.shiftright("_row", 33).cast("int"))
     sizes = sorted((r._part, r.n) for r in rows.groupBy("_part").agg(F.count("*").alias("n")).collect())
     total = sum(n for _, n in sizes)
     if not total:
-        return df.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("bigint")}).limit(0)
+        return given.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("bigint")}).limit(0)
     cuts = []
     for (part, _), row in zip(sizes, communication_matrix([n for _, n in sizes], shards, seed), strict=True):
         upto = 0
@@ -117,7 +122,8 @@ def shard_rows(df: DataFrame, shards: int, *, seed: int = 42, range_rows: int =
         dealt.withColumn("_at", F.row_number().over(inside))
         .join(first, ["shard", "_range"])
         .withColumn("slot", (F.col("_first") + F.col("_at") - 1).cast("bigint"))
-        .drop("_row", "_order", "_range", "_first", "_at")
+        .select(*own, "shard", "slot")
+        .toDF(*given.columns, "shard", "slot")
     )
 
 

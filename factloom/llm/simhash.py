@@ -673,6 +673,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each group stays: that with the smallest id, then the first row."""
+    own = docs.columns
+    docs = docs.toDF(*[f"own{i}" for i in range(len(own))])
+    id_col, text_col = (f"own{own.index(c)}" for c in (id_col, text_col))
     named = stage(docs.withColumn("_unique", F.monotonically_increasing_id()), "similar-input")
     roots = near_duplicates(named.select(F.col("_unique").alias("n"), id_col, text_col), id_col, text_col, **options)
     roots = stage(roots, "similar-roots")
@@ -680,4 +683,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     order = F.struct(F.col("_id").isNull().alias("unnamed"), F.col("_id").alias("id"), F.col("node").alias("node"))
     keep = members.groupBy("root").agg(F.min(order)["node"].alias("node"))
     dropped = stage(roots.join(keep, "node", "left_anti").select(F.col("node").alias("_unique")), "similar-dropped")
-    return named.join(dropped, "_unique", "left_anti").drop("_unique")
+    return named.join(dropped, "_unique", "left_anti").drop("_unique").toDF(*own)

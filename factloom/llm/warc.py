@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.session import ship_package, stage, staging_dir
+from factloom.session import remove_at_exit, ship_package, stage, staging_dir
 
 CHUNK_CHARS = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -236,5 +236,6 @@ def round_trip(pages: DataFrame, **options) -> DataFrame:
     """Writes the archives into the shared folder and reads them back."""
     spark = pages.sparkSession
     path = f"{staging_dir(spark)}/warc-{uuid.uuid4().hex}"
+    remove_at_exit(spark, path)
     write_archives(pages, path, **options)
     return read_records(spark, path)

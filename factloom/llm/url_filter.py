@@ -33,20 +33,25 @@ RULES = (
     ("org", "/fr/", "allow"),
 )
 
-#: Terms that reject alone.
+#: Terms that reject alone: unambiguous by themselves.
 STRICT = {
-    "adult-x": 1.0, "adult-xxx": 1.0, "casino-win": 1.0, "cheap-pills": 1.0, "escort-girls": 1.0,
-    "free-bets": 1.0, "hardcore-porn": 1.0, "porn": 1.0, "spam-farm": 1.0, "xxx": 1.0,
-    "ads-track": 1.0, "link-farm": 1.0, "warez": 1.0,
+    "adult-x": 1.0, "adult-xxx": 1.0, "bestiality": 1.0, "camgirls": 1.0, "escort-girls": 1.0, "hardcore-porn": 1.0, "hentai": 1.0, "keygen": 1.0,
+    "link-farm": 1.0, "milf": 1.0, "porn": 1.0, "porno": 1.0, "pornography": 1.0, "sexcam": 1.0, "warez": 1.0, "x-rated": 1.0, "xxx": 1.0,
 }
 
-#: Terms that reject only together; the weights of the distinct ones are summed.
-SOFT = {
-    "ads": 0.5, "adult": 0.5, "bet": 0.5, "bets": 0.5, "bonus": 0.34, "casino": 0.5, "cheap": 0.34,
-    "clickbait": 0.5, "escort": 0.5, "farm": 0.34, "free": 0.34, "gambling": 0.5, "jackpot": 0.5,
-    "pharmacy": 0.34, "pills": 0.5, "poker": 0.5, "sex": 0.5, "spam": 0.5, "tracker": 0.34,
-    "viagra": 0.5, "win": 0.34,
-}
+#: Subjects that a clean page may have as well, and words that such pages advertise with. One
+#: subject and any other term reject, as do three advertising words; one term never does.
+SUBJECT, ADVERTISING = 0.67, 0.34
+SUBJECTS = (
+    "ads", "adult", "bet", "bets", "betting", "casino", "clickbait", "dating", "erotic", "escort", "escorts", "gambling",
+    "jackpot", "lottery", "nude", "payday", "pharmacy", "phishing", "pills", "poker", "roulette", "sex", "slots", "spam",
+    "torrent", "viagra",
+)
+PROMOTIONS = (
+    "bonus", "buy", "cam", "cams", "cash", "cheap", "crack", "deal", "deals", "discount", "farm", "free", "girls", "hot",
+    "live", "loan", "loans", "online", "promo", "rx", "track", "tracker", "win", "winner",
+)
+SOFT = dict.fromkeys(SUBJECTS, SUBJECT) | dict.fromkeys(PROMOTIONS, ADVERTISING)
 
 LIMIT = 1.0
 _ALNUM = frozenset(LOWER + "0123456789")

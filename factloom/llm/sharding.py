@@ -4,8 +4,10 @@ The input's partitions are the sources of the exchange. For every partition the
 of its rows that go to every shard is drawn so that the whole matrix has the law it has
 under a uniform permutation: row sums are the partitions' sizes, column sums the shards'
 exact sizes. Rows are permuted inside their partition, cut by the matrix, exchanged, and
-permuted again inside their shard. Rows travel once; all steps on rows are DataFrame
-functions, and the driver sees one count for each partition.
+permuted again inside their shard. Both permutations are sorts by a hash, so rows are
+shuffled twice, once by partition and once by shard. All steps on rows are DataFrame
+functions; the driver sees one count for each partition and draws the matrix, which goes
+to the tasks as a staged table whose size Spark knows when it chooses the join.
 
 Law: `rows`, the shards' counts differ by at most one. Large shards are not sorted in one
 task: the second permutation sorts by a hash and is cut into hash ranges of bounded size,
@@ -21,6 +23,7 @@ from __future__ import annotations
 import json
 import math
 import random
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,14 +95,10 @@ def shard_rows(df: DataFrame, shards: int, *, seed: int = 42, range_rows: int =
     total = sum(n for _, n in sizes)
     if not total:
         return given.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("bigint")}).limit(0)
-    cuts = []
-    for (part, _), row in zip(sizes, communication_matrix([n for _, n in sizes], shards, seed), strict=True):
-        upto = 0
-        ends = [upto := upto + n for n in row]
-        cuts.append({"_part": part, "_ends": ends})
-    matrix = spark.range(1, numPartitions=1).select(
-        F.inline(F.from_json(F.lit(json.dumps(cuts)), "array<struct<_part:int,_ends:array<bigint>>>"))
-    )
+    drawn = communication_matrix([n for _, n in sizes], shards, seed)
+    cuts = json.dumps([{"_part": part, "_ends": list(accumulate(row))} for (part, _), row in zip(sizes, drawn, strict=True)])
+    matrix = spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(cuts), "array<struct<_part:int,_ends:array<bigint>>>")))
+    matrix = stage(matrix, "shard-matrix")
     local = Window.partitionBy("_part").orderBy(_key(seed), "_row")
     ranges = 2 ** max(0, math.ceil(math.log2(total / shards / range_rows)))
     dealt = (

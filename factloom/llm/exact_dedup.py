@@ -1,11 +1,12 @@
 """Exact deduplication by a log-structured merge index, in DataFrame functions.
 
 Each input partition is a memtable: its (digest, row) entries are flushed as one run,
-sorted by digest, with Parquet Bloom filters on the digest. Compaction merges the runs
-into one entry for each digest that keeps the preferred row and the count; partial
-aggregation reduces a hot digest inside each run before anything is shuffled. Lookups
-join every entry with the compacted index; compaction and lookups read every run whole,
-and nothing probes the runs' Bloom filters: the bitmap below is the only filter in use.
+sorted by digest. `MergeIndex` keeps the runs of all batches by level: a batch's run enters
+level 0, and a level of FANOUT runs is compacted into one run of the next level, which has
+one entry for each digest with the preferred row and the count. Partial aggregation reduces
+a hot digest inside each run before anything is shuffled. Every compacted run has a filter,
+a bitmap of fixed size over its digests; `known` probes the filters and joins only the rows
+that pass one with that run. `group_rows` is an index of one batch.
 
 Hits (digests of several rows) receive byte verification. A fixed-size bitmap filter of
 the hit digests selects the texts that are compared; the smallest and largest normalised
@@ -20,6 +21,8 @@ members of their group, and one of them stays; other columns pass through `dedup
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,8 @@ SPACES = " \t\n\x0b\x0c\r"
 
 #: Bits of the filter over hit digests; its size (16 MiB) doesn't depend on the data.
 FILTER_BITS = 1 << 27
+#: Runs of a level that are compacted into one of the next.
+FANOUT = 8
 
 
 def normalised(text: Column) -> Column:
@@ -53,31 +58,72 @@ def _best() -> Column:
 
 
 def flush(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_bytes: int = 32) -> DataFrame:
-    """Sorted digest runs, one for each memtable, with Bloom filters."""
-    runs = _entries(docs, id_col, text_col, key_bytes).sortWithinPartitions("_key")
-    return stage(runs, "dedup-runs", options={"parquet.bloom.filter.enabled#_key": "true", "parquet.bloom.filter.expected.ndv#_key": "1000000"})
+    """Sorted digest runs of rows, one for each memtable."""
+    return stage(_entries(docs, id_col, text_col, key_bytes).sortWithinPartitions("_key"), "dedup-runs")
 
 
 def compact(*runs: DataFrame) -> DataFrame:
     """One entry for each digest over all runs: the preferred row and the count."""
-    merged = runs[0]
-    for run in runs[1:]:
-        merged = merged.unionByName(run)
-    return merged.groupBy("_key").agg(F.min(_best()).alias("_keep"), F.count("*").alias("_n"))
+    merged = reduce(DataFrame.unionByName, runs)
+    return merged.groupBy("_key").agg(F.min("_keep").alias("_keep"), F.sum("_n").alias("_n"))
+
+
+def as_run(rows: DataFrame) -> DataFrame:
+    """The entries of flushed rows as a run of the lowest level."""
+    return rows.select("_key", _best().alias("_keep"), F.lit(1).cast("bigint").alias("_n"))
+
+
+class MergeIndex:
+    """Runs of batches by level. Ids must tell rows of different batches apart."""
+
+    def __init__(self, *, key_bytes: int = 32, fanout: int = FANOUT):
+        self.key_bytes, self.fanout = key_bytes, fanout
+        self.levels: list[list[DataFrame]] = [[]]
+
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """Takes a batch in and gives its flushed rows."""
+        rows = flush(docs, id_col, text_col, self.key_bytes)
+        self.levels[0].append(as_run(rows))
+        for level, runs in enumerate(self.levels):
+            if len(runs) < self.fanout:
+                break
+            if level + 1 == len(self.levels):
+                self.levels.append([])
+            self.levels[level + 1].append(stage(compact(*runs).sortWithinPartitions("_key"), f"dedup-level{level + 1}"))
+            if level:
+                release(*runs)
+            runs.clear()
+        return rows
+
+    def runs(self) -> list[DataFrame]:
+        return [run for level in self.levels for run in level]
+
+    def entries(self) -> DataFrame:
+        """The whole index, compacted and staged."""
+        return stage(compact(*self.runs()), "dedup-index")
+
+    def known(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """Rows of another batch whose digest is in the index, with the digest as `_key`."""
+        rows = flush(docs, id_col, text_col, self.key_bytes)
+        found = [passing(rows, digest_filter(run)).join(run.select("_key").distinct(), "_key", "left_semi") for run in self.runs()]
+        return reduce(DataFrame.unionByName, found).distinct()
 
 
 def _slot(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
 
 
-def hit_filter(index: DataFrame) -> DataFrame:
-    """Bitmaps (4 KiB each, FILTER_BITS in all) of the digests that have several rows."""
+def digest_filter(run: DataFrame) -> DataFrame:
+    """Bitmaps (4 KiB each, FILTER_BITS in all) of a run's digests."""
     slot = _slot(F.col("_key"))
-    return (
-        index.filter("_n > 1")
-        .groupBy(F.bitmap_bucket_number(slot).alias("_bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_bits"))
-    )
+    return run.groupBy(F.bitmap_bucket_number(slot).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_bits"))
+
+
+def passing(rows: DataFrame, digests: DataFrame) -> DataFrame:
+    """Rows whose digest (`_key`) may be one of the filter's."""
+    slot = _slot(F.col("_key"))
+    probed = rows.withColumn("_bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(digests), "_bucket")  # at most FILTER_BITS / 8 bytes
+    return probed.filter(_is_set(F.col("_bits"), F.bitmap_bit_position(slot))).drop("_bucket", "_bits")
 
 
 def _is_set(bits: Column, position: Column) -> Column:
@@ -87,15 +133,10 @@ def _is_set(bits: Column, position: Column) -> Column:
 
 def differing_hits(docs: DataFrame, index: DataFrame, id_col: str, text_col: str, key_bytes: int) -> DataFrame:
     """Digests whose rows don't all have the same normalised bytes."""
-    slot = _slot(F.col("_key"))
     texts = docs.select(normalised(F.col(text_col)).alias("_text")).withColumn(
         "_key", F.substring(F.unhex(F.sha2("_text", 256)), 1, key_bytes)
     )
-    hits = (
-        texts.withColumn("_bucket", F.bitmap_bucket_number(slot))
-        .join(F.broadcast(hit_filter(index)), "_bucket")  # at most FILTER_BITS / 8 bytes
-        .filter(_is_set(F.col("_bits"), F.bitmap_bit_position(slot)))
-    )
+    hits = passing(texts, digest_filter(index.filter("_n > 1")))
     return (
         hits.groupBy("_key")
         .agg(F.min("_text").alias("_low"), F.max("_text").alias("_high"))
@@ -111,8 +152,9 @@ def group_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tables that the result reads.
     """
     held = [] if held is None else held
-    runs = flush(docs, id_col, text_col, key_bytes)
-    index = stage(compact(runs), "dedup-index")
+    whole = MergeIndex(key_bytes=key_bytes)
+    runs = whole.add(docs, id_col, text_col)
+    index = whole.entries()
     held += [runs, index]
     differing = stage(differing_hits(docs, index, id_col, text_col, key_bytes), "dedup-differing")
     if differing.isEmpty():

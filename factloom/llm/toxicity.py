@@ -5,9 +5,10 @@ letters, as presences. A bounded sample of labelled documents (at most TRAIN_ROW
 with the smallest hash of the id) selects the features whose rate in toxic texts is at least
 LIFT times that in clean ones, by a Z_LIMIT-fold standard error; at most MAX_FEATURES.
 
-Labels say only toxic or not, so severity grades are ordered by how much speaks for it:
-grade 0 is not toxic, and toxic sample texts are divided into GRADES - 1 equal parts by
-their number of selected features. The model has one weight vector shared
+Where labels have a column of severity grades, `grade_col` names it. Labels that say only
+toxic or not are given grades by how much speaks for them: grade 0 is not toxic, and toxic
+sample texts are divided into GRADES - 1 equal parts by their number of selected features,
+so severity then orders texts by evidence and is no annotated degree. The model has one weight vector shared
 by all thresholds: P(grade <= k) = sigmoid(threshold_k - weights . features), fitted by
 gradient descent with an L2 penalty. Scores are the expected grade, the probability of
 any toxicity, and the decision `toxic` where that probability is at least LIMIT.
@@ -36,9 +37,9 @@ from factloom.session import ship_package, stage
 TRAIN_ROWS = 8_192
 MAX_FEATURES = 2_048
 MIN_DOCUMENTS = 3
+GRADES = 4
 LIFT = 10.0
 Z_LIMIT = 4.0
-GRADES = 4
 LIMIT = 0.5
 PREFIXES = (4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -80,17 +81,17 @@ class Model:
         return sum(above), above[0], int(np.argmax(each))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, text and toxic of at most `rows` labelled documents."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, grade_col: str = "toxic") -> DataFrame:
+    """doc_id, text and grade of at most `rows` labelled documents."""
     chosen = (
-        labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
+        labels.filter(F.col("doc_id").isNotNull() & F.col(grade_col).isNotNull())
         .groupBy("doc_id")
-        .agg(F.max("toxic").alias("toxic"))
+        .agg(F.max(F.greatest(F.col(grade_col), F.lit(0)).cast("int")).alias("grade"))
         .orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id")
         .limit(rows)
     )
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most TRAIN_ROWS rows
-    return stage(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "toxicity-sample")
+    return stage(texts.groupBy("doc_id", "grade").agg(F.min("text").alias("text")), "toxicity-sample")
 
 
 def select_features(sample: DataFrame, limit: int = MAX_FEATURES) -> list[tuple[str, float]]:
@@ -98,18 +99,18 @@ def select_features(sample: DataFrame, limit: int = MAX_FEATURES) -> list[tuple[
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, toxic = [], []
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("grade").to_pylist(), strict=True):
                 found = {x for w in words_of(text) for x in features_of(w)}
                 names += found
                 toxic += [int(label > 0)] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(toxic, pa.int32())], names=["feature", "toxic"])
 
-    totals = sample.agg(F.count("*").alias("n"), F.sum((F.col("toxic") > 0).cast("int")).alias("t")).first()
+    totals = sample.agg(F.count("*").alias("n"), F.sum((F.col("grade") > 0).cast("int")).alias("t")).first()
     n1 = totals.t or 0
     n0 = totals.n - n1
     if not n0 or not n1:
         return []
-    counts = sample.select("text", "toxic").mapInArrow(emit, "feature string, toxic int").groupBy("feature").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
+    counts = sample.select("text", "grade").mapInArrow(emit, "feature string, toxic int").groupBy("feature").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
     rate = F.col("n") / (n0 + n1)
     z = (F.col("t") / n1 - (F.col("n") - F.col("t")) / n0) / F.sqrt(rate * (1 - rate) * (1 / n1 + 1 / n0) + 1e-12)
     lift = ((F.col("t") + 0.5) / n1) / ((F.col("n") - F.col("t") + 0.5) / n0)
@@ -117,40 +118,60 @@ def select_features(sample: DataFrame, limit: int = MAX_FEATURES) -> list[tuple[
     return [(r.feature, r.z) for r in found.orderBy(F.col("z").desc(), "feature").limit(limit).collect()]
 
 
+def thresholds_of(first: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+    """Increasing thresholds: the first one and the logarithms of the gaps between them."""
+    return first + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
+
+
+def loss_gradient(x: np.ndarray, grades: np.ndarray, w: np.ndarray, first: np.ndarray, gaps: np.ndarray, penalty: float) -> tuple[float, np.ndarray]:
+    """The penalised loss and its gradient by (w, first, gaps); clean and toxic texts weigh the same."""
+    n, steps = len(x), len(gaps) + 1
+    balance = np.where(grades == 0, 0.5 / max(1, (grades == 0).sum()), 0.5 / max(1, (grades > 0).sum()))
+    total = (x @ w.astype(x.dtype)).astype(np.float64)
+    cumulative = 1 / (1 + np.exp(np.clip(total[:, None] - thresholds_of(first, gaps), -50, 50)))
+    upper = np.concatenate([cumulative, np.ones((n, 1))], axis=1)
+    lower = np.concatenate([np.zeros((n, 1)), cumulative], axis=1)
+    rows = np.arange(n)
+    p = np.maximum(upper[rows, grades] - lower[rows, grades], 1e-12)
+    slope = cumulative * (1 - cumulative)
+    # d(-log p)/d theta_k: -slope_k / p where k is the grade, + slope_k / p just below it
+    is_upper = (grades[:, None] == np.arange(steps)).astype(float)
+    is_lower = (grades[:, None] == np.arange(1, steps + 1)).astype(float)
+    by_theta = (is_lower - is_upper) * slope / p[:, None] * balance[:, None]
+    by_w = -(x.T @ by_theta.sum(axis=1).astype(x.dtype)) + penalty * w
+    sums = by_theta.sum(axis=0)
+    tails = np.cumsum(sums[::-1])[::-1]
+    loss = float((-np.log(p) * balance).sum() + penalty / 2 * (w @ w))
+    return loss, np.concatenate([by_w, [sums.sum()], tails[1:] * np.exp(gaps)])
+
+
 def fit_thresholds(x: np.ndarray, grades: np.ndarray, levels: int, *, penalty: float = 1e-3, steps: int = 400, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
     """Shared weights and increasing thresholds of the cumulative-link model (Adam)."""
-    n, m = x.shape
+    m = x.shape[1]
     w, first, gaps = np.zeros(m), np.array([1.0]), np.zeros(levels - 2)
-    balance = np.where(grades == 0, 0.5 / max(1, (grades == 0).sum()), 0.5 / max(1, (grades > 0).sum()))
-    sizes = [m, 1, levels - 2]
-    moment, square = np.zeros(sum(sizes)), np.zeros(sum(sizes))
+    moment, square = np.zeros(m + levels - 1), np.zeros(m + levels - 1)
     for step in range(1, steps + 1):
-        theta = first + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
-        cumulative = 1 / (1 + np.exp(np.clip((x @ w.astype(x.dtype))[:, None] - theta, -50, 50)))
-        upper = np.concatenate([cumulative, np.ones((n, 1))], axis=1)
-        lower = np.concatenate([np.zeros((n, 1)), cumulative], axis=1)
-        rows = np.arange(n)
-        p = np.maximum(upper[rows, grades] - lower[rows, grades], 1e-12)
-        slope = cumulative * (1 - cumulative)
-        # d(-log p)/d theta_k: -slope_k / p where k is the grade, + slope_k / p just below it
-        is_upper = (grades[:, None] == np.arange(levels - 1)).astype(float)
-        is_lower = (grades[:, None] == np.arange(1, levels)).astype(float)
-        d_theta = (is_lower - is_upper) * slope / p[:, None] * balance[:, None]
-        g_w = -(x.T @ d_theta.sum(axis=1).astype(x.dtype)) + penalty * w
-        g_theta = d_theta.sum(axis=0)
-        tails = np.cumsum(g_theta[::-1])[::-1]
-        gradient = np.concatenate([g_w, [g_theta.sum()], tails[1:] * np.exp(gaps)])
+        _, gradient = loss_gradient(x, grades, w, first, gaps, penalty)
         moment = 0.9 * moment + 0.1 * gradient
         square = 0.999 * square + 0.001 * gradient**2
         move = rate * (1 - step / (steps + 1)) * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
         w, first, gaps = w - move[:m], first - move[m : m + 1], np.clip(gaps - move[m + 1 :], -6, 4)
-    return w, first + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
+    return w, thresholds_of(first, gaps)
+
+
+def by_evidence(strength: np.ndarray, toxic: np.ndarray, grades: int) -> np.ndarray:
+    """Grades of texts that are only known to be toxic or not."""
+    cuts = np.quantile(strength[toxic], np.arange(1, grades - 1) / (grades - 1))
+    return np.where(toxic, 1 + (strength[:, None] > cuts).sum(axis=1), 0)
+
 
+def fit(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, grade_col: str | None = None, grades: int = GRADES) -> Model:
+    """A model from the labelled documents; empty where one of the kinds is missing.
 
-def fit(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, grades: int = GRADES) -> Model:
-    """A model from the labelled documents; empty where one of the kinds is missing."""
+    grade_col: annotated severity, 0 where not toxic; without it grades come from `toxic`.
+    """
     ship_package(docs.sparkSession)
-    sample = labelled_sample(docs, labels, rows)
+    sample = labelled_sample(docs, labels, rows, grade_col or "toxic")
     chosen = select_features(sample)
     if not chosen:
         return Model()
@@ -161,17 +182,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, grades: i
         for texts in batches:
             yield pd.Series([sorted({place[x] for w in words_of(t) for x in features_of(w) if x in place}) for t in texts])
 
-    coded = sample.select("doc_id", "toxic", encoded("text").alias("x")).orderBy("doc_id").collect()  # at most `rows`
-    x, toxic = np.zeros((len(coded), len(place)), np.float32), np.array([int(r.toxic > 0) for r in coded])
+    coded = sample.select("doc_id", "grade", encoded("text").alias("x")).orderBy("doc_id").collect()  # at most `rows`
+    x = np.zeros((len(coded), len(place)), np.float32)
     for i, r in enumerate(coded):
         x[i, r.x] = 1
-    strength = x.sum(axis=1)
-    cuts = np.quantile(strength[toxic == 1], np.arange(1, grades - 1) / (grades - 1))
-    grade = np.where(toxic == 1, 1 + (strength[:, None] > cuts).sum(axis=1), 0)
-    levels = int(grade.max()) + 1
-    present = sorted(set(grade.tolist()))
-    grade = np.searchsorted(present, grade)
-    weights, thresholds = fit_thresholds(x, grade, len(present)) if levels > 1 else (np.zeros(len(place)), np.array([]))
+    given = np.array([r.grade for r in coded])
+    present, grade = np.unique(given if grade_col else by_evidence(x.sum(axis=1), given > 0, grades), return_inverse=True)
+    weights, thresholds = fit_thresholds(x, grade, len(present))
     return Model({name: float(w) for (name, _), w in zip(chosen, weights, strict=True)}, tuple(float(t) for t in thresholds))
 
 

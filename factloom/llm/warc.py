@@ -2,16 +2,19 @@
 
 Writing. Payloads of equal SHA-1 and at least `min_bytes` are stored once: the row with
 the smallest page id (null ids last, then the first row) is the response, the others are
-revisits that refer to it. A payload above CHUNK_CHARS characters is written as a first
-segment and `continuation` records, so no record in an archive is larger than a chunk. Every
+revisits that refer to it; the groups are found from digests and ids, without payloads. A
+payload above CHUNK_BYTES is written as a first segment and `continuation` records, so no
+record in an archive is larger than a chunk. Segments are cut one after the other from the
+Arrow buffer that the payload came in, without copying the whole. Every
 record is one row of Spark's text writer, whose line separator is the blank line that ends
 a WARC record; the archives are gzip-compressed and committed by Spark like any table, on
 any file system.
 
 Reading. Each archive is read by one task as a stream of pieces. A parser that follows
-Content-Length turns it into rows of (record identifier, chunk number, bytes so far,
-running digest); the digest is carried from segment to segment and no record is ever held
-whole. The last chunk's row has the payload's length and digest, which must equal the one
+Content-Length turns it into rows of (record identifier, chunk number, payload part, bytes
+so far, running digest) of at most CHUNK_BYTES, however large the record is; the digest is
+carried from chunk to chunk and no record is ever held whole. Reports that need no payload
+read the table without that column. The last chunk's row has the payload's length and digest, which must equal the one
 in the record's header.
 
 Edge cases: null payloads are empty, null URLs are `about:blank`, line breaks in URLs are
@@ -33,14 +36,14 @@ from pyspark.sql import functions as F
 
 from factloom.session import remove_at_exit, ship_package, stage, staging_dir
 
-CHUNK_CHARS = 1 << 20
+CHUNK_BYTES = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 EOL = "\r\n"
 END = EOL + EOL
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CHUNKS = (
     "record_id string, page_id bigint, record_type string, refers_to string, url string, chunk int, "
-    "bytes bigint, bytes_so_far bigint, digest_so_far string, header_digest string, last boolean"
+    "bytes bigint, bytes_so_far bigint, digest_so_far string, header_digest string, last boolean, payload binary"
 )
 
 
@@ -72,8 +75,50 @@ def _urn(row: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
 
-def record_texts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def segment_ends(payload: memoryview, size: int) -> Iterator[int]:
+    """Ends of parts of at most `size` bytes (at least 4), none inside a UTF-8 character."""
+    at, whole = 0, len(payload)
+    while whole - at > size:
+        at += size
+        while payload[at] & 0xC0 == 0x80:
+            at -= 1
+        yield at
+    yield whole
+
+
+def segments(row: dict, payload: memoryview, size: int) -> Iterator[bytes]:
+    """The WARC records of one page: a whole one, or a first segment and its continuations."""
+    ends = [0] if row["_revisit"] else segment_ends(payload, size)
+    start, last = 0, 0 if row["_revisit"] else len(payload)
+    for k, end in enumerate(ends):
+        whole, final = not k and end == last, end == last
+        kind = "revisit" if row["_revisit"] else "continuation" if k else "response"
+        fields = [("WARC-Type", kind), ("WARC-Record-ID", segment_urn(row["_row"], k) if k else row["_urn"]), ("WARC-Date", DATE), ("WARC-Target-URI", row["_url"])]
+        if not k and row["_id"] is not None:
+            fields.append(("Page-ID", row["_id"]))
+        fields.append(("WARC-Payload-Digest", "sha1:" + row["_digest"]))
+        if row["_revisit"]:
+            fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", row["_refers"])]
+        if not whole:
+            fields.append(("WARC-Segment-Number", k + 1))
+        if k:
+            fields.append(("WARC-Segment-Origin-ID", row["_urn"]))
+        if final and not whole:
+            fields.append(("WARC-Segment-Total-Length", row["_bytes"]))
+        fields += [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", end - start)]
+        head = EOL.join(["WARC/1.1", *(f"{name}: {value}" for name, value in fields)]) + END
+        yield b"".join((head.encode("utf-8"), payload[start:end]))
+        start = end
+
+
+def segment_urn(row: int, k: int) -> str:
+    h = hashlib.md5(f"factloom-record-{row}-{k}".encode()).hexdigest()
+    return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
+
+
+def record_texts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row `value` per WARC record or segment, in the order it is to be written."""
+    ship_package(pages.sparkSession)
     rows = stage(_rows(pages, id_col, url_col, payload_col), "warc-rows")
     first = F.min(F.struct(F.col("_id").isNull().alias("unnamed"), F.col("_id").alias("id"), F.col("_row").alias("row")))
     groups = (
@@ -84,41 +129,29 @@ def record_texts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     groups = stage(groups, "warc-groups")
     rows = rows.join(groups, "_sha", "left")
     revisit = F.col("_first.row").isNotNull() & (F.col("_first.row") != F.col("_row")) & (F.col("_bytes") >= min_bytes)
-    n = F.greatest(F.lit(1), F.ceil(F.char_length("_payload") / chunk_chars)).cast("int")
-    chunks = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda k: F.struct(
-            k.alias("k"), F.substring(F.col("_payload"), k * chunk_chars + 1, F.lit(chunk_chars)).alias("part"), (k == n - 1).alias("last")
-        ),
-    )
-    none = F.array(F.struct(F.lit(0).alias("k"), F.lit("").alias("part"), F.lit(True).alias("last")))
-    parts = rows.withColumn("_revisit", revisit).select(
-        "_id", "_url", "_sha", "_bytes", "_row", "_revisit", "_first", F.explode(F.when(F.col("_revisit"), none).otherwise(chunks)).alias("c")
-    )
-    whole = (F.col("c.k") == 0) & F.col("c.last")
-    field = lambda name, value: F.concat(F.lit(f"{EOL}{name}: "), value)
-    only = lambda test, text: F.when(test, text).otherwise(F.lit(""))
-    kind = F.when(F.col("_revisit"), "revisit").when(F.col("c.k") == 0, "response").otherwise("continuation")
-    own = F.when(F.col("c.k") == 0, _urn(F.col("_row"))).otherwise(
-        _urn(F.concat_ws("-", F.col("_row").cast("string"), F.col("c.k").cast("string")))
-    )
-    header = F.concat(
-        F.lit("WARC/1.1"),
-        field("WARC-Type", kind),
-        field("WARC-Record-ID", own),
-        field("WARC-Date", F.lit(DATE)),
-        field("WARC-Target-URI", F.col("_url")),
-        only(F.col("c.k") == 0, F.coalesce(field("Page-ID", F.col("_id").cast("string")), F.lit(""))),
-        field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("_sha")))),
-        only(F.col("_revisit"), field("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
-        only(F.col("_revisit"), field("WARC-Refers-To", F.coalesce(_urn(F.col("_first.row")), F.lit("")))),
-        only(~whole, field("WARC-Segment-Number", (F.col("c.k") + 1).cast("string"))),
-        only(F.col("c.k") > 0, field("WARC-Segment-Origin-ID", _urn(F.col("_row")))),
-        only(~whole & F.col("c.last"), field("WARC-Segment-Total-Length", F.col("_bytes").cast("string"))),
-        field("Content-Type", F.lit("text/html; charset=utf-8")),
-        field("Content-Length", F.octet_length("c.part").cast("string")),
-    )
-    return parts.select(F.concat(header, F.lit(END), F.col("c.part")).alias("value"))
+    told = rows.select(
+        F.col("_id").cast("string").alias("_id"), "_url", "_row", "_bytes", base32(F.col("_sha")).alias("_digest"),
+        _urn(F.col("_row")).alias("_urn"), _urn(F.col("_first.row")).alias("_refers"), revisit.alias("_revisit"), "_payload",
+    ).withColumn("_payload", F.when(~F.col("_revisit"), F.col("_payload")))
+    names = [c for c in told.columns if c != "_payload"]
+    flush_at = 4 * chunk_bytes
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fields = {c: batch.column(c).to_pylist() for c in names}
+            payloads, ready, size = batch.column("_payload"), [], 0
+            for i in range(batch.num_rows):
+                held = payloads[i].as_buffer()
+                for record in segments({c: fields[c][i] for c in names}, memoryview(held or b""), chunk_bytes):
+                    ready.append(record)
+                    size += len(record)
+                    if size >= flush_at:
+                        yield pa.RecordBatch.from_arrays([pa.array(ready, pa.binary()).cast(pa.string())], names=["value"])
+                        ready, size = [], 0
+            if ready:
+                yield pa.RecordBatch.from_arrays([pa.array(ready, pa.binary()).cast(pa.string())], names=["value"])
+
+    return told.mapInArrow(write, "value string")
 
 
 def write_archives(pages: DataFrame, path: str, **options) -> None:
@@ -127,24 +160,28 @@ def write_archives(pages: DataFrame, path: str, **options) -> None:
 
 
 class Parser:
-    """Rows of the chunk table from a stream of bytes; holds no more than a header."""
+    """Rows of the chunk table from a stream of bytes; holds no more than a header and a chunk."""
 
-    def __init__(self) -> None:
+    def __init__(self, payload: bool = True, size: int = CHUNK_BYTES) -> None:
+        self.size, self.part = size, bytearray() if payload else None
         self.head = bytearray()
         self.left = self.tail = 0
         self.now: dict | None = None
-        self.digest, self.bytes = hashlib.sha1(), 0
+        self.digest, self.bytes, self.own, self.chunk = hashlib.sha1(), 0, 0, -1
 
     def feed(self, data: bytes) -> Iterator[tuple]:
         view = memoryview(data)
         while len(view):
             if self.now is not None and self.left:
-                part = view[: self.left]
+                part = view[: min(self.left, self.size - self.own)]
                 self.digest.update(part)
+                if self.part is not None:
+                    self.part += part
                 self.bytes += len(part)
+                self.own += len(part)
                 self.left -= len(part)
                 view = view[len(part) :]
-                if not self.left:
+                if not self.left or self.own == self.size:
                     yield self._row()
             elif self.tail:
                 n = min(self.tail, len(view))
@@ -167,43 +204,56 @@ class Parser:
         if version != "WARC/1.1":
             raise ValueError(f"not a WARC record: {version[:40]!r}")
         fields = dict(line.split(": ", 1) for line in lines)
-        self.left = self.size = int(fields["Content-Length"])
+        self.left = int(fields["Content-Length"])
         if fields["WARC-Type"] == "continuation":
             if self.now is None or self.now["WARC-Record-ID"] != fields["WARC-Segment-Origin-ID"]:
                 raise ValueError("a segment without its first record")
-            self.chunk += 1
             self.segment = fields
         else:
-            self.now, self.segment, self.chunk = fields, fields, 0
+            self.now, self.segment, self.chunk = fields, fields, -1
             self.digest, self.bytes = hashlib.sha1(), 0
 
     def _row(self) -> tuple:
-        self.tail = 4
+        self.tail = 0 if self.left else 4
+        self.chunk += 1
+        own, self.own = self.own, 0
+        held = None if self.part is None else bytes(self.part)
+        if held:
+            self.part = bytearray()
         said = self.now
         more = "WARC-Segment-Number" in self.segment and "WARC-Segment-Total-Length" not in self.segment
         page = said.get("Page-ID")
         return (
             said["WARC-Record-ID"], None if page is None else int(page), said["WARC-Type"], said.get("WARC-Refers-To"),
-            said["WARC-Target-URI"], self.chunk, self.size, self.bytes, base64.b32encode(self.digest.digest()).decode(),
-            said["WARC-Payload-Digest"].removeprefix("sha1:"), not more,
+            said["WARC-Target-URI"], self.chunk, own, self.bytes, base64.b32encode(self.digest.digest()).decode(),
+            said["WARC-Payload-Digest"].removeprefix("sha1:"), not more and not self.left, held,
         )
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """The chunk table of the archives under a path."""
+def read_chunks(spark: SparkSession, path: str, *, payload: bool = True, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The chunk table of the archives under a path; with payload False that column is null."""
     ship_package(spark)
-    names = [x.split()[0] for x in CHUNKS.split(", ")]
+    types = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    schema = pa.schema([(name, types[kind]) for name, kind in (x.split() for x in CHUNKS.split(", "))])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser, end = Parser(), END.encode()
-        schema = pa.schema(
-            [(n, {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[x.split()[1]]) for n, x in zip(names, CHUNKS.split(", "), strict=True)]
-        )
+        parser, end, rows, size = Parser(payload, chunk_bytes), END.encode(), [], 0
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
         for batch in batches:
-            rows = []
             for piece in batch.column(0):
-                rows += parser.feed(piece.as_buffer().to_pybytes() + end)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.field(i).type) for i in range(len(names))], schema=schema)
+                for data in (memoryview(piece.as_buffer()), end):
+                    for row in parser.feed(data):
+                        rows.append(row)
+                        size += len(row[-1] or b"") + 256
+                        if size >= 4 * chunk_bytes:
+                            yield made()
+                            rows, size = [], 0
+            if rows:
+                yield made()
+                rows, size = [], 0
 
     return spark.read.option("lineSep", END).text(path).mapInArrow(parse, CHUNKS)
 
@@ -213,7 +263,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
     A response whose payload doesn't have the digest of its header fails the job.
     """
-    chunks = read_chunks(spark, path).filter("last")
+    chunks = read_chunks(spark, path, payload=False).drop("payload").filter("last")
     sound = F.when(
         (F.col("record_type") == "response") & (F.col("digest_so_far") != F.col("header_digest")),
         F.raise_error(F.concat(F.lit("payload differs from its digest: "), F.col("record_id"))),

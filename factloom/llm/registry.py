@@ -81,6 +81,55 @@ WITH keyed AS (
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM ranked"""
 
 
+OP6_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, words FROM (SELECT doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents)
+), items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, least(len(words), 10) AS n, array_to_string(words[i : i + 9], ' ') AS w
+  FROM (SELECT item, words, unnest(range(1, greatest(1, len(words) - 9) + 1)) AS i FROM items WHERE len(words) > 0)
+), placed AS (
+  SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i, len(words) AS size FROM docs
+), lengths AS (
+  SELECT DISTINCT n FROM windows
+), runs AS (
+  SELECT r, i, size, word, """ + ", ".join(f"lead(word, {k}) OVER o AS w{k}" for k in range(1, 10)) + r"""
+  FROM placed WINDOW o AS (PARTITION BY r ORDER BY i)
+), spots AS (
+  SELECT r, n, i, concat_ws(' ', word, """ + ", ".join(f"CASE WHEN n > {k} THEN w{k} END" for k in range(1, 10)) + r""") AS w
+  FROM runs, lengths WHERE i + n - 1 <= size
+), found AS (
+  SELECT r, i, s.n, item FROM spots s JOIN windows USING (w)
+), hits AS (
+  SELECT r, count(DISTINCT word_at) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS word_at FROM (SELECT DISTINCT r, i, n FROM found)) GROUP BY r
+), named AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS said FROM (SELECT DISTINCT r, item FROM found) GROUP BY r
+)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(said, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r)"""
+
+OP9_SQL = """
+WITH digests AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY x ORDER BY page_id NULLS LAST) AS place,
+    first_value(page_id) OVER (PARTITION BY x ORDER BY page_id NULLS LAST) AS original
+  FROM digests
+)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((CAST('0x' || substr(x, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN place > 1 THEN original END AS refers_to
+FROM ranked"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
@@ -98,4 +147,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.verdict_sql(), "op4_exact_dedup": OP4_SQL}
+    return {"op1_url_filter": url_filter.verdict_sql(), "op4_exact_dedup": OP4_SQL, "op6_decontamination": OP6_SQL, "op9_warc": OP9_SQL}

@@ -106,7 +106,7 @@ class MergeIndex:
         """Rows of another batch whose digest is in the index, with the digest as `_key`."""
         rows = flush(docs, id_col, text_col, self.key_bytes)
         found = [passing(rows, digest_filter(run)).join(run.select("_key").distinct(), "_key", "left_semi") for run in self.runs()]
-        return reduce(DataFrame.unionByName, found).distinct()
+        return reduce(DataFrame.unionByName, found, rows.limit(0)).distinct()
 
 
 def _slot(key: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.text import clean, let
 from factloom.schema import CITATION
+from factloom.session import spread
 
 _NUMBERS = "array<int>"
 
@@ -22,8 +23,10 @@ def sources_by_query(sources: DataFrame) -> DataFrame:
 
 
 def with_sources(answers: DataFrame, sources: DataFrame) -> DataFrame:
-    none = F.array().cast(sources_by_query(sources).schema["sources"].dataType)
-    joined = answers.join(sources_by_query(sources), "query_id", "left")
+    """Answers with their sources, spread by query for the parsing that follows."""
+    listed = sources_by_query(spread(sources, "query_id"))
+    none = F.array().cast(listed.schema["sources"].dataType)
+    joined = spread(answers, "query_id").join(listed, "query_id", "left")
     return joined.withColumn("sources", F.coalesce("sources", none))
 
 

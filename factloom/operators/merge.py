@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from factloom.functions import vocab
 from factloom.functions.normalize import normalize_cell
 from factloom.operators.citations import chunk_key, distinct_by, document_key
+from factloom.session import spread
 
 ORDER = ("spec_ord", "row_ord", "split_ord")
 
@@ -44,11 +45,12 @@ def identity_key(template_id: str, columns: Sequence[str], values: str = "values
 def support(rows: DataFrame, template_id: str, columns: Sequence[str]) -> DataFrame:
     """Identity and number of supporting rows.
 
-    Rows are counted by spelling first, so each distinct spelling is normalised once.
+    Rows are counted by spelling first, so each distinct spelling is normalised once, and
+    spellings are spread over all tasks, since normalising is what costs.
     """
     parts = [F.col("values")[c].alias(c) for c in identity_columns(template_id, columns)]
     spelled = rows.groupBy(F.struct(*parts).alias("values")).agg(F.count("*").alias("_n"))
-    return spelled.groupBy(identity_key(template_id, columns).alias("identity")).agg(F.sum("_n").alias("n_support"))
+    return spread(spelled).groupBy(identity_key(template_id, columns).alias("identity")).agg(F.sum("_n").alias("n_support"))
 
 
 def _item(kind: str, at: Column, name: Column, text: Column, norm: Column, payload: Column) -> Column:

@@ -16,7 +16,7 @@ from factloom.operators import batch, context, export, merge, score
 from factloom.operators import citations as C
 from factloom.operators import extract as E
 from factloom.schema import SOURCE, Template
-from factloom.session import table
+from factloom.session import table, unnested
 
 MUTATION = Template("mutation", "resistance mutations", columns=("Organism", "Gene Name", "Mutation", "Phenotype", "Assertion", "Reference"))
 NEEDS_PHENOTYPE = Template("mutation", columns=MUTATION.columns, required=("Phenotype",))
@@ -179,7 +179,7 @@ FLAGGED = _Cells(lambda: (*CELLS[:2], _unless(5, "N/A", CELLS[2]), *CELLS[3:5],
 
 def flag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each flag."""
-    return _facts(spark, sf_dir, FLAGGED).select(F.explode("flags").alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
+    return unnested(_facts(spark, sf_dir, FLAGGED), "flags", "flag").groupBy("flag").agg(F.count("*").alias("n"))
 
 
 FLAG_HISTOGRAM = f"""
@@ -195,7 +195,7 @@ def off_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def citation_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paper and passages of each row's marker; markers beyond the sources stay unresolved."""
-    cited = _facts(spark, sf_dir).select("l_orderkey", "row_ord", F.explode("citations").alias("c"))
+    cited = unnested(_facts(spark, sf_dir), "citations", "c", "l_orderkey", "row_ord")
     return cited.select("l_orderkey", "row_ord", "c.marker", "c.pmid", "c.resolved", F.size("c.chunks").alias("passages"))
 
 
@@ -208,7 +208,7 @@ SELECT l_orderkey, {ORD_SQL}, CAST(l_linenumber AS INT) AS marker,
 def citation_author_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References by author and year instead of numbers."""
     named = F.concat(F.get(F.array(F.lit("Stone et al., "), F.lit("Field et al., "), F.lit("Nobody, ")), _mod("l_partkey", 3).cast("int")), F.get(F.array(F.lit("2001"), F.lit("2004")), _mod("l_suppkey", 2).cast("int")))
-    cited = _facts(spark, sf_dir, (*CELLS[:5], named)).select("l_orderkey", "row_ord", F.explode("citations").alias("c"))
+    cited = unnested(_facts(spark, sf_dir, (*CELLS[:5], named)), "citations", "c", "l_orderkey", "row_ord")
     return cited.select("l_orderkey", "row_ord", "c.marker", "c.matched_by")
 
 
@@ -221,7 +221,7 @@ SELECT l_orderkey, row_ord, CAST(k AS INT) AS marker, 'author' AS matched_by FRO
 def citation_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A span of markers, collapsed by paper: sources 1 and 3 are one."""
     span = F.concat(F.lit("[1-"), (1 + _mod("l_partkey", 4)).cast("string"), F.lit("]"))
-    cited = _facts(spark, sf_dir, (*CELLS[:5], span)).select("l_orderkey", "row_ord", F.explode("citations").alias("c"))
+    cited = unnested(_facts(spark, sf_dir, (*CELLS[:5], span)), "citations", "c", "l_orderkey", "row_ord")
     return cited.select("l_orderkey", "row_ord", "c.pmid", F.array_join(F.transform("c.chunks", lambda k: k["marker"].cast("string")), ",").alias("markers"))
 
 
@@ -405,7 +405,7 @@ SELECT gene, count(*) AS reference, CAST(sum(f) AS BIGINT) AS found, round(sum(f
 def expand_alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slash lists of a part's key, one row for each allele."""
     value = F.concat(F.lit("G"), (1 + _mod("p_partkey", 300)).cast("string"), F.get(F.array(*map(F.lit, ("S", "S/M", "S/M/C", "Ser/Met"))), _mod("p_partkey", 4).cast("int")))
-    return table(spark, sf_dir, "part").select("p_partkey", F.explode(N.expand_mutation(value)).alias("allele"))
+    return unnested(table(spark, sf_dir, "part").withColumn("alleles", N.expand_mutation(value)), "alleles", "allele", "p_partkey")
 
 
 EXPAND_ALLELES = """

@@ -14,7 +14,7 @@ from factloom.functions import text as X
 from factloom.functions import vocab
 from factloom.operators import citations as C
 from factloom.operators import context, merge, retrieve, score
-from factloom.session import table
+from factloom.session import spread, table
 from factloom.sources import corpus, specs
 
 TOP_K = 10
@@ -73,7 +73,7 @@ FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey
 
 def norm_mutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     spelled = table(spark, sf_dir, "lineitem").groupBy(_spelling().alias("v"), _gene().alias("g")).agg(F.count("*").alias("n"))
-    return spelled.groupBy(N.normalize_mutation(F.col("v"), F.col("g")).alias("mutation")).agg(F.sum("n").alias("n"))
+    return spread(spelled).groupBy(N.normalize_mutation(F.col("v"), F.col("g")).alias("mutation")).agg(F.sum("n").alias("n"))
 
 
 def _choice(key: Column, values: list[str]) -> Column:
@@ -168,8 +168,10 @@ def rrf_fused_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense ranks fused with a second ranking: the query's own label first, then by id."""
     vectors, asked = _vectors(spark, sf_dir)
     near = retrieve.dense(vectors, asked, 50)
+    # The first 50 of each label, before any query meets them: a label may have a third of all rows.
+    first = vectors.select("vec_id", "label").withColumn("_at", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).filter("_at <= 50")
     labelled = asked.join(vectors.select(F.col("vec_id").alias("query_id"), "label"), "query_id").select("query_id", "label")
-    same = retrieve.rank(vectors.select("vec_id", "label").join(labelled, "label").select("query_id", "vec_id", F.lit(0.0).alias("score")), 50, "vec_id")
+    same = retrieve.rank(labelled.join(first, "label").select("query_id", "vec_id", F.lit(0.0).alias("score")), 50, "vec_id")
     return retrieve.fuse([near, same], TOP_K, key="vec_id").select("query_id", "vec_id", "source_rank", F.round("score", 6).alias("score"))
 
 

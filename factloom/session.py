@@ -15,6 +15,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: What a local session starts with; a cluster passes its own.
 LOCAL_CONF = {
@@ -33,6 +34,25 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
     return builder.config(map=settings).getOrCreate()
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all of the session's shuffle partitions, by keys or in turn.
+
+    For steps whose cost is in their expressions: adaptive execution merges partitions by
+    their bytes, and would leave few short but costly rows to one or two tasks. A number
+    that is asked for by name stays.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def unnested(rows: DataFrame, array: str, name: str, *kept: str) -> DataFrame:
+    """One row per element that isn't null, with the kept columns.
+
+    An outer explode, filtered afterwards: a plain one adds a filter on its input, which
+    Catalyst pushes through the steps that made the array and so evaluates them repeatedly.
+    """
+    return rows.select(*kept, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
 _shipped: set[str] = set()
 
 

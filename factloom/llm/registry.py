@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from factloom.llm import decontamination, exact_dedup, packing, pii, sharding, simhash, tokens, toxicity, url_filter, warc
+from factloom.llm import decontamination, exact_dedup, packing, pieces, pii, sharding, simhash, tokens, toxicity, url_filter, warc
 from factloom.session import table
 
 SHARDS = 40
@@ -67,6 +67,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(pii.find_pii(docs))
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokens.vocabulary("piece_bpe_32k.model")
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return pieces.digest_columns(pieces.decode(coded, path))
+
+
 OP4_SQL = """
 WITH keyed AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -142,6 +148,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_warc": op9_warc,
         "op10_pii": op10_pii,
+        "op13_sentencepiece": op13_sentencepiece,
         "pipeline": corpus_pipeline.run,
     }
 

@@ -25,9 +25,10 @@ by one, as in the library.
 from __future__ import annotations
 
 import codecs
+import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -136,15 +137,18 @@ class PieceModel:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts."""
-        out: list[np.ndarray] = []
+        return list(self.encoded(texts))
+
+    def encoded(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The same, a group of texts at a time."""
         group, size = [], 0
         for text in texts:
             group.append(text)
             size += len(text)
             if size >= GROUP_CHARS:
-                out += self._group(group)
+                yield from self._group(group)
                 group, size = [], 0
-        return out + self._group(group)
+        yield from self._group(group)
 
     def _group(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.seen) > REMEMBERED:
@@ -347,11 +351,23 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
     return df.withColumn(text_col, text(F.col(ids_col)))
 
 
-def digest_columns(coded: DataFrame) -> DataFrame:
-    """doc_id, the number of ids, and digests of the ids and of the decoded text."""
-    return coded.select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+def digests(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """Adds n_tokens, and SHA-256 digests of the ids (decimal, by commas) and of the text decoded from them.
+
+    Ids stay in the task, a group of texts at a time, so memory doesn't grow with a batch's ids.
+    """
+    ship_package(df.sparkSession)
+
+    @F.pandas_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
+    def told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = model(path)
+        digits = [str(i) for i in range(own.size)]
+        sha = lambda x: hashlib.sha256(x.encode("utf-8")).hexdigest()
+        for texts in batches:
+            rows = [(len(ids), sha(",".join(map(digits.__getitem__, ids.tolist()))), sha(own.decode(ids))) for ids in own.encoded("" if x is None else x for x in texts)]
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    names = ("n_tokens", "ids_sha256", "decoded_sha256")
+    kept = [c for c in df.columns if c not in names]
+    found = df.select(*kept, told(F.col(text_col)).alias("_told"))
+    return found.select(*kept, *[F.col("_told")[c].alias(c) for c in names])

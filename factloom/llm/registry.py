@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from factloom.llm import decontamination, exact_dedup, packing, pieces, pii, sharding, simhash, tokens, toxicity, url_filter, warc
+from factloom.llm import decontamination, exact_dedup, merkle, packing, pieces, pii, sharding, simhash, tokens, toxicity, url_filter, warc
 from factloom.session import table
 
 SHARDS = 40
@@ -67,10 +67,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(pii.find_pii(docs))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit("")))
+    return merkle.digest_columns(merkle.prove(merkle.document_leaves(table(spark, sf_dir, "documents"), tampered)))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokens.vocabulary("piece_bpe_32k.model")
-    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    return pieces.digest_columns(pieces.decode(coded, path))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.digests(docs, tokens.vocabulary("piece_bpe_32k.model")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 OP4_SQL = """
@@ -148,10 +152,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_warc": op9_warc,
         "op10_pii": op10_pii,
+        "op11_merkle": op11_merkle,
         "op13_sentencepiece": op13_sentencepiece,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.verdict_sql(), "op4_exact_dedup": OP4_SQL, "op6_decontamination": OP6_SQL, "op9_warc": OP9_SQL}
+    return {"op1_url_filter": url_filter.verdict_sql(), "op4_exact_dedup": OP4_SQL, "op6_decontamination": OP6_SQL, "op9_warc": OP9_SQL, "op11_merkle": merkle.SQL}

@@ -221,15 +221,15 @@ WITH RECURSIVE crc AS (
   SELECT level, known, s, place // 3 AS run, list(d ORDER BY place) AS ds FROM nodes WHERE n > 1 GROUP BY ALL
   UNION ALL SELECT level, true, NULL, place // 3, list(d ORDER BY place) FROM above WHERE n > 1 GROUP BY ALL
 ), wanted AS (
-  SELECT p.r, k.level, p.known, p.s, CAST(p.place // pow(3, k.level) AS BIGINT) AS spot FROM placed p JOIN (SELECT DISTINCT level, known, s FROM nodes WHERE n > 1) k ON k.known = p.known AND k.s = p.s
-  UNION ALL SELECT p.r, k.level, true, NULL, CAST(b.place // pow(3, k.level - 1000) AS BIGINT) FROM placed p JOIN subroots b ON b.known = p.known AND b.s = p.s, (SELECT DISTINCT level FROM above WHERE n > 1) k
+  SELECT p.r, k.level, p.known, p.s, p.place // CAST(pow(3, k.level) AS BIGINT) AS spot FROM placed p JOIN (SELECT DISTINCT level, known, s FROM nodes WHERE n > 1) k ON k.known = p.known AND k.s = p.s
+  UNION ALL SELECT p.r, k.level, true, NULL, b.place // CAST(pow(3, k.level - 1000) AS BIGINT) FROM placed p JOIN subroots b ON b.known = p.known AND b.s = p.s, (SELECT DISTINCT level FROM above WHERE n > 1) k
 ), steps AS (
   SELECT r, w.level, array_to_string(ds[1 : (spot % 3)], '') AS b, array_to_string(ds[(spot % 3 + 2) : 3], '') AS a FROM wanted w JOIN runs q ON w.level = q.level AND w.known = q.known AND w.s IS NOT DISTINCT FROM q.s AND w.spot // 3 = q.run
 ), paths AS (
-  SELECT r, list({{'b': b, 'a': a}} ORDER BY level) AS path, string_agg(b || a, '' ORDER BY level) AS siblings FROM steps GROUP BY r
+  SELECT r, list(b || '|' || a ORDER BY level) AS path, string_agg(b || a, '' ORDER BY level) AS siblings FROM steps GROUP BY r
 ), folded AS (
   SELECT p.doc_id, p.leaf, b.d AS subroot, (SELECT d FROM above WHERE n = 1) AS root, sha256(coalesce(siblings, '')) AS proof_sha256,
-    CASE WHEN path IS NULL THEN seen ELSE list_reduce(list_prepend({{'b': seen, 'a': ''}}, path), lambda x, y: {{'b': sha256(y.b || x.b || y.a), 'a': ''}}).b END AS folded_root
+    CASE WHEN path IS NULL THEN seen ELSE list_reduce(list_prepend(seen, path), lambda x, y: sha256(split_part(y, '|', 1) || x || split_part(y, '|', 2))) END AS folded_root
   FROM placed p JOIN subroots b ON b.known = p.known AND b.s = p.s LEFT JOIN paths USING (r)
 )
 SELECT *, folded_root = root AS verified FROM folded"""

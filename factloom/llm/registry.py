@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from factloom.llm import decontamination, exact_dedup, merkle, packing, pieces, pii, sharding, simhash, tokens, toxicity, url_filter, warc
+from factloom.llm import decontamination, exact_dedup, merkle, packing, phrases, pieces, pii, sharding, simhash, tokens, toxicity, url_filter, warc
 from factloom.session import table
 
 SHARDS = 40
@@ -72,6 +72,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digest_columns(merkle.prove(merkle.document_leaves(table(spark, sf_dir, "documents"), tampered)))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.digests(docs, tokens.vocabulary("piece_bpe_32k.model")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -153,10 +157,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_warc": op9_warc,
         "op10_pii": op10_pii,
         "op11_merkle": op11_merkle,
+        "op12_collocations": op12_collocations,
         "op13_sentencepiece": op13_sentencepiece,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.verdict_sql(), "op4_exact_dedup": OP4_SQL, "op6_decontamination": OP6_SQL, "op9_warc": OP9_SQL, "op11_merkle": merkle.SQL}
+    return {"op1_url_filter": url_filter.verdict_sql(), "op4_exact_dedup": OP4_SQL, "op6_decontamination": OP6_SQL, "op9_warc": OP9_SQL, "op11_merkle": merkle.SQL, "op12_collocations": phrases.SQL}

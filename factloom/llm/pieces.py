@@ -167,7 +167,7 @@ class PieceModel:
             self.seen.new = []
         lengths = self.lengths[numbers]
         ids = self.flat[_flattened(self.starts[numbers], lengths)]
-        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)]
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts, dtype=np.int64)]
         return np.split(ids, ends[:-1]) if texts else []
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -369,5 +369,6 @@ def digests(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
 
     names = ("n_tokens", "ids_sha256", "decoded_sha256")
     kept = [c for c in df.columns if c not in names]
-    found = df.select(*kept, told(F.col(text_col)).alias("_told"))
-    return found.select(*kept, *[F.col("_told")[c].alias(c) for c in names])
+    fresh = "_".join(["", *df.columns])  # a name that no column has
+    found = df.withColumn(fresh, told(F.col(text_col)))
+    return found.select(*[f"`{c}`" for c in kept], *[F.col(f"`{fresh}`")[c].alias(c) for c in names])

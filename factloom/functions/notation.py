@@ -4,8 +4,8 @@ Forms are then told by the row of classes (the shape), one character for each le
 their values are taken by place. Nothing here depends on the order of the forms tried.
 
 Classes: A three-letter residue, M residue name, B base name, L single letter, N number,
-T word or arrow of change, P word of position, R non-coding region, W any other word;
-punctuation stands for itself. White space only separates.
+T word or arrow of change, P "at", Q word of position, Z "amino acid", R non-coding region,
+W any other word; punctuation stands for itself. White space only separates.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ LEXICON = (
     | {word: "A" + code for word, code in vocab.AMINO_THREE.items()}
     | {word: "B" + code for word, code in vocab.BASE_NAMES.items()}
     | {word: "T" for word in ("to", "into", "by", "for", *vocab.ARROWS)}
-    | {word: "P" for word in ("at", "position", "codon", "residue", "amino acid", "amino-acid")}
+    | {"at": "P", "position": "Q", "codon": "Q", "residue": "Q", "amino acid": "Z"}
     | {word: "R" for word in ("utr", "nc", "promoter", "intron")}
     | {"–": "-", "_": "-"}
 )
@@ -38,7 +38,7 @@ def read(token: Column) -> Column:
     entries = F.transform(F.regexp_extract_all(token, F.lit(LEXEME), F.lit(0)), entry)
     return let(
         entries,
-        lambda e: F.struct(F.array_join(F.transform(e, lambda x: F.left(x, F.lit(1))), "").alias("shape"), F.transform(e, lambda x: F.substring(x, 2, 99)).alias("codes")),
+        lambda e: F.struct(F.array_join(F.transform(e, lambda x: F.left(x, F.lit(1))), "").alias("shape"), F.transform(e, lambda x: F.substr(x, F.lit(2))).alias("codes")),
     )
 
 
@@ -70,11 +70,11 @@ def _position(seen: Column, negative: Column) -> Column:
 QUALIFIER = "(?:[A-Z'’/]{1,8}[-:])?"
 CHANGE = "-?T-?"
 #: Where a hyphen before the position is its sign, not a separator.
-SIGNED = "(?:^|[P:-])-N[^N]*$|-N$"
+SIGNED = "(?:^|[PQZ:-])-N[^N]*$|-N$"
 RESIDUES_IN_WORDS = (
-    f"P+-?N,?[AM]{CHANGE}[AM]|{QUALIFIER}-?N,?[AM]{CHANGE}[AM]"  # the position first
+    f"P?[QZ]-?N,*[AM]{CHANGE}[AM]|{QUALIFIER}-?N,*[AM]{CHANGE}[AM]"  # the position first
     f"|[AM]-{{0,2}}N{CHANGE}[AM]"  # inside
-    f"|[AM]{CHANGE}[AM]P*-?N"  # last
+    f"|[AM]{CHANGE}[AM]P?Q?-?N"  # last
 )
 BASES_IN_WORDS = f"{QUALIFIER}-?N,?[BL]{CHANGE}[BL]"
 

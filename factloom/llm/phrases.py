@@ -3,13 +3,13 @@
 Texts are cut into pieces at punctuation and pieces into words. Level 1 names the frequent
 words; at each further level adjacent frequent (k-1)-grams are replaced by the name of
 their pair, if it is frequent, so that a k-gram's name has two parents: its first and its
-last k-1 words. Names are given globally, by counting and by joins.
+last k-1 words. Names are global.
 
 Occurrences never travel one by one. Tasks gather the words of about BLOCK_WORDS words of
 text into a block: an array of block-local codes, and one row for each distinct code with
-its count. Counting and naming are a grouping and a join of these rows, so a word that
-makes a third of all text is one row for each block; the join may be split by adaptive
-execution. A block then meets its codes' names (a cogroup whose groups are bounded by the
+its count. These rows meet by their words, or by the names of their parents, and get their
+total and their common name; a word that makes a third of all text is one row for each
+block there, few beside all the rows of the blocks. A block then meets its codes' names (a cogroup whose groups are bounded by the
 block's size) and makes the codes of the next level. Counts and cuts follow the parents:
 the count of a phrase's first j words is that of its first parent's, and so on; a phrase is
 subsumed if a frequent child has a large enough share of its occurrences.
@@ -33,6 +33,8 @@ from factloom.session import release, ship_package, stage
 BLOCK_WORDS = 1 << 20
 #: Bytes of a text that are read together, at least.
 SLAB = 1 << 20
+#: Parts of a language that are ranked by themselves.
+PARTS = 32
 UNNAMED = "und"
 BREAKS = ".,;:!?\n\x0b\x0c\r"
 _ENDS = b"\n"
@@ -152,11 +154,18 @@ def grams(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", le
     sizes = stage(own.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-sizes")
     keys, found = ["lang", "word"], []
     for k in range(1, most_words + 1):
-        counted = own.groupBy(*keys).agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-        found.append(stage(counted.select(F.monotonically_increasing_id().alias("name"), *keys, "f"), f"phrase-grams{k}", options=compact))
         if k == most_words:
+            counted = own.groupBy(*keys).agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+            found.append(stage(counted.select(F.monotonically_increasing_id().alias("name"), *keys, "f"), f"phrase-grams{k}", options=compact))
             break
-        named = own.select("block", "code", *keys).join(found[-1].drop("f"), keys).select(F.col("block").alias("of"), "code", "name")
+        # A gram is named by its first row, so counting and naming are one shuffle.
+        rows = own.select("block", "code", *keys, "n", F.monotonically_increasing_id().alias("row"))
+        same = Window.partitionBy(*keys)
+        counted = rows.withColumns({"f": F.sum("n").over(same), "name": F.min("row").over(same)}).filter(F.col("f") >= least)
+        first = [F.when(F.col("row") == F.col("name"), F.col(c)).alias(c) for c in (*keys, "f")]
+        counted = stage(counted.select("block", "code", "name", *first), f"phrase-grams{k}", options=compact)
+        found.append(counted.filter("f is not null").select("name", *keys, "f"))
+        named = counted.select(F.col("block").alias("of"), "code", "name")
         blocks = level.filter("codes is not null").select("block", "codes")
         pairs = blocks.groupBy("block").cogroup(named.groupBy("of")).applyInArrow(_paired(k + 1 == most_words), PAIRS_DDL)
         before, level = level, stage(pairs, f"phrase-pairs{k + 1}", options=compact)
@@ -208,8 +217,11 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
         scored = own if scored is None else scored.unionByName(own)
     if scored is None:
         raise ValueError("phrases have two words at least")
-    order = Window.partitionBy("lang").orderBy(F.col("best.score").desc(), F.col("a").desc(), "phrase")
-    ranked = scored.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= top)
+    order = (F.col("best.score").desc(), F.col("a").desc(), F.col("phrase"))
+    # First in PARTS of a language, so that a large one isn't left to one task.
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
+    nearly = scored.withColumn("_place", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order))).filter(F.col("_place") <= top)
+    ranked = nearly.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("bigint")).filter(F.col("rank") <= top)
     return ranked.join(sizes, "lang").select("lang", "rank", "phrase", "a", "best.l", "best.r", "n", "best.score")
 
 

@@ -1,10 +1,16 @@
 """Merging rows that state the same fact.
 
-Rows are grouped by a normalised identity. Everything a merged row needs is first turned
-into items (values, flags, citations, query ids) and reduced per (identity, item) with
-partial aggregation: a fact that a third of all rows state is one record per distinct item
-before anything is gathered. What is gathered per fact is bounded by its distinct
-spellings, flags, passages and queries, not by its rows.
+Rows are grouped by a normalised identity. What a merged row needs is turned into parts, one
+for each distinct value, flag, citation, query id and so on of a fact, with its first and
+last arrival and its number of rows. Parts are mergeable: minima, maxima and sums over any
+split of the rows, in any order, give the parts of the whole, so that facts may be merged at
+once (`merge_facts`) or batch by batch (`streaming.facts`).
+
+Parts are reduced by the identity as written before anything is normalised, with partial
+aggregation, so each spelling is normalised once and a fact that a third of all rows state
+is one record for each distinct part before it is gathered. `facts_of` gathers what its
+spellings and flags bound; queries and citations, which grow with the rows, are counted, and
+listed as arrays only where asked for; `members` gives them as keyed tables.
 
 Variants compare each arrival with the running representative, so distinct spellings are
 replayed in order, at their first and at their last arrival.
@@ -53,32 +59,33 @@ def support(rows: DataFrame, template_id: str, columns: Sequence[str]) -> DataFr
     return spread(spelled).groupBy(identity_key(template_id, columns).alias("identity")).agg(F.sum("_n").alias("n_support"))
 
 
-def _item(kind: str, at: Column, name: Column, text: Column, norm: Column, payload: Column) -> Column:
-    return F.struct(
-        F.lit(kind).alias("kind"), at.cast("int").alias("at"), name.alias("name"), text.alias("text"), norm.alias("norm"), payload.alias("payload")
-    )
-
+def _items(columns: Sequence[str], folded: Sequence[str], first: Sequence[str], citation_type: str) -> Column:
+    """All parts of a row, as one array."""
+    none = F.lit(None).cast(citation_type)
+    lead = F.struct(*[F.coalesce(F.col("values")[c], F.lit("")).alias(c) for c in first])
 
-def _items(columns: Sequence[str], folded: Sequence[str], citation_type: str) -> Column:
-    """All items of a row, as one array."""
-    none, empty = F.lit(None).cast(citation_type), F.lit("")
-    cells = F.array(
-        *[_item("value", F.lit(i), F.lit(c), F.col("values")[c], normalize_cell(c, F.col("values")[c]), none) for i, c in enumerate(columns) if c in folded]
-    )
-    flags = F.transform("flags", lambda f, i: _item("flag", i, f, empty, empty, none))
-    queries = F.transform("query_ids", lambda q, i: _item("query", i, q, empty, empty, none))
+    def item(kind: str, at: Column, name: Column, text: Column, payload: Column = none, row: bool = False) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"), at.cast("int").alias("at"), name.alias("name"), text.alias("text"), payload.alias("payload"),
+            (F.col("n_support") if row else F.lit(0)).cast("bigint").alias("n"), F.lit(int(row)).cast("bigint").alias("rows"), (lead if row else F.lit(None)).alias("lead"),
+        )
+
+    empty = F.lit("")
+    whole = F.array(item("row", F.lit(0), empty, empty, row=True))
+    cells = [item("value", F.lit(i), F.lit(c), F.coalesce(F.col("values")[c], empty)) for i, c in enumerate(columns) if c in folded]
+    flags = F.transform("flags", lambda f, i: item("flag", i, f, empty))
+    queries = F.transform("query_ids", lambda q, i: item("query", i, q, empty))
     passages = F.flatten(
         F.transform(
             "citations",
-            lambda c, i: F.when(F.size(c["chunks"]) > 0, F.transform(c["chunks"], lambda k: _item("citation", i, F.col("_source"), _document(c), chunk_key(k), c.withField("chunks", F.array(k))))).otherwise(
-                F.array(_item("citation", i, F.col("_source"), _document(c), empty, c))
+            lambda c, i: F.when(F.size(c["chunks"]) > 0, F.transform(c["chunks"], lambda k: item("citation", i, F.concat_ws("\x1f", F.col("_source"), chunk_key(k)), _document(c), c.withField("chunks", F.array(k))))).otherwise(
+                F.array(item("citation", i, F.col("_source"), _document(c), c))
             ),
         )
     )
-    notations = F.transform(F.map_entries("standard"), lambda e, i: _item("standard", i, e["key"], e["value"], empty, none))
-    old = F.flatten(F.transform(F.map_entries("variants"), lambda e: F.transform(e["value"], lambda v, i: _item("variant", i, e["key"], v, empty, none))))
-    parts = [flags, queries, passages, notations, old] + ([cells] if folded else [])
-    return F.concat(*parts)
+    notations = F.transform(F.map_entries("standard"), lambda e, i: item("standard", i, e["key"], e["value"]))
+    old = F.flatten(F.transform(F.map_entries("variants"), lambda e: F.transform(e["value"], lambda v, i: item("variant", i, e["key"], v))))
+    return F.concat(whole, flags, queries, passages, notations, old, *([F.array(*cells)] if cells else []))
 
 
 def _document(c: Column) -> Column:
@@ -110,27 +117,81 @@ def _prepared(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_source", F.coalesce(F.try_element_at("query_ids", F.lit(1)), F.lit("")))
 
 
-def merge_facts(rows: DataFrame, template_id: str, columns: Sequence[str]) -> DataFrame:
-    """One row per fact: identity, order of first arrival, values, citations, flags,
-    n_support, query_ids, standard and variants."""
-    rows = _prepared(rows)
-    citation_type = rows.schema["citations"].dataType.elementType.simpleString()
+def _split(template_id: str, columns: Sequence[str]) -> tuple[list[str], list[str]]:
+    """Columns that are folded over all rows, and those of which the first row counts."""
     identity = set(vocab.IDENTITY.get(template_id, ()))
     folded = [c for c in columns if c not in identity and c.strip().lower() not in vocab.REFERENCE]
-    first = [c for c in columns if c not in folded]
-    keyed = rows.withColumn("identity", identity_key(template_id, columns)).withColumn("ord", F.struct(*ORDER))
-    whole = keyed.groupBy("identity").agg(
-        F.min("ord").alias("first"),
-        F.sum("n_support").alias("n_support"),
-        F.count("*").alias("_rows"),
-        *[F.min_by(F.col("values")[c], "ord").alias(f"first:{c}") for c in first],
-    )
-    items = keyed.select("identity", "ord", F.inline(_items(columns, folded, citation_type)))
-    spelled = items.groupBy("identity", "kind", "name", "text", "norm").agg(
-        F.min(F.struct("ord", "at")).alias("early"), F.max(F.struct("ord", "at")).alias("late"), F.min_by("payload", F.struct("ord", "at")).alias("payload")
+    return folded, [c for c in columns if c not in folded]
+
+
+def _reduced(parts: DataFrame, *keys: str) -> DataFrame:
+    return parts.groupBy(*keys, "kind", "name", "text").agg(
+        F.min("early").alias("early"), F.max("late").alias("late"), F.min_by("payload", "early").alias("payload"),
+        F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.min_by("lead", "early").alias("lead"),
+    )
+
+
+def fact_parts(rows: DataFrame, template_id: str, columns: Sequence[str]) -> DataFrame:
+    """Mergeable parts: identity, kind, name, text, early, late, payload, n, rows, lead."""
+    rows = _prepared(rows)
+    citation_type = rows.schema["citations"].dataType.elementType.simpleString()
+    folded, first = _split(template_id, columns)
+    written = F.struct(*[F.col("values")[c].alias(c) for c in identity_columns(template_id, columns)])
+    items = rows.select(written.alias("written"), F.struct(*ORDER).alias("ord"), F.inline(_items(columns, folded, first, citation_type)))
+    at = F.struct("ord", "at")
+    items = items.select("written", "kind", "name", "text", at.alias("early"), at.alias("late"), "payload", "n", "rows", "lead")
+    by_spelling = _reduced(items, "written")
+    # One row for each spelling; normalising is what costs, so they go over all tasks.
+    named = spread(by_spelling.filter("kind = 'row'").select(F.col("written").alias("values")))
+    named = named.select(F.col("values").alias("_written"), identity_key(template_id, columns).alias("identity"))
+    return _reduced(by_spelling.join(named, F.col("written").eqNullSafe(F.col("_written"))), "identity")
+
+
+def combine(*parts: DataFrame) -> DataFrame:
+    """The parts of all rows from the parts of batches of them."""
+    every = parts[0]
+    for other in parts[1:]:
+        every = every.unionByName(other)
+    return _reduced(every, "identity")
+
+
+def members(parts: DataFrame, kind: str) -> DataFrame:
+    """A keyed table of what may be long: kind `query` gives identity, query_id and first, `citation` identity, document, citation and first."""
+    own = parts.filter(F.col("kind") == kind)
+    first = F.col("early.ord").alias("first")
+    if kind == "query":
+        return own.select("identity", F.col("name").alias("query_id"), first)
+    return own.select("identity", F.col("text").alias("document"), F.col("payload").alias("citation"), first)
+
+
+def facts_of(parts: DataFrame, template_id: str, columns: Sequence[str], *, listed: bool = True) -> DataFrame:
+    """One row per fact: identity, order of first arrival, values, flags, n_support,
+    standard, variants, n_queries and n_passages; listed: with arrays of all its citations
+    and query_ids as well.
+    """
+    folded, first = _split(template_id, columns)
+    normal = F.lit("")
+    for c in folded:
+        normal = F.when((F.col("kind") == "value") & (F.col("name") == c), normalize_cell(c, F.col("text"))).otherwise(normal)
+    short = ("value", "flag", "standard", "variant")
+    part = F.struct("early", "late", "kind", "name", "text", "norm", *(["payload"] if listed else []))
+    gathered = part if listed else F.when(F.col("kind").isin(*short), part)
+    counted = lambda kind: F.count_if(F.col("kind") == kind)
+    facts = parts.withColumn("norm", normal).groupBy("identity").agg(
+        F.min(F.when(F.col("kind") == "row", F.col("early.ord"))).alias("first"),
+        F.sum("n").alias("n_support"),
+        F.sum("rows").alias("_rows"),
+        F.min_by("lead", F.when(F.col("kind") == "row", F.col("early"))).alias("_lead"),
+        counted("query").alias("n_queries"),
+        counted("citation").alias("n_passages"),
+        F.array_sort(F.collect_list(gathered)).alias("items"),
     )
-    gathered = spelled.groupBy("identity").agg(F.array_sort(F.collect_list(F.struct("early", "late", "kind", "name", "text", "norm", "payload"))).alias("items"))
-    return _assembled(whole.join(gathered, "identity", "left"), template_id, columns, folded)
+    return _assembled(facts, template_id, columns, folded, listed)
+
+
+def merge_facts(rows: DataFrame, template_id: str, columns: Sequence[str], *, listed: bool = True) -> DataFrame:
+    """The facts of rows, as `facts_of` gives them."""
+    return facts_of(fact_parts(rows, template_id, columns), template_id, columns, listed=listed)
 
 
 def _of(kind: str, name: str | None = None) -> Column:
@@ -165,9 +226,9 @@ def _fold(column: str, position: int) -> Column:
     return F.aggregate(arrivals, cast(start), lambda s, x: cast(step(s, x)))
 
 
-def _assembled(facts: DataFrame, template_id: str, columns: Sequence[str], folded: Sequence[str]) -> DataFrame:
+def _assembled(facts: DataFrame, template_id: str, columns: Sequence[str], folded: Sequence[str], listed: bool) -> DataFrame:
     facts = facts.withColumns({f"fold:{c}": _fold(c, i) for i, c in enumerate(columns) if c in folded})
-    cell = lambda c: (F.col(f"`fold:{c}`")["text"] if c in folded else F.coalesce(F.col(f"`first:{c}`"), F.lit(""))).alias(c)
+    cell = lambda c: (F.col(f"`fold:{c}`")["text"] if c in folded else F.coalesce(F.col("_lead")[c], F.lit(""))).alias(c)
     old = lambda c: F.transform(_of("variant", c), lambda x: x["text"])
     variants = F.map_filter(
         F.map_from_arrays(
@@ -182,30 +243,23 @@ def _assembled(facts: DataFrame, template_id: str, columns: Sequence[str], folde
     given = F.transform(_of("flag"), lambda x: F.struct(x["early"]["ord"].alias("ord"), x["early"]["at"].alias("at"), x["name"].alias("flag")))
     every = F.array_sort(given if raised is None else F.concat(given, raised.cast("array<struct<ord:struct<spec_ord:bigint,row_ord:int,split_ord:int>,at:int,flag:string>>")))
     flags = F.array_distinct(F.transform(every, lambda x: x["flag"]))
-    cited = _of("citation")
-    documents = F.array_distinct(F.transform(cited, lambda x: x["text"]))
-
-    def paper(key: Column) -> Column:
-        own = F.filter(cited, lambda x: x["text"] == key)
-        chunks = F.array_sort(distinct_by(F.flatten(F.transform(own, lambda x: x["payload"]["chunks"])), chunk_key))
-        return F.get(own, F.lit(0))["payload"].withField("chunks", chunks)
-
+    flags = F.when((F.col("n_passages") > 0) & (F.col("_rows") > 1), F.array_remove(flags, "no_citation")).otherwise(flags)
     standard = distinct_by(F.transform(_of("standard"), lambda x: F.struct(x["name"].alias("key"), x["text"].alias("value"))), lambda e: e["key"])
-    out = facts.select(
-        "identity",
-        "first",
-        F.lit(template_id).alias("template_id"),
-        F.struct(*[cell(c) for c in columns]).alias("values"),
-        F.transform(documents, paper).alias("citations"),
-        flags.alias("flags"),
-        "n_support",
-        "_rows",
-        F.array_distinct(F.transform(_of("query"), lambda x: x["name"])).alias("query_ids"),
-        F.map_from_entries(standard).alias("standard"),
-        variants.alias("variants"),
-    )
-    cleared = F.when((F.size("citations") > 0) & (F.col("_rows") > 1), F.array_remove("flags", "no_citation")).otherwise(F.col("flags"))
-    return out.withColumn("flags", cleared).drop("_rows")
+    lists = []
+    if listed:
+        cited = _of("citation")
+
+        def paper(key: Column) -> Column:
+            own = F.filter(cited, lambda x: x["text"] == key)
+            chunks = F.array_sort(distinct_by(F.flatten(F.transform(own, lambda x: x["payload"]["chunks"])), chunk_key))
+            return F.get(own, F.lit(0))["payload"].withField("chunks", chunks)
+
+        documents = F.array_distinct(F.transform(cited, lambda x: x["text"]))
+        lists = [F.transform(documents, paper).alias("citations"), F.array_distinct(F.transform(_of("query"), lambda x: x["name"])).alias("query_ids")]
+    return facts.select(
+        "identity", "first", F.lit(template_id).alias("template_id"), F.struct(*[cell(c) for c in columns]).alias("values"), flags.alias("flags"), "n_support",
+        F.map_from_entries(standard).alias("standard"), variants.alias("variants"), "n_queries", "n_passages", *lists,
+    )
 
 
 def merge_runs(parts: Sequence[tuple[DataFrame, str, Sequence[str]]]) -> DataFrame:

@@ -254,8 +254,8 @@ def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = merge.merge_facts(_claims(spark, sf_dir), "mutation", MUTATION.columns)
+def _merged(spark: SparkSession, sf_dir: str, *, listed: bool = False) -> DataFrame:
+    facts = merge.merge_facts(_claims(spark, sf_dir), "mutation", MUTATION.columns, listed=listed)
     return facts.withColumns({"gene": F.col("identity")[2], "mutation": F.col("identity")[3]})
 
 
@@ -281,7 +281,7 @@ SELECT gene, mutation, CASE WHEN count(*) > 1 THEN string_agg(a, ',' ORDER BY si
 
 def merge_across_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts over all queries: how many rows and how many queries state each."""
-    return _merged(spark, sf_dir).select("gene", "mutation", "n_support", F.size("query_ids").alias("n_queries"))
+    return _merged(spark, sf_dir).select("gene", "mutation", "n_support", F.col("n_queries").cast("int").alias("n_queries"))
 
 
 def merge_symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,7 +341,7 @@ SELECT l_orderkey || '/' || row_ord AS _query_id, 'S' || (1 + l_partkey % 300) |
 
 def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of the JSON records, read back."""
-    facts = _merged(spark, sf_dir).withColumn("_query_id", F.lit(""))
+    facts = _merged(spark, sf_dir, listed=True).withColumn("_query_id", F.lit(""))
     read = export.json_records(facts, MUTATION.columns).select(F.from_json("value", "`Gene Name` string, Mutation string, n_support bigint, query_ids array<string>").alias("r"))
     return read.groupBy(F.lower("r.`Gene Name`").alias("gene"), F.col("r.Mutation").alias("mutation")).agg(F.sum("r.n_support").alias("n_support"), F.sum(F.size("r.query_ids")).alias("n_queries"))
 

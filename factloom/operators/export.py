@@ -8,13 +8,16 @@ a person to read, and need the caller's word on how many rows they may take.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import citations as C
 from factloom.operators.merge import display
+from factloom.session import moved, removed
 
 # The names of the exported columns.
 ANNOTATIONS = ("_n_support", "_flags", "_citations", "_pmids", "_chunk_ids", "_markers", "_standard_notation", "_as_written")
@@ -23,6 +26,7 @@ PROVENANCE = (
     "_retrieved_at", "_request_id", "_generator", "_llm_endpoint", "_prompt_hash",
 )
 WIDEST = 34
+FORMS = ("tsv", "csv", "json", "jsonl")
 
 
 def pmids(citations: Column) -> Column:
@@ -72,16 +76,23 @@ def annotated(facts: DataFrame, columns: Sequence[str]) -> DataFrame:
     return facts.select(*cells, *[n.alias(a) for n, a in zip(notes, ANNOTATIONS, strict=True)], *rest)
 
 
-def stamped(facts: DataFrame, runs: DataFrame) -> DataFrame:
+def now() -> Column:
+    """The time of the run in UTC, to the second, as provenance tells it."""
+    utc = F.convert_timezone(None, F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz"))
+    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def stamped(facts: DataFrame, runs: DataFrame, at: Column | None = None) -> DataFrame:
     """Facts with their run's provenance columns; runs has one row for each query_id.
 
-    A fact of several queries takes the first one's. Missing entries are empty.
+    A fact of several queries takes the first one's. Missing entries are empty, but for
+    `_retrieved_at`, which is `at` where given, as for answers that were just made (`now`).
     """
     record = runs.select(F.col("query_id").alias("_query_id"), *[F.col(c).cast("string").alias(c) for c in PROVENANCE[1:] if c in runs.columns])
     named = facts.withColumn("_query_id", F.coalesce(F.get("query_ids", F.lit(0)), F.lit("")))
     joined = named.join(record, "_query_id", "left")
-    defaults = {"_collection": "default"}
-    return joined.withColumns({c: F.coalesce(F.col(c) if c in joined.columns else F.lit(None).cast("string"), F.lit(defaults.get(c, ""))) for c in PROVENANCE})
+    defaults = {"_collection": F.lit("default")} | ({} if at is None else {"_retrieved_at": at})
+    return joined.withColumns({c: F.coalesce(F.col(c) if c in joined.columns else F.lit(None).cast("string"), defaults.get(c, F.lit(""))) for c in PROVENANCE})
 
 
 def json_records(facts: DataFrame, columns: Sequence[str], *, structured: bool = True) -> DataFrame:
@@ -101,24 +112,47 @@ def source_summary(sources: DataFrame) -> DataFrame:
     return sources.select("query_id", "source_rank", "doc_id", "chunk_id", *meta, "score", *told, F.coalesce("content", F.lit("")).alias("content"))
 
 
-def write(facts: DataFrame, columns: Sequence[str], path: str, form: str, *, replace: bool = False) -> None:
-    """Writes a folder of tsv, csv, json or jsonl files; an empty table never replaces one that isn't."""
-    if form not in ("tsv", "csv", "json", "jsonl"):
-        raise ValueError(f"no such form: {form}; known are tsv, csv, json and jsonl")
-    mode = "overwrite" if replace else "errorifexists"
-    if replace and facts.isEmpty() and _holds_rows(facts, path):
-        raise ValueError(f"{path} has rows, and the new table has none")
-    if form in ("tsv", "csv"):
-        annotated(facts, columns).write.mode(mode).csv(path, sep="\t" if form == "tsv" else ",", header=True, emptyValue="", escape='"')
-    else:
-        json_records(facts, columns, structured=form == "json").write.mode(mode).text(path)
+def write(facts: DataFrame, columns: Sequence[str], path: str, form: str, *, replace: bool = False) -> int:
+    """Writes a folder of tsv, csv, json or jsonl files, and gives its number of rows.
 
-
-def _holds_rows(facts: DataFrame, path: str) -> bool:
-    spark = facts.sparkSession
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    held = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-    return bool(held) and not spark.read.text(path).isEmpty()
+    replace: the new files are written beside the old ones, counted on the way, and take
+    their place only when they are whole; a run that fails, or finds nothing where there
+    were rows, leaves the old ones as they were.
+    """
+    if form not in FORMS:
+        raise ValueError(f"no such form: {form}; known are {', '.join(FORMS)}")
+    spark, counted = facts.sparkSession, Observation()
+    target = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}" if replace else path
+    rows = facts.observe(counted, F.count("*").alias("n"))
+    try:
+        if form in ("tsv", "csv"):
+            annotated(rows, columns).write.csv(target, sep="\t" if form == "tsv" else ",", header=True, emptyValue="", escape='"')
+        else:
+            json_records(rows, columns, structured=form == "json").write.text(target)
+        n = counted.get["n"]
+        if replace:
+            if not n and _holds_rows(spark, path, form):
+                raise ValueError(f"{path} has rows, and the new table has none")
+            old = f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
+            moved(spark, path, old)
+            if not moved(spark, target, path):
+                moved(spark, old, path)
+                raise OSError(f"{target} could not take the place of {path}")
+            removed(spark, old)
+        return n
+    finally:
+        if replace:
+            removed(spark, target)
+
+
+def _holds_rows(spark: SparkSession, path: str, form: str) -> bool:
+    try:
+        held = spark.read.csv(path, header=True) if form in ("tsv", "csv") else spark.read.text(path)
+        return not held.isEmpty()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
 
 
 def as_document(facts: DataFrame, columns: Sequence[str], *, most: int, meta: dict | None = None) -> str:
@@ -156,3 +190,12 @@ def prose(answers: DataFrame) -> DataFrame:
     """Prose answers under headings, one text for each query, in the order of the specs."""
     head = F.concat(F.lit("### "), F.concat_ws(" ", *[F.when(F.col(c) != "", F.col(c)) for c in ("organism", "genes")]))
     return answers.orderBy("spec_ord").select("query_id", F.concat(head, F.lit("\n\n"), F.coalesce("answer", F.lit(""))).alias("value"))
+
+
+def prose_records(answers: DataFrame) -> DataFrame:
+    """One JSON text for each prose answer (`extract_text`), with its resolved citations and their passages."""
+    named = [c for c in ("query_id", "organism", "genes", "data_type") if c in answers.columns]
+    parts = [*named, F.col("values.Answer").alias("answer"), "citations", chunk_ids(F.col("citations")).alias("chunk_ids")]
+    own = [c for c in PROVENANCE if c in answers.columns]
+    parts += [F.struct(*own).alias("provenance")] if own else []
+    return answers.select(F.to_json(F.struct(*parts)).alias("value"))

@@ -11,9 +11,13 @@ shuffle (WindowGroupLimit).
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.session import stage
+
 K1, B = 1.2, 0.75
 RRF_K = 60
 FUSED_MODES = ("hybrid", "bm25")
@@ -32,17 +36,72 @@ def rank(scored: DataFrame, k: int | Column, key: str = "chunk_id", score: str =
     return ranked.filter(F.col("source_rank") <= k)
 
 
-def bm25(passages: DataFrame, queries: DataFrame, *, id_col: str = "chunk_id", text_col: str = "content", query_text: str = "search_text") -> DataFrame:
-    """query_id, passage id and score, for passages that share a term with the query."""
-    wanted = queries.select("query_id", F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term"))
+#: Comparisons that a filter may name.
+_TESTS = {"gte": Column.__ge__, "gt": Column.__gt__, "lte": Column.__le__, "lt": Column.__lt__, "ne": Column.__ne__}
+
+
+def wanted(filters: dict) -> Column:
+    """A filter on passages: column (dots reach into structs) to a value, a list of values,
+    or comparisons (gte, gt, lte, lt, ne); all must hold. Plain comparisons of columns, so
+    they reach the scan: as pruned partitions, or as row groups that are skipped."""
+    holds = F.lit(True)
+    for name, said in filters.items():
+        column = F.col(".".join(f"`{x}`" for x in name.split(".")))
+        if isinstance(said, dict):
+            if unknown := set(said) - set(_TESTS):
+                raise ValueError(f"{name}: no such comparison: {', '.join(sorted(unknown))}")
+            for test, value in said.items():
+                holds = holds & _TESTS[test](column, F.lit(value))
+        else:
+            holds = holds & (column.isin(*said) if isinstance(said, (list, tuple, set)) else column == F.lit(said))
+    return holds
+
+
+def lay_out(passages: DataFrame, path: str, *, collection: str = "collection", order: tuple[str, ...] = ("year",)) -> DataFrame:
+    """Passages written by collection, and inside it in ranges of `order`, for `wanted`.
+
+    Ranges of both split a large collection over many files, each with a narrow range of
+    `order`, so that its statistics rule it out.
+    """
+    spark = passages.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = passages.repartitionByRange(parts, collection, *order).sortWithinPartitions(collection, *order)
+    dealt.write.mode("overwrite").partitionBy(collection).parquet(path)
+    schema = passages.select(*[c for c in passages.columns if c != collection], collection).schema
+    return spark.read.schema(schema).parquet(path)
+
+
+@dataclass(frozen=True)
+class Statistics:
+    """What BM25 knows of a whole corpus: one row (n, avgdl), and the passages of each term (term, df)."""
+
+    corpus: DataFrame
+    df: DataFrame
+
+
+def statistics(passages: DataFrame, *, text_col: str = "content") -> Statistics:
+    """Staged statistics of a corpus, for any number of searches in parts of it."""
+    own = passages.select(terms(F.col(text_col)).alias("_terms"))
+    corpus = own.agg(F.count("*").alias("n"), F.avg(F.size("_terms")).alias("avgdl"))
+    df = own.select(F.explode(F.array_distinct("_terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return Statistics(stage(corpus, "bm25-corpus"), stage(df, "bm25-df"))
+
+
+def bm25(passages: DataFrame, queries: DataFrame, *, id_col: str = "chunk_id", text_col: str = "content", query_text: str = "search_text", known: Statistics | None = None) -> DataFrame:
+    """query_id, passage id and score, for passages that share a term with the query.
+
+    known: statistics of the whole corpus that the passages are a part of, so that scores
+    don't depend on the filter; without them they are those of the passages.
+    """
+    wanted_terms = queries.select("query_id", F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term"))
     split = passages.select(F.col(id_col), terms(F.col(text_col)).alias("_terms"))
     sized = split.select(id_col, F.size("_terms").alias("dl"), "_terms")
-    corpus = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    listed = sized.select(id_col, "dl", F.explode("_terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    corpus = known.corpus if known else sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    listed = sized.select(id_col, "dl", F.explode("_terms").alias("term")).join(wanted_terms.select("term").distinct(), "term", "left_semi")
     counted = listed.groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf"))
-    df = counted.groupBy("term").agg(F.count("*").alias("df"))
+    df = known.df if known else counted.groupBy("term").agg(F.count("*").alias("df"))
     # One row; the only broadcast here that is asked for by name.
-    weighted = wanted.join(df, "term").join(F.broadcast(corpus)).withColumn("idf", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    weighted = wanted_terms.join(df, "term").join(F.broadcast(corpus)).withColumn("idf", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     tf = F.col("tf").cast("double")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return counted.join(weighted, "term").groupBy("query_id", id_col).agg(F.round(F.sum(part), 6).alias("score"))

@@ -15,8 +15,9 @@ from factloom.operators import answers as A
 from factloom.operators import batch, context, export, merge, score
 from factloom.operators import citations as C
 from factloom.operators import extract as E
-from factloom.schema import SOURCE, Template
+from factloom.schema import CITATION, SOURCE, Template
 from factloom.session import table, unnested
+from factloom.sources.templates import union_templates
 
 MUTATION = Template("mutation", "resistance mutations", columns=("Organism", "Gene Name", "Mutation", "Phenotype", "Assertion", "Reference"))
 NEEDS_PHENOTYPE = Template("mutation", columns=MUTATION.columns, required=("Phenotype",))
@@ -349,19 +350,35 @@ def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ACROSS = f"WITH {_CLAIMS_SQL} SELECT gene, mutation, count(*) AS n_support, {{}} AS n_queries FROM claims GROUP BY 1, 2"
 
 
+def _noted(rows: DataFrame) -> DataFrame:
+    """Claims with a citation, flags, variants and provenance made from their keys."""
+    chunk = F.struct(F.col("row_ord").alias("marker"), F.concat_ws(":", "query_id", "split_ord").alias("chunk_id"), F.lit("d").alias("doc_id"), F.lit(0).alias("start_char"), F.col("row_ord").alias("end_char"), F.lit(0.5).alias("score"))
+    told = {"marker": F.col("row_ord"), "pmid": F.col("split_ord"), "pmcid": F.lit(None), "doi": F.lit(None), "journal": F.lit("J"), "year": F.lit("2001"), "title": F.lit("T"), "first_author": F.lit("A"), "resolved": F.col("split_ord") % 2 == 0, "matched_by": F.lit("marker"), "chunks": F.array(chunk)}
+    made = rows.withColumn("citations", F.array(F.struct(*[v.alias(k) for k, v in told.items()])).cast(f"array<{CITATION}>"))
+    return made.withColumns({"flags": F.array(F.lit("off_target_gene"), F.concat(F.lit("f"), "row_ord")), "variants": F.create_map(F.lit("Assertion"), F.array(F.lit("old"), F.col("query_id"))), "standard": F.create_map(F.lit("Mutation"), F.lit("x")), "_model": F.concat(F.lit("m"), "split_ord"), "_retrieved_at": F.lit("2020-01-02T03:04:05Z")})
+
+
 def progress_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Progress of every order as JSON lines, with an older record and a broken line of each, read back and restored."""
-    own = _claims(spark, sf_dir).withColumns({"n_support": F.lit(1).cast("bigint"), "flags": F.array().cast("array<string>"), "query_ids": F.array("query_id"), "standard": F.create_map().cast("map<string,string>")})
-    own = own.withColumn("values", F.create_map(*[x for c in MUTATION.columns for x in (F.lit(c), F.col("values")[c])]))
-    orders = table(spark, sf_dir, "orders").select(_s("o_orderkey").alias("query_id"), F.lit("mutation").alias("template_id"), F.lit(True).alias("is_table"), F.array(*map(F.lit, MUTATION.columns)).alias("columns"), F.lit("").alias("answer"))
-    last = batch.progress_records(own.withColumn("row_ord", F.struct("row_ord", "split_ord")), orders)
-    old = F.to_json(F.struct("query_id", F.lit("old").alias("template_id"), F.lit(True).alias("is_table")))
-    lines = last.select("value", F.lit(2).alias("at")).unionByName(last.select(old.alias("value"), F.lit(1).alias("at"))).unionByName(last.select(F.concat(F.lit("{broken "), "query_id").alias("value"), F.lit(3).alias("at")))
-    return batch.restored_rows(batch.parse_progress(lines, "at")).select("query_id", "row_ord", "template_id", F.col("values")["Phenotype"].alias("phenotype"))
-
-
-PROGRESS_RESTORE = f"""
-SELECT CAST(l_orderkey AS VARCHAR) AS query_id, {ORD_SQL}, 'mutation' AS template_id, 'level ' || repeat('x', CAST(1 + l_partkey % 9 AS INT)) AS phenotype
+    """Whole rows of every order's progress as JSON lines, with an older record and a broken line of each, read back and restored."""
+    orders = table(spark, sf_dir, "orders").select(_s("o_orderkey").alias("query_id"), F.lit("mutation").alias("template_id"), F.lit(True).alias("is_table"), F.lit("").alias("answer"))
+    last = batch.progress_records(_noted(_claims(spark, sf_dir)), orders, MUTATION.columns, 2)
+    old = F.to_json(F.struct("query_id", F.lit(1).alias("batch"), F.lit("old").alias("template_id"), F.lit(True).alias("is_table")))
+    # The older record comes last, the broken line after it.
+    lines = last.select("value", F.lit(1).alias("at")).unionByName(last.select(old.alias("value"), F.lit(2).alias("at"))).unionByName(last.select(F.concat(F.lit("{broken "), "query_id").alias("value"), F.lit(3).alias("at")))
+    back = batch.restored_rows(batch.parse_progress(lines, "at"))
+    cited = F.get("citations", F.lit(0))
+    return back.select(
+        "query_id", "row_ord", "split_ord", "template_id", F.col("values")["Phenotype"].alias("phenotype"), cited["pmid"].alias("pmid"), cited["doi"].alias("doi"), cited["resolved"].alias("resolved"),
+        cited["chunks"][0]["chunk_id"].alias("chunk_id"), cited["chunks"][0]["end_char"].alias("end_char"), F.size("citations").alias("n_citations"), F.array_join("flags", ";").alias("flags"),
+        F.array_join(F.col("variants")["Assertion"], ";").alias("variants"), F.col("standard")["Mutation"].alias("standard"), "n_support", F.array_join("query_ids", ";").alias("query_ids"), "_model", "_retrieved_at", "_generator",
+    )
+
+
+PROGRESS_RESTORE = """
+SELECT CAST(l_orderkey AS VARCHAR) AS query_id, CAST(l_linenumber AS INT) AS row_ord, CAST(l_partkey AS INT) AS split_ord, 'mutation' AS template_id, 'level ' || repeat('x', CAST(1 + l_partkey % 9 AS INT)) AS phenotype,
+  CAST(l_partkey AS VARCHAR) AS pmid, CAST(NULL AS VARCHAR) AS doi, l_partkey % 2 = 0 AS resolved, l_orderkey || ':' || l_partkey AS chunk_id, CAST(l_linenumber AS INT) AS end_char, 1 AS n_citations,
+  'off_target_gene;f' || l_linenumber AS flags, 'old;' || l_orderkey AS variants, 'x' AS standard, CAST(1 AS BIGINT) AS n_support, CAST(l_orderkey AS VARCHAR) AS query_ids,
+  'm' || l_partkey AS _model, '2020-01-02T03:04:05Z' AS _retrieved_at, CAST(NULL AS VARCHAR) AS _generator
 FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)"""
 
 
@@ -477,11 +494,9 @@ SELECT conv_id AS query_id, CAST(count(*) AS INT) AS n_included, sha256(string_a
 
 
 def template_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Server's templates and the local ones whose id the server lacks; nations stand in for both."""
-    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("label"))
-    server = nation.filter("id % 3 = 0").withColumn("source", F.lit("server"))
-    local = nation.filter("id % 2 = 0").withColumn("source", F.lit("local"))
-    return server.unionByName(local.join(server.select("id"), "id", "left_anti"))
+    """The server's templates and the local ones whose id the server lacks; nations stand in for both."""
+    made = lambda part, source: table(spark, sf_dir, "nation").filter(part).select(_s("n_nationkey").alias("id"), F.col("n_name").alias("label"), F.lit(source).alias("source"))
+    return union_templates(made("n_nationkey % 3 = 0", "server"), made("n_nationkey % 2 = 0", "local"))
 
 
 _QUERIES = (
@@ -496,7 +511,7 @@ _QUERIES = (
     (generate_answers, GENERATE_ANSWERS), (score_per_gene, SCORE_PER_GENE), (expand_alleles, EXPAND_ALLELES),
     (site_residue_fill, "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'N' || p_size WHEN 1 THEN 'W' || p_size ELSE '' END AS site FROM part"),
     (norm_text_key, NORM_TEXT_KEY), (norm_mutation_nt, NORM_MUTATION_NT), (norm_mutation_prose, NORM_MUTATION_PROSE), (token_plan, TOKEN_PLAN), (search_text, SEARCH_TEXT), (source_blocks, SOURCE_BLOCKS),
-    (template_union, "SELECT n_nationkey AS id, n_name AS label, CASE WHEN n_nationkey % 3 = 0 THEN 'server' ELSE 'local' END AS source FROM nation WHERE n_nationkey % 3 = 0 OR n_nationkey % 2 = 0"),
+    (template_union, "SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS label, CASE WHEN n_nationkey % 3 = 0 THEN 'server' ELSE 'local' END AS source FROM nation WHERE n_nationkey % 3 = 0 OR n_nationkey % 2 = 0"),
 )
 QUERIES = {f.__name__: f for f, _ in _QUERIES}
 ORACLE = {f.__name__: sql for f, sql in _QUERIES}

@@ -97,6 +97,18 @@ def staging_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def moved(spark: SparkSession, source: str, target: str) -> bool:
+    """Renames a folder of any of Hadoop's file systems; False where there is none."""
+    a, b = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x) for x in (source, target))
+    system = a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(system.exists(a) and system.rename(a, b))
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a folder with all that is in it, if it is there."""
+    _remove(spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     if jvm is not None:

@@ -40,8 +40,9 @@ def with_identity(specs: DataFrame, backend: str = "server", instructions: str =
     return specs.withColumns({"query_id": F.coalesce(own, query_hash(asked)), "run_hash": query_hash([*asked, *how])})
 
 
-def _normalised(raw: DataFrame, defaults: dict) -> DataFrame:
-    """Aliased columns only; blanks and unusable top_k take the defaults."""
+def normalised(raw: DataFrame, defaults: dict | None = None, *, ordered: bool = True) -> DataFrame:
+    """Aliased columns only; blanks and unusable top_k take the defaults. ordered: with the rows' order, which a stream hasn't."""
+    defaults = DEFAULTS | (defaults or {})
     found: dict[str, str] = {}
     for name in raw.columns:
         field = ALIASES.get(name.strip().lower().replace(" ", "_"))
@@ -50,7 +51,7 @@ def _normalised(raw: DataFrame, defaults: dict) -> DataFrame:
     text = lambda f: F.trim(F.coalesce(F.col(f"`{found[f]}`").cast("string"), F.lit(""))) if f in found else F.lit("")
     filled = lambda f: F.coalesce(F.when(text(f) != "", text(f)), F.lit(defaults[f]).cast("string"))
     return raw.select(
-        F.monotonically_increasing_id().alias("spec_ord"),
+        *([F.monotonically_increasing_id().alias("spec_ord")] if ordered else []),
         text("organism").alias("organism"),
         text("genes").alias("genes"),
         text("other_terms").alias("other_terms"),
@@ -90,7 +91,7 @@ def load_specs(spark: SparkSession, path: str, defaults: dict | None = None, *,
         header = head.value if head else ""
         sep = expected if expected in header else "," if "," in header else "\t"
         raw = spark.read.csv(path, sep=sep, header=True, inferSchema=False, escape='"')
-    specs = with_identity(_normalised(raw, DEFAULTS | (defaults or {})))
+    specs = with_identity(normalised(raw, defaults))
     if check and (bad := invalid(specs).orderBy("spec_ord").limit(5).collect()):
         raise SpecError(f"{path}: " + "; ".join(f"row {r.spec_ord + 1}: {r.error}" for r in bad))
     return specs

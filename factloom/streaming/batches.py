@@ -23,7 +23,7 @@ from factloom.sources.specs import normalised, with_identity
 def spec_stream(spark: SparkSession, folder: str, *, sep: str = "\t", header: str, files_per_batch: int = 1, defaults: dict | None = None) -> DataFrame:
     """Specs of the files that arrive in a folder, with their ids. header: the files' column names, by `sep`."""
     schema = ", ".join(f"`{name}` string" for name in header.split(sep))
-    raw = spark.readStream.schema(schema).csv(folder, sep=sep, header=True, escape='"', maxFilesPerTrigger=files_per_batch)
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).csv(folder, sep=sep, header=True, escape='"')
     return with_identity(normalised(raw, defaults, ordered=False)).filter("organism <> ''")
 
 

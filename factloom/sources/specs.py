@@ -43,12 +43,13 @@ def with_identity(specs: DataFrame, backend: str = "server", instructions: str =
 def normalised(raw: DataFrame, defaults: dict | None = None, *, ordered: bool = True) -> DataFrame:
     """Aliased columns only; blanks and unusable top_k take the defaults. ordered: with the rows' order, which a stream hasn't."""
     defaults = DEFAULTS | (defaults or {})
-    found: dict[str, str] = {}
+    found: dict[str, list[str]] = {}
     for name in raw.columns:
         field = ALIASES.get(name.strip().lower().replace(" ", "_"))
         if field:
-            found[field] = name
-    text = lambda f: F.trim(F.coalesce(F.col(f"`{found[f]}`").cast("string"), F.lit(""))) if f in found else F.lit("")
+            found.setdefault(field, []).append(name)
+    # Rows may use different names of a field; the last one counts.
+    text = lambda f: F.trim(F.coalesce(*[F.col(f"`{name}`").cast("string") for name in reversed(found.get(f, []))], F.lit("")))
     filled = lambda f: F.coalesce(F.when(text(f) != "", text(f)), F.lit(defaults[f]).cast("string"))
     return raw.select(
         *([F.monotonically_increasing_id().alias("spec_ord")] if ordered else []),
@@ -84,7 +85,7 @@ def load_specs(spark: SparkSession, path: str, defaults: dict | None = None, *,
             raise SpecError(f"{path}: expected a list of query rows")
         names = list(dict.fromkeys(str(k) for r in rows for k in r))
         values = [tuple(None if r.get(n) is None else str(r[n]) for n in names) for r in rows]
-        raw = spark.createDataFrame(values, ", ".join(f"`{n}` string" for n in names))
+        raw = spark.createDataFrame(values, ", ".join(f"`{n}` string" for n in names)).coalesce(1)  # in order
     else:
         head = lines.first()
         expected = "," if kind == "csv" else "\t"

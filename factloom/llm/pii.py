@@ -116,11 +116,17 @@ _BARE = re.compile(
     r"[A-Za-z0-9-]+(?:[ \t]+(?:dot|punkt|punto)[ \t]+[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+", re.I
 )
 _BARE_DOT = re.compile(r"(?<![ \t])[ \t]+(?:dot|punkt|punto)[ \t]+", re.I)
-#: Top-level labels that a bare "at" leads to (fixed values).
+#: Top-level labels that a bare "at" leads to: common ones, chosen here, not the registry's list.
 TOP_LEVEL = frozenset(
     "com net org edu gov mil int info biz io co uk de fr es it nl eu us ca au nz jp cn kr in ru ua br mx ar cl ch at be se no dk fi pl cz pt gr ie tr me tv dev app ai example test".split()
 )
-_USER_NAME = re.compile(r"[0-9._%+-]")
+#: A local part that prose doesn't have: letters around a dot or an underscore, with two at least on one side.
+_USER_NAME = re.compile(r"[A-Za-z]{2}[0-9]*[._][A-Za-z]|[A-Za-z][._][A-Za-z]{2}|[A-Za-z0-9]_[A-Za-z0-9]")
+#: What stands before "at" in prose, even where the dot is spelled; chosen here.
+_NO_NAME = frozenset(
+    "us me you it him her them this that these those is are was were be been am available accessible open live online here there home found find visit see look located hosted published "
+    "posted listed based shop store work works working worked founder office more and or but only just still down up starts start started ends end sold buy meet stay ask call order register".split()
+)
 #: A domain after a sign that is there already.
 _DOTTED = re.compile(r"(?<=@)[A-Za-z0-9-]+(?:[ \t]+(?:dot|punkt|punto)[ \t]+[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+", re.I)
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
@@ -184,9 +190,9 @@ def _bare(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in _BARE.finditer(text):
         local, domain = text[m.start() : m.start("at")], text[m.end("at") : m.end()]
-        told = _BARE_DOT.search(domain) or _USER_NAME.search(local.strip("."))
-        if not told or re.split(r"[.\s]", domain)[-1].lower() not in TOP_LEVEL:
-            continue  # prose
+        labels = re.split(r"[.\s]", domain.lower())
+        if labels[-1] not in TOP_LEVEL or _prose(local.strip(" \t."), bool(_BARE_DOT.search(domain))):
+            continue
         edits.append((m.start("at"), m.end("at"), "@"))
         edits += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(text, m.start(), m.end())]
     for m in _DOTTED.finditer(text):
@@ -194,6 +200,18 @@ def _bare(text: str) -> list[tuple[int, int, str]]:
     return sorted(set(edits))
 
 
+def _prose(local: str, spelled: bool) -> bool:
+    """Whether what stands before a bare "at" is a word, a number or a site's name, not a mailbox.
+
+    spelled: whether the domain's dot is a word; then a plain name will do.
+    """
+    if _USER_NAME.search(local):
+        return local.lower().rsplit(".", 1)[-1] in TOP_LEVEL
+    if not spelled and not _BARE_DOT.search(local):
+        return True
+    return not re.search("[A-Za-z]", local) or "-" in local or local.lower() in _NO_NAME
+
+
 def _spelled(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in _SPELLED.finditer(text):

@@ -116,15 +116,17 @@ def _remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def stage(df: DataFrame, name: str, *, options: dict[str, str] | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str, *, options: dict[str, str] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Write a table into the shared folder and read it back, cutting the lineage.
 
+    by: columns that become folders, so that a filter on them reads only its own.
+
     Row order inside a file is kept, so a row id that was drawn before staging stays
     with its row whatever is recomputed later. The folder goes when the driver ends.
     """
     spark = df.sparkSession
     path = f"{staging_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**(options or {})).parquet(path)
+    df.write.options(**(options or {})).partitionBy(*by).parquet(path)
     remove_at_exit(spark, path)
     staged = spark.read.schema(df.schema).parquet(path)
     _staged[id(staged)] = (weakref.ref(staged), path)

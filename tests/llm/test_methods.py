@@ -25,6 +25,21 @@ def test_hypergeometric_has_its_law():
     assert abs(sum(big) / 50 - 25_000) < 5 * 157 / math.sqrt(50)
 
 
+def test_probabilities_keep_their_sum_at_any_size():
+    for good, bad, draws in ((3, 4, 2), (40, 60, 50), (10**6, 39 * 10**6, 10**4), (10**12, 39 * 10**12, 10**6), (10**12, 9 * 10**12, 10**7)):
+        mean = draws * good / (good + bad)
+        spread = math.sqrt(mean * (1 - good / (good + bad))) + 1
+        low, high = max(0, draws - bad, int(mean - 12 * spread)), min(draws, good, int(mean + 12 * spread))
+        p = sharding.probability(low, good, bad, draws)
+        terms = [p]
+        for k in range(low, high):
+            p *= (good - k) * (draws - k) / ((k + 1) * (bad - draws + k + 1))
+            terms.append(p)
+        assert abs(math.fsum(terms) - 1) < 1e-9
+        at = (low + high) // 2
+        assert math.isclose(terms[at - low], sharding.probability(at, good, bad, draws), rel_tol=1e-8)
+
+
 def test_matrix_has_exact_sums():
     sizes = [0, 17, 1, 400, 3, 99]
     matrix = sharding.communication_matrix(sizes, 7, 1)

@@ -6,20 +6,21 @@ words, but not none, is one pattern. The automaton holds each pattern once with
 it belongs to, bounded by spaces, and a document's normalised text is scanned once. Hits
 are mapped to words and, for the spans, to offsets in the original text.
 
-The benchmark is broadcast as an automaton of at most BLOCK_CHARS pattern characters. A
-larger benchmark is cut by items into several such blocks, each scanned in a pass of its
+The benchmark's patterns are broadcast in blocks of at most BLOCK_CHARS characters, and a
+worker builds a block's automaton once, for all of its tasks. A larger benchmark is cut by items into several such blocks, each scanned in a pass of its
 own, and the passes' hit words are united; results don't depend on the cut.
 
 Edge cases: null and empty texts and items have no words and no hits; texts of any length
 are scanned whole; equal items and repeated documents are judged one by one; null item
-ids print as an empty string; empty tables give no rows or no hits; other columns pass
-through.
+ids print as an empty string; empty tables give no rows or no hits; a column `found` is
+replaced, all others pass through.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -32,7 +33,7 @@ from factloom.session import ship_package
 
 WINDOW = 10
 #: Characters of patterns in one automaton (about 50 bytes of memory each).
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 #: Result of one scan: word count, hit word ranges, the ranges in the original, item ids.
 SCAN = "n_words bigint, words array<struct<first:bigint,past:bigint>>, spans array<struct<start:bigint,end:bigint>>, items array<string>"
 
@@ -111,13 +112,26 @@ def _blocks(items: list[tuple[str, str | None]], window: int, limit: int) -> Ite
         yield item_patterns(block, window)
 
 
+#: The automaton that this worker has built last, by its broadcast.
+_built: dict[tuple, ahocorasick.Automaton] = {}
+
+
+def _automaton(key: tuple, patterns: dict[str, set[str]]) -> ahocorasick.Automaton:
+    if key not in _built:
+        _built.clear()
+        _built[key] = build(patterns)
+    return _built[key]
+
+
 def _scanned(df: DataFrame, text_col: str, patterns: dict[str, set[str]], column: str) -> DataFrame:
     ship_package(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(patterns)  # at most BLOCK_CHARS
+    context = df.sparkSession.sparkContext
+    shared = context.broadcast(patterns)  # at most BLOCK_CHARS
+    key = (context.applicationId, uuid.uuid4().hex)
 
     @F.pandas_udf(SCAN)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        automaton = build(shared.value)
+        automaton = _automaton(key, shared.value)
         for texts in batches:
             rows = []
             for text in texts:
@@ -139,20 +153,20 @@ def find_contamination(
     rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t"))
     out, columns = docs, []
     for k, patterns in enumerate(_blocks(((r.i, r.t) for r in rows.toLocalIterator()), window, block_chars)):
-        columns.append(f"_scan{k}")
+        columns.append("_".join([f"scan{k}", *docs.columns]))  # a name that no column has
         out = _scanned(out, text_col, patterns, columns[-1])
     if not columns:
-        columns.append("_scan0")
+        columns.append("_".join(["scan", *docs.columns]))
         out = _scanned(out, text_col, {}, columns[-1])
     if len(columns) == 1:
-        scans = F.col(columns[0])
+        scans = F.col(f"`{columns[0]}`")
         hits = F.aggregate(scans["words"], F.lit(0).cast("bigint"), lambda n, r: n + r["past"] - r["first"])
         found = F.struct(scans["n_words"].alias("n_words"), hits.alias("n_hit"), scans["spans"].alias("spans"), scans["items"].alias("items"))
     else:
-        every = lambda name: F.flatten(F.array(*[F.col(c)[name] for c in columns]))
+        every = lambda name: F.flatten(F.array(*[F.col(f"`{c}`")[name] for c in columns]))
         covered = F.array_distinct(F.flatten(F.transform(every("words"), lambda r: F.sequence(r["first"], r["past"] - 1))))
         found = F.struct(
-            F.col(columns[0])["n_words"].alias("n_words"),
+            F.col(f"`{columns[0]}`")["n_words"].alias("n_words"),
             F.size(covered).cast("bigint").alias("n_hit"),
             F.array_sort(F.array_distinct(every("spans"))).alias("spans"),
             F.array_sort(F.array_distinct(every("items"))).alias("items"),

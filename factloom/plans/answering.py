@@ -436,13 +436,13 @@ def site_residue_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def norm_text_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of whole texts that ignore case and punctuation."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.normalize_text(F.regexp_replace("text", "[^\\x20-\\x7E]", " ")), 256).alias("key"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.normalize_text(F.col("text")), 256).alias("key"))
 
 
 NORM_TEXT_KEY = """
-WITH c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '[^\\x20-\\x7E]', ' ', 'g'), ' +', ' ', 'g')) AS t FROM documents),
-n AS (SELECT doc_id, CASE WHEN lower(t) IN ('', 'n/a', 'na', 'n.a.', 'none', 'null', '-', '--', 'not available', 'not applicable', 'not reported', 'not specified', 'unknown', 'unspecified', 'nd', 'n/d') THEN '' ELSE lower(t) END AS t FROM c)
-SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(translate(t, '_-', '  '), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))) AS key FROM n"""
+WITH c AS (SELECT doc_id, lower(trim(regexp_replace(coalesce(text, ''), '[\\t-\\r\\x1c-\\x1f\\x20\\x85\\p{Z}]+', ' ', 'g'))) AS t FROM documents),
+n AS (SELECT doc_id, CASE WHEN t IN ('', 'n/a', 'na', 'n.a.', 'none', 'null', '-', '--', 'not available', 'not applicable', 'not reported', 'not specified', 'unknown', 'unspecified', 'nd', 'n/d') THEN '' ELSE t END AS t FROM c)
+SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(translate(t, '_-', '  '), '[^\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\x20]', '', 'g'), ' +', ' ', 'g'))) AS key FROM n"""
 
 
 def _bases(name: str, spelled, wanted: str):

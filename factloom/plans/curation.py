@@ -103,8 +103,17 @@ def _vocabulary(name: str):
 
 
 def title_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    titled = F.concat(F.lit("<i>"), F.col("p_name"), F.lit("</i>  of <b>"), F.col("p_brand"), F.lit("</b>"))
-    return table(spark, sf_dir, "part").select("p_partkey", X.clean_title(titled).alias("title"))
+    """Pages' titles, and digests of the whole pages, without tags and with white space collapsed."""
+    title = F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)
+    return table(spark, sf_dir, "pages").select("page_id", X.clean_title(title).alias("title"), F.sha2(X.clean_title(F.col("html")), 256).alias("page_sha256"))
+
+
+def _clean_sql(value: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(coalesce({value}, ''), '<[^>]+>', '', 'g'), '[\\t-\\r\\x1c-\\x1f\\x20\\x85\\p{{Z}}]+', ' ', 'g'))"
+
+
+TITLE_CLEAN = f"""
+SELECT page_id, {_clean_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title, sha256({_clean_sql("html")}) AS page_sha256 FROM pages"""
 
 
 def chunk_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,7 +264,7 @@ QUERIES = {f.__name__: f for f in (
 ORACLE = {
     "merge_support": MERGE_SUPPORT,
     "norm_mutation": f"SELECT {CANONICAL} AS mutation, count(*) AS n FROM lineitem GROUP BY 1",
-    "title_clean": "SELECT p_partkey, p_name || ' of ' || p_brand AS title FROM part",
+    "title_clean": TITLE_CLEAN,
     "chunk_scan": CHUNK_SCAN,
     "bm25_topk": BM25_TOPK,
     "dense_topk": DENSE_TOPK,

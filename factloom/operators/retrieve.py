@@ -4,8 +4,8 @@ BM25 is an inverted-index join: passages and queries are reduced to (term, count
 joined on the term, and scores are summed per (query, passage). Query terms are few, so
 the passages' terms are first cut to those that some query has (a semi join that Spark
 broadcasts by size); statistics of the corpus are two small aggregates. Dense similarity
-is a block product: query vectors are packed into arrays of BLOCK_ROWS, so every corpus
-row meets each block once. Top k per query is a row number, which Spark cuts before the
+is a product of blocks: both sides are packed, and of each pair of blocks only the best of
+each query leave the task. Top k per query is a row number, which Spark cuts before the
 shuffle (WindowGroupLimit).
 """
 
@@ -13,10 +13,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.session import stage
+from factloom.session import stage, unnested
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -107,25 +109,45 @@ def bm25(passages: DataFrame, queries: DataFrame, *, id_col: str = "chunk_id", t
     return counted.join(weighted, "term").groupBy("query_id", id_col).agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def _blocks(rows: DataFrame, key: str, vector: str, size: int, name: str) -> DataFrame:
+    """Vectors with their ids, about `size` of them in a row; a row's size is bounded by its partition's rows."""
+    spread_out = F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33))  # its place in the partition
+    dealt = rows.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).withColumn("_b", F.struct(F.spark_partition_id(), F.floor(spread_out / size)))
+    return dealt.groupBy("_b").agg(F.collect_list("id").alias(f"{name}_ids"), F.flatten(F.collect_list("v")).alias(f"{name}_v")).drop("_b")
+
+
+def _nearest(k: int, id_type: str, query_type: str):
+    """Of a block of passages and one of queries: each query's k nearest passages in it."""
+
+    @F.pandas_udf(f"array<struct<query_id:{query_type},id:{id_type},score:double>>")
+    def nearest(ids: pd.Series, vectors: pd.Series, query_ids: pd.Series, queries: pd.Series) -> pd.Series:
+        out = []
+        for own, flat, asked, wanted in zip(ids, vectors, query_ids, queries, strict=True):
+            v, q = (np.asarray(x, np.float64).reshape(len(y), -1) for x, y in ((flat, own), (wanted, asked)))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                scores = np.round((q @ v.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(v, axis=1)[None, :], 6)
+            order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(own)), scores.shape), -np.nan_to_num(scores, nan=-2.0)))[:, :k]
+            out.append([{"query_id": asked[i], "id": own[j], "score": None if np.isnan(scores[i, j]) else float(scores[i, j])} for i in range(len(asked)) for j in order[i]])
+        return pd.Series(out)
+
+    return nearest
 
 
 def dense(passages: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vector: str = "embedding", block: int = BLOCK_ROWS) -> DataFrame:
     """query_id, passage id, cosine and source_rank of the k nearest passages.
 
-    Queries are dealt into blocks of about `block`; each block is one row, so the product
-    with the corpus has corpus rows times blocks, and each such row keeps its own scores.
+    Both sides are packed into blocks, so a pair of blocks is one matrix product, of which
+    each query's k best leave the task: the ranking that follows sees queries times k times
+    blocks of passages, not queries times passages. A vector without length has no cosine
+    and comes last; null vectors take no part.
     """
-    unit = lambda v: F.sqrt(_dot(F.col(v), F.col(v)))
-    asked = queries.select("query_id", F.col(vector).alias("_q"), unit(vector).alias("_nq"))
-    n = max(1, -(-asked.count() // block))
-    blocks = asked.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(n))).groupBy("_b").agg(F.collect_list(F.struct("query_id", "_q", "_nq")).alias("qs"))
-    corpus = passages.select(F.col(id_col), F.col(vector).alias("_v"), unit(vector).alias("_nv"))
-    similar = lambda q: F.round(_dot(F.col("_v"), q["_q"]) / (F.col("_nv") * q["_nq"]), 6)
-    scored = F.transform("qs", lambda q: F.struct(q["query_id"].alias("query_id"), similar(q).alias("score")))
-    pairs = corpus.crossJoin(blocks.select("qs")).select(id_col, F.inline(scored))
-    return rank(pairs, k, id_col)
+    kinds = [dict(df.dtypes)[c] for df, c in ((passages, id_col), (queries, "query_id"))]
+    corpus = _blocks(passages.filter(F.col(vector).isNotNull()), id_col, vector, block * 8, "own")
+    asked = _blocks(queries.filter(F.col(vector).isNotNull()), "query_id", vector, block, "asked")
+    pairs = corpus.crossJoin(asked)  # blocks of a stated query set, not rows
+    found = pairs.select(_nearest(k, *kinds)("own_ids", "own_v", "asked_ids", "asked_v").alias("_near"))
+    best = unnested(found, "_near", "n").select("n.query_id", F.col("n.id").alias(id_col), "n.score")
+    return rank(best, k, id_col)
 
 
 def fuse(rankings: list[DataFrame], k: int | Column, *, key: str = "chunk_id") -> DataFrame:

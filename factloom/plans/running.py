@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import normalize as N
-from factloom.operators import batch, export, glossary, merge, retrieve, score
+from factloom.operators import batch, export, glossary, merge, retrieve, run, score
 from factloom.plans import answering, curation
+from factloom.schema import SOURCE
 from factloom.session import remove_at_exit, spread, stage, staging_dir, table
 
 COLUMNS = answering.MUTATION.columns
@@ -193,6 +195,34 @@ WITH asked AS (SELECT o_orderkey AS k, 2 + o_custkey % 3 AS n FROM orders)
 SELECT CAST(k AS VARCHAR) AS query_id, 'Seen in [1] and [2-' || n || '].' AS answer, (10 * k + 1) || ';' || (10 * k + 2) || CASE WHEN n = 4 THEN ';' || (10 * k + 4) ELSE '' END AS pmids, array_to_string(generate_series(1, n), ';') AS markers FROM asked"""
 
 
+def curation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole run: benchmark items as specs, documents as passages, and a generator that reports each source it is shown."""
+    def complete(prompt: str, most: int) -> dict:
+        shown = re.findall(r"^Source (\d+) \(T(\d+)\) \[PMID: \2\]:$", prompt, re.M)
+        lines = ["\t".join(("Org", f"gene{int(d) % 20}", f"Ser{int(d) % 50 + 1}Thr", "resistance", "measured", f"[{k}]")) for k, d in shown]
+        return {"text": "\n".join(["\t".join(answering.MUTATION.columns), *lines]), "model": "reader", "finish_reason": "stop"}
+
+    meta = spark.createDataFrame([], SOURCE).schema["metadata"].dataType
+    named = {"title": F.concat(F.lit("T"), _s("doc_id")), "pmid": _s("doc_id")}
+    metadata = F.struct(*[named.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in meta.fields])
+    docs = table(spark, sf_dir, "documents")
+    passages = docs.select(_s("doc_id").alias("doc_id"), _s("doc_id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("content"), F.col("source").alias("collection"), metadata.alias("metadata"))
+    asked = table(spark, sf_dir, "benchmark").select(
+        _s("item_id").alias("query_id"), F.col("item_id").cast("bigint").alias("spec_ord"), F.col("text").alias("organism"), F.lit("").alias("genes"), F.lit("").alias("other_terms"), F.lit(10).alias("top_k"), F.lit("all").alias("collection")
+    )
+    facts = run.Curation(answering.MUTATION, complete, window=16_000).facts(asked, passages, listed=False)
+    return facts.select(F.col("identity")[2].alias("gene"), F.col("identity")[3].alias("mutation"), "n_support", "n_queries", "n_passages", F.col("first.spec_ord").alias("first_spec"))
+
+
+CURATION_RUN = f"""
+WITH {curation._BM25.replace("lower(text)", "lower(coalesce(trim(text) || ' ', '') || 'resistance mutations')", 1)},
+ranked AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(doc_id AS VARCHAR)) AS k FROM lexical QUALIFY k <= 10),
+sized AS (SELECT query_id, k, doc_id, length('Source ' || k || ' (T' || doc_id || ') [PMID: ' || doc_id || ']:' || chr(10) || coalesce(text, '')) AS size FROM ranked JOIN documents USING (doc_id)),
+used AS (SELECT *, sum(size + 7) OVER (PARTITION BY query_id ORDER BY k) - 7 AS u FROM sized)
+SELECT 'gene' || (doc_id % 20) AS gene, 'S' || (doc_id % 50 + 1) || 'T' AS mutation, count(*) AS n_support, count(DISTINCT query_id) AS n_queries, count(*) AS n_passages, CAST(min(query_id) AS BIGINT) AS first_spec
+FROM used WHERE u <= 29666 OR k = 1 GROUP BY 1, 2"""
+
+
 def generate_retried(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of a service that is busy for some prompts and refuses others; how often each was asked."""
     def complete(prompt: str, most: int) -> dict:
@@ -221,7 +251,7 @@ _QUERIES = (
 WITH own AS (SELECT p_type AS term, CAST(max(p_size) AS VARCHAR) AS text FROM part GROUP BY 1),
 flags AS (SELECT CASE WHEN l_linenumber % 3 = 0 THEN concat_ws(':', upper(p_type), l_linestatus) WHEN l_linenumber % 3 = 1 THEN p_type ELSE concat_ws(':', l_returnflag, l_linestatus) END AS flag FROM lineitem LEFT JOIN part ON p_partkey = l_partkey)
 SELECT flag, count(*) AS n, coalesce(any_value(text), '') AS text FROM flags LEFT JOIN own ON lower(term) = lower(split_part(flag, ':', 1)) GROUP BY 1"""),
-    (prose_records, PROSE_RECORDS), (generate_retried, GENERATE_RETRIED),
+    (prose_records, PROSE_RECORDS), (curation_run, CURATION_RUN), (generate_retried, GENERATE_RETRIED),
 )
 QUERIES = {f.__name__: f for f, _ in _QUERIES}
 ORACLE = {f.__name__: sql for f, sql in _QUERIES}

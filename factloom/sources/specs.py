@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom.session import ship_package, stage
+
 #: Header names, lower-cased with underscores, and the field each stands for; fixed values.
 ALIASES = {
     "organism": "organism", "species": "organism", "pathogen": "organism",
@@ -40,7 +45,7 @@ def with_identity(specs: DataFrame, backend: str = "server", instructions: str =
     return specs.withColumns({"query_id": F.coalesce(own, query_hash(asked)), "run_hash": query_hash([*asked, *how])})
 
 
-def normalised(raw: DataFrame, defaults: dict | None = None, *, ordered: bool = True) -> DataFrame:
+def normalised(raw: DataFrame, defaults: dict | None = None, *, ordered: bool = True, keep: Sequence[str] = ()) -> DataFrame:
     """Aliased columns only; blanks and unusable top_k take the defaults. ordered: with the rows' order, which a stream hasn't."""
     defaults = DEFAULTS | (defaults or {})
     found: dict[str, list[str]] = {}
@@ -60,42 +65,98 @@ def normalised(raw: DataFrame, defaults: dict | None = None, *, ordered: bool =
         F.coalesce(text("top_k").try_cast("int"), F.lit(defaults["top_k"])).alias("top_k"),
         filled("collection").alias("collection"),
         text("query_id").alias("query_id"),
+        *keep,
     )
 
 
-def invalid(specs: DataFrame) -> DataFrame:
-    """spec_ord and error of the rows that can't be run."""
-    error = F.when(F.col("organism") == "", F.lit("no organism")).when(
+def _fault() -> Column:
+    """What keeps a spec from being run, or null."""
+    return F.when(F.col("organism") == "", F.lit("no organism")).when(
         ~F.col("top_k").between(*TOP_K), F.concat(F.lit("top_k is not between 1 and 100: "), F.col("top_k").cast("string"))
     )
-    return specs.withColumn("error", error).filter("error IS NOT NULL").select("spec_ord", "error")
 
 
-def load_specs(spark: SparkSession, path: str, defaults: dict | None = None, *, check: bool = True) -> DataFrame:
-    """Specs of a file; the delimiter is sniffed where the header lacks the expected one."""
-    kind = path.rsplit(".", 1)[-1].lower()
-    lines = spark.read.text(path, wholetext=kind in ("json", "yaml", "yml"))
+def invalid(specs: DataFrame) -> DataFrame:
+    """spec_ord and error of the rows that can't be run."""
+    return specs.withColumn("error", _fault()).filter("error IS NOT NULL").select("spec_ord", "error")
+
+
+ROWS = "file string, row int, " + ", ".join(f"{f} string" for f in FIELDS) + ", error string"
+
+
+def _field(name: object) -> str | None:
+    return ALIASES.get(str(name).strip().lower().replace(" ", "_"))
+
+
+def _records(name: str, data: bytes) -> Iterator[object]:
+    """The records of one file, by its ending; the delimiter of a table is the expected one only where its header has it."""
+    kind, text = name.rsplit(".", 1)[-1].lower(), data.decode("utf-8-sig")
     if kind in ("json", "yaml", "yml"):
-        text = lines.first()
-        if text is None:
-            raise SpecError(f"{path}: empty")
-        said = json.loads(text.value) if kind == "json" else _yaml(text.value)
+        said = json.loads(text) if kind == "json" else _yaml(text)
         rows = said.get("queries", said) if isinstance(said, dict) else said
-        if not isinstance(rows, list) or not all(isinstance(r, dict) for r in rows):
-            raise SpecError(f"{path}: expected a list of query rows")
-        names = list(dict.fromkeys(str(k) for r in rows for k in r))
-        values = [tuple(None if r.get(n) is None else str(r[n]) for n in names) for r in rows]
-        raw = spark.createDataFrame(values, ", ".join(f"`{n}` string" for n in names)).coalesce(1)  # in order
+        if not isinstance(rows, list):
+            raise SpecError("expected a list of query rows")
+        yield from rows
+    elif kind == "jsonl":
+        for line in filter(str.strip, text.splitlines()):
+            try:
+                yield json.loads(line)
+            except ValueError:
+                yield line
     else:
-        head = lines.first()
-        expected = "," if kind == "csv" else "\t"
-        header = head.value if head else ""
-        sep = expected if expected in header else "," if "," in header else "\t"
-        raw = spark.read.csv(path, sep=sep, header=True, inferSchema=False, escape='"')
-    specs = with_identity(normalised(raw, defaults))
-    if check and (bad := invalid(specs).orderBy("spec_ord").limit(5).collect()):
-        raise SpecError(f"{path}: " + "; ".join(f"row {r.spec_ord + 1}: {r.error}" for r in bad))
-    return specs
+        head, expected = text.split("\n", 1)[0], "," if kind == "csv" else "\t"
+        yield from csv.DictReader(io.StringIO(text, newline=""), delimiter=expected if expected in head else "," if "," in head else "\t")
+
+
+def parse_file(name: str, data: bytes) -> list[tuple]:
+    """A file's rows under ROWS; what can't be read is a row with its error."""
+    out, blank = [], [None] * len(FIELDS)
+    try:
+        for number, record in enumerate(_records(name, data), 1):
+            if not isinstance(record, dict):
+                out.append((name, number, *blank, "not a mapping"))
+                continue
+            # Of several names of a field the last one counts.
+            found = {f: v for k, v in record.items() if k is not None and (f := _field(k))}
+            out.append((name, number, *[None if found.get(f) is None else str(found[f]) for f in FIELDS], None))
+    except Exception as unreadable:  # noqa: BLE001  whatever is wrong with a file belongs to it
+        out.append((name, 0, *blank, f"unreadable: {unreadable}"))
+    return out
+
+
+def read_specs(spark: SparkSession, path: str | Sequence[str], defaults: dict | None = None) -> DataFrame:
+    """Specs of all files of a path, in the order of files and rows, each with its file, row and `error`.
+
+    Files come through Spark's reader, from any of its stores, and each is parsed by a task
+    of its own; TSV, CSV, JSON, JSON lines, YAML, and text tables of either delimiter. They
+    are what people write for a batch; specs in large tables go through `normalised`.
+    """
+    ship_package(spark)
+
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in ROWS.split(", ")]
+        for batch in batches:
+            for name, data in zip(batch["path"], batch["content"], strict=True):
+                yield pd.DataFrame(parse_file(name, bytes(data)), columns=names, dtype=object)
+
+    files = spark.read.format("binaryFile").load(list(path) if not isinstance(path, str) else path).select("path", "content")
+    rows = stage(files.mapInPandas(parsed, ROWS), "spec-rows")
+    sizes = rows.groupBy("file").agg(F.count("*").alias("_n"))
+    # One row for each file.
+    first = sizes.select(F.col("file").alias("_file"), (F.sum("_n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))).alias("_first"))
+    placed = rows.join(first, F.col("file") == F.col("_file"))
+    own = normalised(placed, defaults, ordered=False, keep=("file", "row", "error", "_first"))
+    ordered = own.withColumn("spec_ord", (F.coalesce("_first", F.lit(0)) + F.greatest(F.lit(0), F.col("row") - 1)).cast("bigint")).drop("_first")
+    return with_identity(ordered.withColumn("error", F.coalesce("error", _fault())))
+
+
+def load_specs(spark: SparkSession, path: str, defaults: dict | None = None, *, check: bool = True) -> DataFrame:
+    """Specs of a file; an error names its first bad rows."""
+    specs = read_specs(spark, path, defaults)
+    bad = specs.filter("error IS NOT NULL")
+    if check and (first := bad.orderBy("spec_ord").limit(5).collect()):
+        raise SpecError(f"{path}: " + "; ".join(f"row {r.row}: {r.error}" for r in first))
+    return specs.drop("file", "row", "error")
 
 
 def _yaml(text: str) -> object:

@@ -111,6 +111,19 @@ def test_specs_of_all_forms(spark, tmp_path):
             read(name)
 
 
+def test_specs_of_a_folder_with_bad_rows(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"organism": "M. x"}\n\nbroken\n[1]\n{"species": "", "pathogen": "M. y", "k": "x"}\n')
+    (tmp_path / "b.yaml").write_text("queries:\n- organism: M. z\n")
+    (tmp_path / "c.json").write_text("{")
+    (tmp_path / "d.tsv").write_text("organism\tquery id\n\tq1\nM. w\tq2\n")
+    rows = specs.read_specs(spark, str(tmp_path)).orderBy("spec_ord").collect()
+    told = [(r.file[-7:], r.row, r.organism, r.error and r.error.split(":")[0]) for r in rows]
+    assert told[:4] == [("a.jsonl", 1, "M. x", None), ("a.jsonl", 2, "", "not a mapping"), ("a.jsonl", 3, "", "not a mapping"), ("a.jsonl", 4, "M. y", None)]
+    assert told[5:] == [("/c.json", 0, "", "unreadable"), (told[6][0], 1, "", "no organism"), (told[7][0], 2, "M. w", None)]
+    assert told[4][2:] in (("M. z", None), ("", "unreadable"))  # by whether the library is there
+    assert [r.spec_ord for r in rows] == list(range(8)) and [r.query_id for r in rows][-2:] == ["q1", "q2"]
+
+
 def test_templates(spark, tmp_path):
     path = tmp_path / "own.toml"
     path.write_text('[[templates]]\nid = "own"\ncolumns = ["A", "B"]\nrequired = ["A"]\n[[templates]]\nlabel = "no id"\n')

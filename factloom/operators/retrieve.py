@@ -1,9 +1,9 @@
 """Ranking passages for queries: BM25, dense similarity, hybrid and reciprocal-rank fusion.
 
-BM25 is an inverted-index join: passages and queries are reduced to (term, count) rows,
-joined on the term, and scores are summed per (query, passage). Query terms are few, so
-the passages' terms are first cut to those that some query has (a semi join that Spark
-broadcasts by size); statistics of the corpus are two small aggregates. Dense similarity
+BM25 is an inverted-index join: passages are split once into staged postings, (term, count)
+rows of the terms that some query has (a semi join that Spark broadcasts by size), which
+also give the corpus's statistics; they are joined with the queries' terms, and scores are
+summed per (query, passage). Dense similarity
 is a product of blocks: both sides are packed, and of each pair of blocks only the best of
 each query leave the task. Top k per query is a row number, which Spark cuts before the
 shuffle (WindowGroupLimit).
@@ -96,11 +96,16 @@ def bm25(passages: DataFrame, queries: DataFrame, *, id_col: str = "chunk_id", t
     don't depend on the filter; without them they are those of the passages.
     """
     wanted_terms = queries.select("query_id", F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term"))
+    asked = wanted_terms.select("term").distinct()
     split = passages.select(F.col(id_col), terms(F.col(text_col)).alias("_terms"))
-    sized = split.select(id_col, F.size("_terms").alias("dl"), "_terms")
-    corpus = known.corpus if known else sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    listed = sized.select(id_col, "dl", F.explode("_terms").alias("term")).join(wanted_terms.select("term").distinct(), "term", "left_semi")
-    counted = listed.groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf"))
+    each = F.col("_terms")
+    if known is None:
+        # An empty term stands for the passage itself, so that one pass gives the corpus too.
+        each, asked = F.concat(F.array(F.lit("")), each), asked.unionByName(passages.sparkSession.createDataFrame([("",)], "term string"))
+    listed = split.select(id_col, F.size("_terms").alias("dl"), F.explode(each).alias("term")).join(asked, "term", "left_semi")
+    postings = stage(listed.groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf")), "bm25-postings")
+    counted = postings.filter("term <> ''")
+    corpus = known.corpus if known else postings.filter("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = known.df if known else counted.groupBy("term").agg(F.count("*").alias("df"))
     # One row; the only broadcast here that is asked for by name.
     weighted = wanted_terms.join(df, "term").join(F.broadcast(corpus)).withColumn("idf", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))

@@ -36,6 +36,22 @@ def search_text(organism: Column, genes: Column, other_terms: Column, template:
     return F.concat_ws(" ", _part(organism), _part(genes), _part(label.cast("string")), _part(other_terms))
 
 
+def request_body(query: Column, top_k: Column, mode: Column, *, template: Column | None = None, slots: Column | None = None, collections: Column | None = None, filters: Column | None = None) -> Column:
+    """The JSON request of a query for a search service, without what is empty.
+
+    slots: a map; collections: an array, of which one name is sent as `collection` and
+    several, without repeats, as `collections`; filters: a map or struct.
+    """
+    none = F.lit(None).cast("string")
+    names = F.array_distinct(F.filter(F.coalesce(collections, F.array().cast("array<string>")), lambda c: c != "")) if collections is not None else F.array().cast("array<string>")
+    parts = {
+        "query": query, "top_k": top_k, "use_graph": F.lit(False), "retrieval_mode": mode, "template": none if template is None else _part(template),
+        "template_vars": none if slots is None else F.when(F.size(slots) > 0, slots), "collection": F.when(F.size(names) == 1, F.get(names, F.lit(0))),
+        "collections": F.when(F.size(names) > 1, names), "filters": none if filters is None else filters,
+    }
+    return F.to_json(F.struct(*[v.alias(k) for k, v in parts.items()]))
+
+
 def output_tokens(template: Template, n_sources: Column) -> Column:
     declared = template.max_output_tokens or DEFAULT_OUTPUT_TOKENS
     if not template.is_table:

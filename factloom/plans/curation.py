@@ -209,10 +209,20 @@ used AS (SELECT *, sum(size + 7) OVER (PARTITION BY query_id ORDER BY source_ran
 SELECT query_id, turn, CAST(source_rank AS INT) AS source_rank, CAST(size AS INT) AS size FROM used WHERE u <= 2000 OR source_rank = 1"""
 
 
-def collection_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as collections; every third name's state is known, and some of those are being built."""
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("collection"))
-    counts = corpus.collection_counts(docs).withColumn("state", F.lit(None).cast("string"))
-    return corpus.searchable(counts).select("id", "count")
+    known = (F.length("id") + F.ascii(F.substring("id", -1, 1))) % 3
+    return corpus.collection_counts(docs).withColumn("state", F.when(known == 0, "active").when(known == 1, "building"))
+
+
+def collection_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.searchable(_collections(spark, sf_dir)).select("id", "count")
+
+
+def collection_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of the collections that can be searched."""
+    return corpus.total(corpus.searchable(_collections(spark, sf_dir)))
 
 
 def citation_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,8 +266,10 @@ c AS (SELECT (SELECT count(*) FROM p JOIN w USING (doc_id)) AS tp, (SELECT count
 SELECT tp, np - tp AS fp, nw - tp AS fn, round(CASE WHEN np > 0 THEN tp / np ELSE 0 END, 4) AS precision, round(CASE WHEN nw > 0 THEN tp / nw ELSE 0 END, 4) AS recall,
   round(CASE WHEN np + nw > 0 THEN 2.0 * tp / (np + nw) ELSE 0 END, 4) AS f1 FROM c"""
 
+_COLLECTIONS = "SELECT source AS id, count(*) AS count, (length(source) + ascii(right(source, 1))) % 3 AS k FROM documents GROUP BY source"
+
 QUERIES = {f.__name__: f for f in (
-    merge_support, norm_mutation, title_clean, chunk_scan, bm25_topk, dense_topk, rrf_fused_topk, context_budget, collection_filter, citation_expand,
+    merge_support, norm_mutation, title_clean, chunk_scan, bm25_topk, dense_topk, rrf_fused_topk, context_budget, collection_filter, collection_total, citation_expand,
     resume_pending, progress_last_wins, query_identity_hash, score_prf,
 )} | {name: _vocabulary(name) for name in SPELLED}
 
@@ -270,7 +282,8 @@ ORACLE = {
     "dense_topk": DENSE_TOPK,
     "rrf_fused_topk": RRF_FUSED_TOPK,
     "context_budget": CONTEXT_BUDGET,
-    "collection_filter": "SELECT source AS id, count(*) AS count FROM documents GROUP BY 1",
+    "collection_filter": f"SELECT id, count FROM ({_COLLECTIONS}) WHERE k IS NULL OR k <> 1",
+    "collection_total": f"SELECT CAST(coalesce(sum(count), 0) AS BIGINT) AS chunks, count(*) AS collections FROM ({_COLLECTIONS}) WHERE k IS NULL OR k <> 1",
     "citation_expand": CITATION_EXPAND,
     "resume_pending": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)",
     "progress_last_wins": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",

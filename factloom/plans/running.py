@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import normalize as N
-from factloom.operators import batch, export, glossary, merge, retrieve, run, score
+from factloom.operators import batch, context, export, glossary, merge, retrieve, run, score
 from factloom.plans import answering, curation
 from factloom.schema import SOURCE
 from factloom.session import remove_at_exit, spread, stage, staging_dir, table
@@ -195,6 +195,22 @@ WITH asked AS (SELECT o_orderkey AS k, 2 + o_custkey % 3 AS n FROM orders)
 SELECT CAST(k AS VARCHAR) AS query_id, 'Seen in [1] and [2-' || n || '].' AS answer, (10 * k + 1) || ';' || (10 * k + 2) || CASE WHEN n = 4 THEN ';' || (10 * k + 4) ELSE '' END AS pmids, array_to_string(generate_series(1, n), ';') AS markers FROM asked"""
 
 
+def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of the orders' queries: what is empty is left out, one collection is sent alone."""
+    key = F.col("o_custkey") % 4
+    names = F.when(key == 0, F.array().cast("array<string>")).when(key == 1, F.array(F.lit("a"), F.lit(""), F.lit("a"))).otherwise(F.array(F.lit("b"), F.lit("a"), F.lit("b")))
+    slots = F.when(key < 2, F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("organism"), F.col("o_orderpriority")))
+    filters = F.when(key == 3, F.struct(F.struct(F.lit(2000).alias("gte")).alias("year")))
+    body = context.request_body(F.col("o_orderpriority"), key + 1, F.lit("hybrid"), template=F.when(key > 1, "mutation").otherwise(" "), slots=slots, collections=names, filters=filters)
+    return table(spark, sf_dir, "orders").select("o_orderkey", body.alias("body"))
+
+
+REQUEST_BODIES = """
+SELECT o_orderkey, '{"query":"' || o_orderpriority || '","top_k":' || (o_custkey % 4 + 1) || ',"use_graph":false,"retrieval_mode":"hybrid"' ||
+  CASE WHEN o_custkey % 4 > 1 THEN ',"template":"mutation","template_vars":{"organism":"' || o_orderpriority || '"}' ELSE '' END ||
+  CASE o_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN ',"collection":"a"' ELSE ',"collections":["b","a"]' END || CASE WHEN o_custkey % 4 = 3 THEN ',"filters":{"year":{"gte":2000}}' ELSE '' END || '}' AS body FROM orders"""
+
+
 def curation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole run: benchmark items as specs, documents as passages, and a generator that reports each source it is shown."""
     def complete(prompt: str, most: int) -> dict:
@@ -251,7 +267,7 @@ _QUERIES = (
 WITH own AS (SELECT p_type AS term, CAST(max(p_size) AS VARCHAR) AS text FROM part GROUP BY 1),
 flags AS (SELECT CASE WHEN l_linenumber % 3 = 0 THEN concat_ws(':', upper(p_type), l_linestatus) WHEN l_linenumber % 3 = 1 THEN p_type ELSE concat_ws(':', l_returnflag, l_linestatus) END AS flag FROM lineitem LEFT JOIN part ON p_partkey = l_partkey)
 SELECT flag, count(*) AS n, coalesce(any_value(text), '') AS text FROM flags LEFT JOIN own ON lower(term) = lower(split_part(flag, ':', 1)) GROUP BY 1"""),
-    (prose_records, PROSE_RECORDS), (curation_run, CURATION_RUN), (generate_retried, GENERATE_RETRIED),
+    (prose_records, PROSE_RECORDS), (curation_run, CURATION_RUN), (request_bodies, REQUEST_BODIES), (generate_retried, GENERATE_RETRIED),
 )
 QUERIES = {f.__name__: f for f, _ in _QUERIES}
 ORACLE = {f.__name__: sql for f, sql in _QUERIES}

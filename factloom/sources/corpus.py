@@ -36,6 +36,12 @@ def collection_counts(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy(F.col("collection").alias("id")).agg(F.count("*").alias("count"))
 
 
+def total(collections: DataFrame, ids: list[str] | None = None) -> DataFrame:
+    """One row: the chunks and the number of the collections, of all or of the chosen ones."""
+    chosen = collections if ids is None else collections.filter(F.col("id").isin(*ids))
+    return chosen.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("chunks"), F.count("*").alias("collections"))
+
+
 def resolve_collections(ids: list[str], value: str | None, server_default: str | None = None) -> list[str]:
     """Ids to search: one, a list, "all", or the default for nothing."""
     if not (value or "").strip():

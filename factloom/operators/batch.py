@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Sequence
-from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
+from concurrent.futures import ThreadPoolExecutor
+from queue import Empty, SimpleQueue
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +29,8 @@ ROW = (
 RECORD = f"query_id string, batch bigint, template_id string, is_table boolean, columns array<string>, answer string, rows array<{ROW}>"
 #: How often a call is tried, what the pauses grow by, and how many may be under way in a task; fixed values.
 ATTEMPTS, BACKOFF, MOST_AT_ONCE = 4, 1.5, 16
+#: Answers that leave a task together, at most: rows, and characters of their texts; fixed values.
+OUT_ROWS, OUT_CHARS = 1000, 4_000_000
 #: Statuses that may pass; fixed values.
 PASSING = frozenset({429, 500, 502, 503, 504})
 
@@ -66,7 +69,9 @@ def generate(prompts: DataFrame, complete: Callable[[str, int], dict], *, max_to
 
     It returns a dict with `text` and may add `model`, `finish_reason` and `elapsed_s`. In
     each task up to `at_once` calls (1 to 16) are under way; a new one starts as soon as
-    another ends, and rows come in the order in which they end. `CallFailed` with a passing
+    another ends, and rows come in the order in which they end, many in a table. Tasks are
+    those of the prompts, so that their number bounds the calls; `spread` them where a scan
+    or a small shuffle left few. `CallFailed` with a passing
     status, or none, is tried again after a growing pause; any other exception becomes the
     row's error at once, so one failing query doesn't end the batch.
     """
@@ -75,23 +80,47 @@ def generate(prompts: DataFrame, complete: Callable[[str, int], dict], *, max_to
     ship_package(prompts.sparkSession)
     names = [x.split()[0] for x in COMPLETION.split(", ")]
 
-    def row(query_id: str, ended: Future) -> tuple:
-        said, failed, tries = ended.result()
+    def row(query_id: str, said: dict | None, failed: Exception | None, tries: int) -> tuple:
         if failed is not None:
             return query_id, None, None, False, None, f"{type(failed).__name__}: {failed}", tries
         return query_id, said["text"], said.get("model"), said.get("finish_reason") == "length", said.get("elapsed_s"), None, tries
 
     def answered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         asked = (pair for batch in batches for pair in zip(batch["query_id"], batch["prompt"], strict=True))
+        ended: SimpleQueue = SimpleQueue()
+
+        def call(query_id: str, prompt: str) -> None:
+            try:
+                ended.put((query_id, *_tried(complete, prompt, max_tokens, attempts, pause)))
+            except BaseException as stopped:  # noqa: BLE001  not the row's own: it ends the task
+                ended.put(stopped)
+
         with ThreadPoolExecutor(at_once) as pool:
-            running: dict[Future, str] = {}
+            running, rows, chars = 0, [], 0
             while True:
-                while len(running) < at_once and (pair := next(asked, None)) is not None:
-                    running[pool.submit(_tried, complete, pair[1], max_tokens, attempts, pause)] = pair[0]
+                while running < at_once and (pair := next(asked, None)) is not None:
+                    pool.submit(call, *pair)
+                    running += 1
                 if not running:
-                    return
-                ended = wait(running, return_when=FIRST_COMPLETED).done
-                yield pd.DataFrame([row(running.pop(x), x) for x in ended], columns=names)
+                    break
+                done = [ended.get()]
+                try:
+                    while True:
+                        done.append(ended.get_nowait())
+                except Empty:
+                    pass
+                running -= len(done)
+                for one in done:
+                    if isinstance(one, BaseException):
+                        raise one
+                    rows.append(row(*one))
+                    chars += len(rows[-1][1] or "")
+                # A table for each answer would cost far more than a quick answer itself.
+                if len(rows) >= OUT_ROWS or chars >= OUT_CHARS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, chars = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     return prompts.select("query_id", "prompt").mapInPandas(answered, COMPLETION)
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from factloom.operators import batch, context, export, extract, merge, retrieve
 from factloom.operators import citations as C
 from factloom.schema import Template
-from factloom.session import stage
+from factloom.session import spread, stage
 
 
 @dataclass(frozen=True)
@@ -62,7 +62,7 @@ class Curation:
     def answers(self, prompts: DataFrame) -> DataFrame:
         """Staged answers with the hash of their prompt and the time they were made."""
         most = self.template.max_output_tokens or context.DEFAULT_OUTPUT_TOKENS
-        made = batch.generate(prompts, self.complete, max_tokens=most, at_once=self.at_once)
+        made = batch.generate(spread(prompts, "query_id"), self.complete, max_tokens=most, at_once=self.at_once)
         hashed = prompts.select("query_id", context.prompt_hash(F.col("prompt")).alias("_prompt_hash"))
         return stage(made.join(hashed, "query_id").withColumn("_retrieved_at", export.now()), "run-answers")
 

@@ -8,6 +8,7 @@ import json
 import threading
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,6 +216,23 @@ def test_calls_overlap_are_bounded_and_retried(spark):
         batch.generate(prompts, complete, at_once=17)
 
 
+def test_quick_answers_leave_a_task_in_few_tables(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(batch, "ship_package", lambda spark: None)
+
+    class Prompts:  # runs the task's function here, to see the tables it makes
+        sparkSession = spark
+
+        def select(self, *names):
+            return self
+
+        def mapInPandas(self, function, schema):
+            made.extend(function(iter([pd.DataFrame({"query_id": [str(i) for i in range(2500)], "prompt": "p"})])))
+
+    batch.generate(Prompts(), lambda prompt, most: {"text": prompt})
+    assert sorted(int(q) for x in made for q in x["query_id"]) == list(range(2500)) and len(made) <= 4
+
+
 def test_progress_keeps_whole_rows(spark, tmp_path):
     rows = spark.createDataFrame(claims(12), SCHEMA).withColumns({"variants": F.create_map(F.lit("Assertion"), F.array(F.lit("x"))), "_model": F.lit("m")})
     runs = rows.select("query_id").distinct().withColumns({"template_id": F.lit("mutation"), "is_table": F.lit(True), "answer": F.lit("text")})

@@ -252,7 +252,7 @@ def generate_retried(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     tried: dict[int, int] = {}
     asked = table(spark, sf_dir, "customer").select(_s("c_custkey").alias("query_id"), F.concat(F.col("c_mktsegment"), F.lit(" "), _s("c_custkey")).alias("prompt"))
-    return batch.generate(asked, complete, at_once=16, pause=0.0).select("query_id", "answer", "error", "attempts")
+    return batch.generate(spread(asked, "query_id"), complete, at_once=16, pause=0.0).select("query_id", "answer", "error", "attempts")
 
 
 GENERATE_RETRIED = """

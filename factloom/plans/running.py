@@ -99,7 +99,7 @@ def fused_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = stage(vectors.select("vec_id", "embedding", F.coalesce("text", F.lit("")).alias("text")), "fused-passages")
     asked = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.substring("text", 1, 80).alias("search_text"))
     near = retrieve.dense(vectors, asked.select("query_id", "embedding"), 50)
-    lexical = retrieve.rank(retrieve.bm25(vectors, asked, id_col="vec_id", text_col="text"), 50, "vec_id")
+    lexical = retrieve.bm25_top(vectors, asked, 50, id_col="vec_id", text_col="text")
     lexical = stage(lexical.select("query_id", "vec_id", "score", "source_rank"), "fused-lexical")
     both = retrieve.hybrid(lexical, near, 50, "vec_id")
     return retrieve.fuse([both, lexical], curation.TOP_K, key="vec_id").select("query_id", "vec_id", "source_rank", F.round("score", 6).alias("score"))

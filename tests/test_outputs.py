@@ -178,6 +178,20 @@ def test_filters_reach_the_scan(spark, tmp_path):
     assert meta.filter(retrieve.wanted({"metadata.year": 2001})).count() == 1 and meta.filter(retrieve.wanted({})).count() == 1
 
 
+def test_best_of_blocks_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "BLOCK_PASSAGES", 7)
+    monkeypatch.setattr(retrieve, "BLOCK_QUERIES", 3)
+    words = "alpha beta Gamma delta alpha eta theta".split()
+    texts = [(f"p{i}", " ".join(words[(i * j) % 7] for j in range(i % 9))) for i in range(60)] + [("none", None)]
+    own = spark.createDataFrame(texts, "chunk_id string, content string")
+    asked = spark.createDataFrame([(f"q{i}", f"{words[i]}, {words[(i + 2) % 7]} missing") for i in range(7)] + [("q9", None)], "query_id string, search_text string")
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "chunk_id", "score", "source_rank").collect()))
+    best = retrieve.bm25_top(own, asked, 5)
+    assert rows(best) == rows(retrieve.rank(retrieve.bm25(own, asked), 5)) != []
+    assert "FlatMapCoGroups" in best._jdf.queryExecution().toString()
+    assert rows(retrieve.bm25_top(own.limit(0), asked, 5)) == []
+
+
 def test_calls_overlap_are_bounded_and_retried(spark):
     prompts = spark.createDataFrame([(str(i), str(i)) for i in range(24)], "query_id string, prompt string").coalesce(1)
 

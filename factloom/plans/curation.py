@@ -135,8 +135,8 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = retrieve.bm25(table(spark, sf_dir, "documents"), _asked(spark, sf_dir), id_col="doc_id", text_col="text")
-    return retrieve.rank(scored, TOP_K, "doc_id").select("query_id", "doc_id", "source_rank", F.round("score", 4).alias("score"))
+    best = retrieve.bm25_top(table(spark, sf_dir, "documents"), _asked(spark, sf_dir), TOP_K, id_col="doc_id", text_col="text")
+    return best.select("query_id", "doc_id", "source_rank", F.round("score", 4).alias("score"))
 
 
 _BM25 = f"""

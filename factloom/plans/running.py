@@ -83,8 +83,8 @@ def retrieve_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     remove_at_exit(spark, path)
     laid = retrieve.lay_out(docs, path, order=("n_chars", "doc_id"))
     known = retrieve.statistics(laid, text_col="text")
-    scored = retrieve.bm25(laid.filter(retrieve.wanted(FILTERS)), curation._asked(spark, sf_dir), id_col="doc_id", text_col="text", known=known)
-    return retrieve.rank(scored, curation.TOP_K, "doc_id").select("query_id", "doc_id", "source_rank", F.round("score", 4).alias("score"))
+    best = retrieve.bm25_top(laid.filter(retrieve.wanted(FILTERS)), curation._asked(spark, sf_dir), curation.TOP_K, id_col="doc_id", text_col="text", known=known)
+    return best.select("query_id", "doc_id", "source_rank", F.round("score", 4).alias("score"))
 
 
 RETRIEVE_FILTERED = f"""

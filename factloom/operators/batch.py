@@ -171,9 +171,14 @@ def append_progress(records: DataFrame, path: str, number: int = 0) -> None:
 
 
 def parse_progress(lines: DataFrame, order: str) -> DataFrame:
-    """Records of JSON texts (column value); the last by batch, then by `order`, counts for each query."""
-    parsed = lines.withColumn("r", F.from_json("value", RECORD)).filter(F.coalesce(F.col("r.query_id"), F.lit("")) != "")
-    return parsed.groupBy("r.query_id").agg(F.max_by("r", F.struct(F.coalesce("r.batch", F.lit(0)), order)).alias("r")).select("r.*")
+    """Records of JSON texts (column value); the last by batch, then by `order`, counts for each query.
+
+    Texts are shuffled, not what they hold: records as rows of their own are many times as long.
+    """
+    read = F.from_json("value", RECORD)
+    keyed = lines.withColumns({"_id": read["query_id"], "_batch": F.coalesce(read["batch"], F.lit(0))}).filter(F.coalesce("_id", F.lit("")) != "")
+    last = keyed.groupBy("_id").agg(F.max_by("value", F.struct("_batch", order)).alias("value"))
+    return last.select(read.alias("r")).select("r.*")
 
 
 def read_progress(spark: SparkSession, path: str) -> DataFrame:

@@ -247,6 +247,15 @@ def test_quick_answers_leave_a_task_in_few_tables(spark, monkeypatch):
     assert sorted(int(q) for x in made for q in x["query_id"]) == list(range(2500)) and len(made) <= 4
 
 
+def test_progress_is_shuffled_as_texts(spark):
+    lines = spark.createDataFrame([('{"query_id":"a","batch":1,"template_id":"old"}', 2), ('{"query_id":"a","batch":2,"template_id":"new"}', 1), ('{"query_id":"a","batch":9,"rows":[', 3)], "value string, at int")
+    parsed = batch.parse_progress(lines, "at")
+    assert [(r.query_id, r.batch, r.template_id) for r in parsed.collect()] == [("a", 2, "new")]
+    plan = parsed._jdf.queryExecution().executedPlan().toString()
+    dealt = next(line for line in plan.splitlines() if "max_by" in line and "partial" in line)
+    assert "struct<query_id" not in dealt and "r#" not in dealt, dealt
+
+
 def test_progress_keeps_whole_rows(spark, tmp_path):
     rows = spark.createDataFrame(claims(12), SCHEMA).withColumns({"variants": F.create_map(F.lit("Assertion"), F.array(F.lit("x"))), "_model": F.lit("m")})
     runs = rows.select("query_id").distinct().withColumns({"template_id": F.lit("mutation"), "is_table": F.lit(True), "answer": F.lit("text")})

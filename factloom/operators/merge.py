@@ -131,9 +131,16 @@ def _reduced(parts: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def fact_parts(rows: DataFrame, template_id: str, columns: Sequence[str]) -> DataFrame:
-    """Mergeable parts: identity, kind, name, text, early, late, payload, n, rows, lead."""
-    rows = _prepared(rows)
+def fact_parts(rows: DataFrame, template_id: str, columns: Sequence[str], *, queries: bool = True) -> DataFrame:
+    """Mergeable parts: identity, kind, name, text, early, late, payload, n, rows, lead.
+
+    queries: with a part for each query of a fact, which nothing reduces; without them
+    facts know nothing of their number. Rows are spread first: a row is several parts,
+    which are sorted, and a scan's task has too many of short rows.
+    """
+    rows = _prepared(spread(rows, *[c for c in ("query_id", *ORDER) if c in rows.columns]))
+    if not queries:
+        rows = rows.withColumn("query_ids", F.array().cast("array<string>"))
     citation_type = rows.schema["citations"].dataType.elementType.simpleString()
     folded, first = _split(template_id, columns)
     written = F.struct(*[F.col("values")[c].alias(c) for c in identity_columns(template_id, columns)])
@@ -189,9 +196,10 @@ def facts_of(parts: DataFrame, template_id: str, columns: Sequence[str], *, list
     return _assembled(facts, template_id, columns, folded, listed)
 
 
-def merge_facts(rows: DataFrame, template_id: str, columns: Sequence[str], *, listed: bool = True) -> DataFrame:
-    """The facts of rows, as `facts_of` gives them."""
-    return facts_of(fact_parts(rows, template_id, columns), template_id, columns, listed=listed)
+def merge_facts(rows: DataFrame, template_id: str, columns: Sequence[str], *, listed: bool = True, queries: bool = True) -> DataFrame:
+    """The facts of rows, as `facts_of` gives them; without `queries` they have no n_queries and query_ids."""
+    facts = facts_of(fact_parts(rows, template_id, columns, queries=queries), template_id, columns, listed=listed)
+    return facts if queries else facts.drop("n_queries", "query_ids")
 
 
 def _of(kind: str, name: str | None = None) -> Column:

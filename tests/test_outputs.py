@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions.text import escape_html
-from factloom.operators import batch, context, export, glossary, retrieve
+from factloom.operators import batch, context, export, glossary, merge, retrieve
 from factloom.operators.merge import merge_facts
 from factloom.schema import SOURCE, Template
 from factloom.sources import corpus, specs, templates
@@ -192,6 +192,16 @@ def test_best_of_blocks_are_those_of_all_pairs(spark, monkeypatch):
     assert rows(retrieve.bm25_top(own.limit(0), asked, 5)) == []
 
 
+def test_parts_are_spread_and_made_without_queries(spark):
+    rows = spark.createDataFrame(claims(12), SCHEMA).coalesce(1)
+    parts = merge.fact_parts(rows, "mutation", COLUMNS, queries=False)
+    assert "query" not in {r.kind for r in parts.select("kind").collect()}
+    assert "REPARTITION_BY_NUM" in parts._jdf.queryExecution().executedPlan().toString()
+    told = lambda facts: sorted((r.identity, r.n_support, r.values, r.flags) for r in facts.collect())
+    bare = merge.merge_facts(rows, "mutation", COLUMNS, listed=False, queries=False)
+    assert "n_queries" not in bare.columns and told(bare) == told(merge.merge_facts(rows, "mutation", COLUMNS, listed=False))
+
+
 def test_calls_overlap_are_bounded_and_retried(spark):
     prompts = spark.createDataFrame([(str(i), str(i)) for i in range(24)], "query_id string, prompt string").coalesce(1)
 

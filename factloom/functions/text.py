@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from factloom.functions.vocab import NULL_TOKENS, RESCUED_SYMBOLS
 
-SPACE = "(?U)[\\s\\x1c-\\x1f]+"
+#: White space for a class: Unicode's, and the separators \\x1c to \\x1f.
+SPACES = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+SPACE = f"[{SPACES}]+"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -1,7 +1,8 @@
 """Citation markers to passages and papers.
 
 A query has at most 100 sources, so they travel as one array per query: the only shuffle
-is the join on query_id before the answers are exploded, and resolving is an expression.
+is the join on query_id before the answers are exploded. Each source's citation is made once
+per answer (`citations_of`), and resolving a row's markers takes it from there by place.
 """
 
 from __future__ import annotations
@@ -10,16 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import clean, let
-from factloom.schema import CITATION
+from factloom.schema import CITATION, METADATA
 from factloom.session import spread
 
 _NUMBERS = "array<int>"
+_NO_SOURCE = f"struct<source_rank:int,doc_id:string,chunk_id:string,score:double,metadata:{METADATA}>"
+_SPAN = "^\\[(\\d{1,9})\\s*[-–]\\s*(\\d{1,9})\\]$"
 
 
 def sources_by_query(sources: DataFrame) -> DataFrame:
     """query_id and its sources in marker order."""
     fields = ["source_rank", "doc_id", "chunk_id", "score", "metadata"]
-    return sources.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("sources"))
+    return sources.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("sources"))
 
 
 def with_sources(answers: DataFrame, sources: DataFrame) -> DataFrame:
@@ -54,12 +57,18 @@ def parse_markers(text: Column, n_sources: Column, bare: Column | bool = False,
     spans = lambda body: F.flatten(F.transform(F.split(body, ","), lambda p: _expanded(p, limit)))
     marked = F.flatten(F.transform(bodies, spans))
     trimmed = F.trim(text)
+    # The usual texts, one marker or one span, need no lists.
+    one = F.array(F.substring(text, F.lit(2), F.length(text) - 2).try_cast("int"))
+    ends = [F.regexp_extract(text, _SPAN, k).try_cast("int") for k in (1, 2)]
+    low = F.least(*ends)
+    span = F.sequence(low, F.greatest(low, F.least(F.greatest(*ends), limit + 1)))
     lone = F.when(
         F.lit(bare) if isinstance(bare, bool) else bare,
         F.when(trimmed.rlike("^[\\d\\s,;–-]+$"), F.filter(_expanded(trimmed, limit), lambda m: (m >= 1) & (m <= limit))),
     )
     none = F.array().cast(_NUMBERS)
-    return let(marked, lambda m: F.array_distinct(F.when(F.size(m) > 0, m).otherwise(F.coalesce(lone, none))))
+    listed = let(marked, lambda m: F.array_distinct(F.when(F.size(m) > 0, m).otherwise(F.coalesce(lone, none))))
+    return F.when(text.rlike("^\\[\\d{1,9}\\]$"), one).when(text.rlike(_SPAN), span).otherwise(listed)
 
 
 def _text(value: Column) -> Column:
@@ -91,25 +100,40 @@ def citation(marker: Column, sources: Column, matched_by: str = "marker") -> Col
     return let(F.when(marker >= 1, F.get(sources, marker - 1)), of)
 
 
+def citations_of(sources: Column) -> Column:
+    """The citation of each place in an answer's sources, and its marker among them, as `matched_by` tells it for numbers."""
+    return F.transform(sources, lambda s, i: citation(i + 1, sources))
+
+
+def _at(marker: Column, known: Column) -> Column:
+    """The citation of one marker among those of all sources."""
+    return F.coalesce(F.when(marker >= 1, F.get(known, marker - 1)), citation(marker, F.array().cast(f"array<{_NO_SOURCE}>")))
+
+
 def surname(author: Column) -> Column:
     """Last word of a name, lower-cased; null for fewer than three letters."""
-    words = F.filter(F.split(F.translate(author, ",", " "), "\\s+"), lambda w: w != "")
-    last = F.lower(F.btrim(F.try_element_at(words, F.lit(-1)), F.lit(".")))
+    last = F.lower(F.btrim(F.regexp_extract(author, "([^\\s,]++)[\\s,]*+\\z", 1), F.lit(".")))
     return F.when(F.length(last) >= 3, last)
 
 
-def match_by_author(text: Column, sources: Column) -> Column:
+def match_by_author(text: Column, known: Column, ranks: Column) -> Column:
     """Citations of the sources whose first author the text names, and whose year it allows."""
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    year = F.regexp_extract(lowered, "\\b((?:19|20)\\d{2})\\b", 1)
+    def of(told: Column) -> Column:
+        lowered, year = told["text"], told["year"]
+
+        def fits(source: Column) -> Column:
+            def named(name: Column) -> Column:
+                # A pattern is made only where the name is in the text at all.
+                return F.contains(lowered, name) & F.regexp_like(lowered, F.concat(F.lit("(?U)\\b\\Q"), name, F.lit("\\E\\b")))
 
-    def fits(source: Column) -> Column:
-        name = surname(F.get(source["metadata"]["authors"], F.lit(0)))
-        own = source["metadata"]["year"].cast("string")
-        named = F.regexp_like(lowered, F.concat(F.lit("(?U)\\b\\Q"), name, F.lit("\\E\\b")))
-        return F.coalesce(named & ((year == "") | own.isNull() | (year == own)), F.lit(False))
+            own = source["year"]
+            return F.coalesce(((year == "") | own.isNull() | (year == own)) & let(surname(source["first_author"]), named), F.lit(False))
 
-    return F.transform(F.filter(sources, fits), lambda s: citation(s["source_rank"], sources, "author"))
+        found = F.filter(F.transform(known, lambda c, i: F.when(fits(c), F.get(ranks, i))), lambda m: m.isNotNull())
+        return F.transform(found, lambda m: _at(m, known).withField("matched_by", F.lit("author")))
+
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    return let(F.struct(lowered.alias("text"), F.regexp_extract(lowered, "\\b((?:19|20)\\d{2})\\b", 1).alias("year")), of)
 
 
 def document_key(c: Column) -> Column:
@@ -127,22 +151,31 @@ def chunk_key(chunk: Column) -> Column:
 
 def collapse_by_document(citations: Column) -> Column:
     """One citation per document that keeps every passage, passages by marker."""
-    def merged(key: Column) -> Column:
-        def of(own: Column) -> Column:
-            chunks = F.array_sort(distinct_by(F.flatten(F.transform(own, lambda c: c["chunks"])), chunk_key))
-            return own[0].withField("chunks", chunks)
-
-        return let(F.filter(citations, lambda c: document_key(c) == key), of)
-
-    return F.transform(F.array_distinct(F.transform(citations, document_key)), merged)
-
-
-def resolve(text: Column, sources: Column, bare: Column | bool = False, *, strict: bool = False) -> Column:
-    """Citations of a reference text: by marker, otherwise by first author."""
-    numbered = F.transform(parse_markers(text, F.size(sources), bare, strict=strict), lambda m: citation(m, sources))
-    return let(
-        let(numbered, lambda n: F.when(F.size(n) > 0, n).otherwise(match_by_author(text, sources))), collapse_by_document
-    )
+    def merged(own: Column) -> Column:
+        chunks = F.sort_array(distinct_by(F.flatten(F.transform(own, lambda c: c["chunks"])), chunk_key))
+        return own[0].withField("chunks", chunks)
+
+    def of(keys: Column) -> Column:
+        return F.transform(F.array_distinct(keys), lambda key: let(F.filter(citations, lambda c, i: F.get(keys, i) == key), merged))
+
+    return let(F.transform(citations, document_key), of)
+
+
+def with_citations(rows: DataFrame, text: Column, bare: Column | bool = False, *, strict: bool = False) -> DataFrame:
+    """Adds the citations of a reference text: by marker, otherwise by first author.
+
+    rows: with `_known`, their answer's `citations_of`, and `_ranks`, its sources' ranks. Steps
+    that are read twice are columns, and most rows have one citation, which needs no merging.
+    """
+    known, cited, markers = F.col("_known"), F.col("_cited"), F.col("_markers")
+    marked = rows.withColumn("_cited", text).withColumn("_markers", parse_markers(cited, F.size(known), bare, strict=strict))
+    found = marked.withColumn("citations", F.when(F.size(markers) > 0, F.transform(markers, lambda m: _at(m, known))).otherwise(match_by_author(cited, known, F.col("_ranks"))))
+    several = F.size("citations") > 1
+    keys = F.when(several, F.transform("citations", document_key))
+    keyed = found.withColumn("_keys", keys)
+    # Each citation has one passage at the most before this.
+    apart = F.size(F.array_distinct("_keys")) == F.size("_keys")
+    return keyed.withColumn("citations", F.when(~several | apart, F.col("citations")).otherwise(collapse_by_document(F.col("citations")))).drop("_markers", "_keys")
 
 
 def has_reference_text(text: Column) -> Column:

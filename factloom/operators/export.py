@@ -31,22 +31,22 @@ FORMS = ("tsv", "csv", "json", "jsonl")
 
 def pmids(citations: Column) -> Column:
     """Numbers of the cited papers that have one, repeats included."""
-    return F.filter(F.transform(citations, lambda c: c["pmid"]), lambda x: x.isNotNull() & (x != ""))
+    return F.filter(citations["pmid"], lambda x: x.isNotNull() & (x != ""))
 
 
 def _chunks(citations: Column) -> Column:
-    return F.flatten(F.transform(citations, lambda c: c["chunks"]))
+    return F.flatten(citations["chunks"])
 
 
 def chunk_ids(citations: Column) -> Column:
     """Distinct passages in order."""
-    return F.array_distinct(F.transform(_chunks(citations), lambda k: k["chunk_id"]))
+    return F.array_distinct(_chunks(citations)["chunk_id"])
 
 
 def markers(citations: Column) -> Column:
     """Distinct markers of the cited passages, or of an unresolved citation, sorted."""
     own = F.transform(citations, lambda c: F.when(F.size(c["chunks"]) > 0, F.transform(c["chunks"], lambda k: k["marker"])).otherwise(F.array(c["marker"])))
-    return F.array_sort(F.array_distinct(F.filter(F.flatten(own), lambda m: m.isNotNull())))
+    return F.sort_array(F.array_distinct(F.filter(F.flatten(own), lambda m: m.isNotNull())))
 
 
 def citation_text(citations: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import vocab
 from factloom.functions.normalize import normalize_gene, site_with_residue, standard_notation
-from factloom.functions.text import is_null, let
+from factloom.functions.text import let
 from factloom.operators import answers as A
 from factloom.operators import citations as C
 from factloom.schema import Template
@@ -32,10 +32,20 @@ def split_genes(genes: Column) -> Column:
 def gene_keys(entries: Column) -> Column:
     """Normalised entries and each of their words of over one character."""
     words = lambda g: F.filter(F.split(g, " "), lambda w: F.length(w) > 1)
-    whole = F.filter(F.transform(entries, normalize_gene), lambda g: g != "")
+    whole = F.filter(F.transform(entries, lambda g: normalize_gene(g)), lambda g: g != "")
     return let(whole, lambda w: F.array_distinct(F.concat(w, F.flatten(F.transform(w, words)))))
 
 
+def _off_target(genes: Sequence[Column], requested: Column) -> Column:
+    """Whether a row names genes, and no key of theirs is requested; genes are `normalize_gene`d."""
+    named, known = F.lit(False), F.lit(False)
+    for g in genes:
+        words = F.when(F.contains(g, F.lit(" ")), F.arrays_overlap(F.filter(F.split(g, " "), lambda w: F.length(w) > 1), requested))
+        named = named | (g != "")
+        known = known | ((g != "") & (F.array_contains(requested, g) | F.coalesce(words, F.lit(False))))
+    return named & (F.size(requested) > 0) & ~known
+
+
 def _first_value(columns: Sequence[str]) -> Column:
     """First non-empty value of some columns, or an empty string."""
     return F.coalesce(*[F.when(A.value(c) != "", A.value(c)) for c in columns], F.lit(""))
@@ -54,6 +64,7 @@ def _squash(text: Column) -> Column:
 
 
 def _flags(template: Template, requested: Column) -> Column:
+    """Array of all flags, null where a row hasn't got one."""
     columns = template.columns
     named = lambda test, text: F.when(test, F.lit(text))
     wanted = set(vocab.KEY_VALUE) | {r.strip().lower() for r in template.required}
@@ -61,7 +72,7 @@ def _flags(template: Template, requested: Column) -> Column:
         named(F.col("misaligned"), "column_count_mismatch"),
         named(F.col("ambiguous"), "compound_row"),
         named(A.evidence_free(columns), "evidence_free"),
-        named(F.exists("citations", lambda c: ~c["resolved"]), "unresolved_citation"),
+        named(F.array_contains(F.col("citations")["resolved"], F.lit(False)), "unresolved_citation"),
         F.when(F.size("citations") == 0, F.when(C.has_reference_text(F.col("_cited")), "citation_not_in_sources").otherwise("no_citation")),
     ]
     found += [named(A.value(c) == "", f"missing:{c}") for c in columns if c.strip().lower() in wanted]
@@ -70,7 +81,7 @@ def _flags(template: Template, requested: Column) -> Column:
     if either:
         test = F.lit(True)
         for c in either:
-            test = test & is_null(A.value(c))
+            test = test & A.is_empty(A.value(c))
         found.append(named(test, "missing:" + "/".join(sorted(vocab.EITHER_OR)).upper()))
     organism, hosts = _squash(_first_value(_of_class(columns, vocab.ORGANISM))), _of_class(columns, vocab.HOST)
     if hosts:
@@ -78,25 +89,35 @@ def _flags(template: Template, requested: Column) -> Column:
         for c in hosts:
             test = test | F.contains(_squash(A.value(c)), organism)
         found.append(named((F.length(organism) >= 6) & test, "reversed_pair"))
-    genes = _of_class(columns, vocab.TARGET_GENE)
+    genes = [F.col(g) for g in _genes(columns)]
     if genes:
-        own = gene_keys(F.array(*[A.value(c) for c in genes]))
-        off = let(own, lambda k: (F.size(k) > 0) & (F.size(requested) > 0) & ~F.arrays_overlap(k, requested))
-        found.append(named(off, "off_target_gene"))
-    return F.array_compact(F.array(*found))
+        found.append(named(_off_target(genes, requested), "off_target_gene"))
+    return F.array(*found)
+
+
+def _genes(columns: Sequence[str]) -> dict[str, Column]:
+    """Columns for the normalised target genes of a row."""
+    return {f"_gene{i}": normalize_gene(A.value(c), collapsed=True) for i, c in enumerate(_of_class(columns, vocab.TARGET_GENE))}
 
 
-def _standard(columns: Sequence[str]) -> Column:
-    """Standard forms that differ from what is written, by column."""
+def _standard(facts: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Adds `standard`: standard forms that differ from what is written, by column."""
     linkage, gene = _first_value(_of_class(columns, vocab.LINKAGE)), _first_value(_of_class(columns, vocab.TARGET_GENE))
     entry = lambda c, v: F.struct(F.lit(c).alias("key"), v.alias("value"))
-    found = [entry(c, site_with_residue(A.value(c), linkage)) for c in _of_class(columns, vocab.SITE)]
-    for c in _of_class(columns, vocab.NOTATION):
-        written = F.lower(F.trim(A.value(c)))
-        found.append(entry(c, let(standard_notation(A.value(c), gene), lambda v: F.when(F.lower(v) != written, v).otherwise(""))))  # noqa: B023
+    sites, notations = _of_class(columns, vocab.SITE), _of_class(columns, vocab.NOTATION)
+    made = {f"_site{i}": site_with_residue(A.value(c), linkage) for i, c in enumerate(sites)} | {f"_notation{i}": standard_notation(A.value(c), gene) for i, c in enumerate(notations)}
+    found = [entry(c, F.col(f"_site{i}")) for i, c in enumerate(sites)]
+    for i, c in enumerate(notations):
+        v = F.col(f"_notation{i}")
+        found.append(entry(c, F.when(F.lower(v) != F.lower(F.trim(A.value(c))), v).otherwise("")))
+    none = F.create_map().cast("map<string,string>")
     if not found:
-        return F.create_map().cast("map<string,string>")
-    return F.map_from_entries(F.filter(F.array(*found), lambda e: e["value"] != ""))
+        return facts.withColumn("standard", none)
+    filled = F.lit(False)
+    for e in found:
+        filled = filled | (e["value"] != "")
+    standard = F.when(filled, F.map_from_entries(F.filter(F.array(*found), lambda e: e["value"] != ""))).otherwise(none)
+    return facts.withColumns(made).withColumn("standard", standard).drop(*made)
 
 
 def extract_table(answers: DataFrame, template: Template, *, keep_empty: bool = False, strict_markers: bool = False) -> DataFrame:
@@ -107,18 +128,20 @@ def extract_table(answers: DataFrame, template: Template, *, keep_empty: bool =
     """
     columns = template.columns
     genes = F.col("genes") if "genes" in answers.columns else F.lit("")
-    rows = A.parse_rows(answers.withColumn("_requested", gene_keys(split_genes(genes))), template, keep_empty=keep_empty)
+    asked = answers.withColumns({"_requested": gene_keys(split_genes(genes)), "_known": C.citations_of(F.col("sources")), "_ranks": F.col("sources")["source_rank"]})
+    rows = A.parse_rows(asked.drop("sources"), template, keep_empty=keep_empty)
     rows = rows.withColumn("values", F.when(F.col("status") == "kept", F.col("values")))
     facts = A.split_compound(rows, columns)
     text, bare = reference_text(columns)
-    facts = facts.withColumn("_cited", text)
-    facts = facts.withColumn("citations", C.resolve(F.col("_cited"), F.col("sources"), bare, strict=strict_markers))
-    facts = facts.withColumn("flags", _flags(template, F.col("_requested")))
+    facts = C.with_citations(facts, text, bare, strict=strict_markers)
+    facts = facts.withColumns(_genes(columns)).withColumn("flags", _flags(template, F.col("_requested")))
+    # Most rows have no flag, or are told so by the array's maximum without a lambda.
+    facts = facts.withColumn("flags", F.when(F.array_max("flags").isNull(), F.array().cast("array<string>")).otherwise(F.array_compact("flags")))
     for c in _of_class(columns, vocab.METHOD):
         cleared = F.when(F.lower(F.trim(A.value(c))).isin(*vocab.NOT_A_METHOD), "").otherwise(A.value(c))
         facts = facts.withColumn("values", F.col("values").withField(f"`{c}`", cleared))
-    facts = facts.withColumn("standard", _standard(columns))
-    return facts.drop("_cited", "_requested", "cells", "delimiter", "sources", "ambiguous")
+    facts = _standard(facts, columns)
+    return facts.drop("_cited", "_requested", "_known", "_ranks", *_genes(columns), "cells", "delimiter", "ambiguous")
 
 
 def kept(facts: DataFrame) -> DataFrame:
@@ -127,10 +150,11 @@ def kept(facts: DataFrame) -> DataFrame:
 
 def extract_text(answers: DataFrame) -> DataFrame:
     """Prose answers: one row with the text and its citations."""
-    return answers.select(
+    known = answers.withColumns({"_known": C.citations_of(F.col("sources")), "_ranks": F.col("sources")["source_rank"]})
+    return C.with_citations(known, F.col("answer")).select(
         *[c for c in answers.columns if c not in ("answer", "sources")],
         F.struct(F.coalesce("answer", F.lit("")).alias("Answer")).alias("values"),
-        C.resolve(F.col("answer"), F.col("sources")).alias("citations"),
+        "citations",
     )
 
 

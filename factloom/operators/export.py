@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import citations as C
-from factloom.operators.merge import display
+from factloom.operators.merge import display, facts_of, members
 from factloom.session import moved, removed
 
 # The names of the exported columns.
@@ -26,6 +26,8 @@ PROVENANCE = (
     "_retrieved_at", "_request_id", "_generator", "_llm_endpoint", "_prompt_hash",
 )
 WIDEST = 34
+#: Specs whose queries share a record of `json_pages`.
+PAGE = 100_000
 FORMS = ("tsv", "csv", "json", "jsonl")
 
 
@@ -105,6 +107,25 @@ def json_records(facts: DataFrame, columns: Sequence[str], *, structured: bool =
     return facts.select(F.to_json(F.struct(*parts)).alias("value"))
 
 
+def json_pages(parts: DataFrame, template_id: str, columns: Sequence[str]) -> DataFrame:
+    """JSON texts of facts from their `merge` parts, whose query ids may be too many for one text.
+
+    A fact's record is that of `json_records`, with its `identity` and the `page` of its first
+    arrival, and holds that page's query ids; each other page is a record of identity, page
+    and query_ids. Page k is of the queries that came in places k * PAGE to (k + 1) * PAGE - 1
+    of the specs, so a fact's pages, one after the other, list its query ids by arrival.
+    """
+    page = lambda ord: F.floor(F.coalesce(F.col(ord)["spec_ord"], F.lit(0)) / PAGE).alias("page")
+    facts = facts_of(parts.filter("kind <> 'query'"), template_id, columns, listed=True).drop("query_ids", "n_queries").withColumn("page", page("first"))
+    asked = members(parts, "query").select("identity", page("first"), F.struct("first", "query_id").alias("q"))
+    pages = asked.groupBy("identity", "page").agg(F.sort_array(F.collect_list("q"))["query_id"].alias("query_ids"))
+    both = facts.withColumn("_fact", F.lit(True)).join(pages, ["identity", "page"], "full")
+    both = both.withColumn("query_ids", F.coalesce("query_ids", F.array().cast("array<string>")))
+    named = [F.col("values")[c].alias(c) for c in columns]
+    named += [F.when(F.col("_fact"), v).alias(n) for n, v in (("citations", F.col("citations")), ("chunk_ids", chunk_ids(F.col("citations"))), ("standard", F.col("standard")), ("flags", F.col("flags")), ("n_support", F.col("n_support")), ("variants", F.col("variants")))]
+    return both.select(F.to_json(F.struct(*named, "query_ids", "identity", "page")).alias("value"))
+
+
 def source_summary(sources: DataFrame) -> DataFrame:
     """What an answer's reader is told about each source."""
     meta = [F.col("metadata")[c].alias(c) for c in ("start_char", "end_char")]

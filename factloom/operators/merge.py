@@ -6,11 +6,13 @@ last arrival and its number of rows. Parts are mergeable: minima, maxima and sum
 split of the rows, in any order, give the parts of the whole, so that facts may be merged at
 once (`merge_facts`) or batch by batch (`streaming.facts`).
 
-Parts are reduced by the identity as written before anything is normalised, with partial
-aggregation, so each spelling is normalised once and a fact that a third of all rows state
-is one record for each distinct part before it is gathered. `facts_of` gathers what its
-spellings and flags bound; queries and citations, which grow with the rows, are counted, and
-listed as arrays only where asked for; `members` gives them as keyed tables.
+Each spelling of an identity is normalised once, and rows get theirs by a join. Rows that
+say the same, whatever their place, query and citations, become one before they are taken
+apart, with partial aggregation in hash tables, so a fact that a third of all rows state is
+one record for each distinct wording before it is gathered; queries and citations, which
+grow with the rows, go their own way. `facts_of` gathers what its spellings and flags bound;
+queries and citations are counted, and listed as arrays only where asked for; `members`
+gives them as keyed tables.
 
 Variants compare each arrival with the running representative, so distinct spellings are
 replayed in order, at their first and at their last arrival.
@@ -26,9 +28,13 @@ from pyspark.sql import functions as F
 from factloom.functions import vocab
 from factloom.functions.normalize import normalize_cell
 from factloom.operators.citations import chunk_key, distinct_by, document_key
-from factloom.session import spread
+from factloom.session import spread, stage
 
 ORDER = ("spec_ord", "row_ord", "split_ord")
+_PLACE = "struct<spec_ord:bigint,row_ord:int,split_ord:int>"
+#: Row and split places below this are refused, so that any place fits a decimal; fixed values.
+LOWEST = -500_000_000
+_INTS = 2**31 - LOWEST + 1
 
 
 def identity_columns(template_id: str, columns: Sequence[str]) -> list[str]:
@@ -59,33 +65,36 @@ def support(rows: DataFrame, template_id: str, columns: Sequence[str]) -> DataFr
     return spread(spelled).groupBy(identity_key(template_id, columns).alias("identity")).agg(F.sum("_n").alias("n_support"))
 
 
-def _items(columns: Sequence[str], folded: Sequence[str], first: Sequence[str], citation_type: str) -> Column:
-    """All parts of a row, as one array."""
-    none = F.lit(None).cast(citation_type)
-    lead = F.struct(*[F.coalesce(F.col("values")[c], F.lit("")).alias(c) for c in first])
+def _item(kind: str | Column, at: Column, name: Column, text: Column, n: Column | None = None, rows: Column | None = None, lead: Column | None = None) -> Column:
+    none = F.lit(0).cast("bigint")
+    return F.struct(
+        F.lit(kind).alias("kind"), at.cast("int").alias("at"), name.alias("name"), text.alias("text"),
+        (none if n is None else n).alias("n"), (none if rows is None else rows).alias("rows"), (F.lit(None) if lead is None else lead).alias("lead"),
+    )
 
-    def item(kind: str, at: Column, name: Column, text: Column, payload: Column = none, row: bool = False) -> Column:
-        return F.struct(
-            F.lit(kind).alias("kind"), at.cast("int").alias("at"), name.alias("name"), text.alias("text"), payload.alias("payload"),
-            (F.col("n_support") if row else F.lit(0)).cast("bigint").alias("n"), F.lit(int(row)).cast("bigint").alias("rows"), (lead if row else F.lit(None)).alias("lead"),
-        )
 
+def _items(columns: Sequence[str], folded: Sequence[str], first: Sequence[str]) -> Column:
+    """All parts of what a row says, as one array; it stands for `rows` rows with `n` support."""
+    lead = F.struct(*[F.coalesce(F.col("values")[c], F.lit("")).alias(c) for c in first])
     empty = F.lit("")
-    whole = F.array(item("row", F.lit(0), empty, empty, row=True))
-    cells = [item("value", F.lit(i), F.lit(c), F.coalesce(F.col("values")[c], empty)) for i, c in enumerate(columns) if c in folded]
-    flags = F.transform("flags", lambda f, i: item("flag", i, f, empty))
-    queries = F.transform("query_ids", lambda q, i: item("query", i, q, empty))
-    passages = F.flatten(
-        F.transform(
-            "citations",
-            lambda c, i: F.when(F.size(c["chunks"]) > 0, F.transform(c["chunks"], lambda k: item("citation", i, F.concat_ws("\x1f", F.col("_source"), chunk_key(k)), _document(c), c.withField("chunks", F.array(k))))).otherwise(
-                F.array(item("citation", i, F.col("_source"), _document(c), c))
-            ),
-        )
-    )
-    notations = F.transform(F.map_entries("standard"), lambda e, i: item("standard", i, e["key"], e["value"]))
-    old = F.flatten(F.transform(F.map_entries("variants"), lambda e: F.transform(e["value"], lambda v, i: item("variant", i, e["key"], v))))
-    return F.concat(whole, flags, queries, passages, notations, old, *([F.array(*cells)] if cells else []))
+    whole = F.array(_item("row", F.lit(0), empty, empty, F.col("n"), F.col("rows"), lead))
+    cells = [_item("value", F.lit(i), F.lit(c), F.coalesce(F.col("values")[c], empty)) for i, c in enumerate(columns) if c in folded]
+    flags = F.transform("flags", lambda f, i: _item("flag", i, f, empty))
+    notations = F.transform("standard", lambda e, i: _item("standard", i, e["key"], e["value"]))
+    old = F.flatten(F.transform("variants", lambda e: F.transform(e["value"], lambda v, i: _item("variant", i, e["key"], v))))
+    return F.concat(whole, flags, notations, old, *([F.array(*cells)] if cells else []))
+
+
+def _passages() -> Column:
+    """at, name, text and payload of each passage that a row cites, or of a citation without passages."""
+    def passage(c: Column, i: Column, name: Column, payload: Column) -> Column:
+        return F.struct(i.cast("int").alias("at"), name.alias("name"), _document(c).alias("text"), payload.alias("payload"))
+
+    def of(c: Column, i: Column) -> Column:
+        each = F.transform(c["chunks"], lambda k: passage(c, i, F.concat_ws("\x1f", F.col("_source"), chunk_key(k)), c.withField("chunks", F.array(k))))
+        return F.when(F.size(c["chunks"]) > 0, each).otherwise(F.array(passage(c, i, F.col("_source"), c)))
+
+    return F.flatten(F.transform("citations", of))
 
 
 def _document(c: Column) -> Column:
@@ -131,27 +140,83 @@ def _reduced(parts: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def _packed() -> Column:
+    """A row's place as one number in the order of ORDER, nulls first.
+
+    Minima of numbers are kept in hash tables; those of structs would have all rows sorted.
+    """
+    def place(name: str) -> Column:
+        refused = F.raise_error(F.concat(F.lit(f"{name} is below {LOWEST}: "), F.col(name).cast("string"))).cast("bigint")
+        return F.coalesce(F.when(F.col(name) < LOWEST, refused).otherwise(F.col(name).cast("bigint") - LOWEST + 1), F.lit(0).cast("bigint"))
+
+    spec = F.coalesce(F.col(ORDER[0]).cast("decimal(20,0)"), F.lit(str(-(2**63) - 1)).cast("decimal(20,0)"))
+    tail = place(ORDER[1]) * _INTS + place(ORDER[2])
+    return spec * F.lit(str(_INTS**2)).cast("decimal(19,0)") + tail.cast("decimal(19,0)")
+
+
+def _unpacked(packed: Column) -> Column:
+    """The place that `_packed` made a number of."""
+    square = F.lit(str(_INTS**2)).cast("decimal(19,0)")
+    tail = F.pmod(packed, square).cast("bigint")
+    known = packed >= F.lit(str(-(2**63) * _INTS**2)).cast("decimal(38,0)")
+    spec = F.when(known, ((packed - tail.cast("decimal(19,0)")) / square).cast("bigint"))
+    place = lambda x: F.when(x > 0, (x + LOWEST - 1).cast("int"))
+    split = F.pmod(tail, F.lit(_INTS))
+    row = ((tail - split).cast("decimal(19,0)") / F.lit(_INTS).cast("decimal(10,0)")).cast("bigint")
+    return F.struct(spec.alias(ORDER[0]), place(row).alias(ORDER[1]), place(split).alias(ORDER[2]))
+
+
+def _identified(rows: DataFrame, template_id: str, columns: Sequence[str]) -> DataFrame:
+    """Rows with their `identity`. The table of spellings is staged, so that Spark knows its size and broadcasts a small one."""
+    names = identity_columns(template_id, columns)
+    rows = rows.withColumn("_written", F.struct(*[F.col("values")[c].alias(f"c{i}") for i, c in enumerate(names)]))
+    spelled = rows.select("_written").distinct()
+    values = F.struct(*[F.col("_written")[f"c{i}"].alias(c) for i, c in enumerate(names)])
+    # One row for each spelling; normalising is what costs, so they go over all tasks.
+    named = spread(spelled).withColumn("values", values).select(F.col("_written").alias("_spelled"), identity_key(template_id, columns).alias("identity"))
+    return rows.join(stage(named, "merge-names"), F.col("_written").eqNullSafe(F.col("_spelled"))).drop("_written", "_spelled")
+
+
 def fact_parts(rows: DataFrame, template_id: str, columns: Sequence[str], *, queries: bool = True) -> DataFrame:
     """Mergeable parts: identity, kind, name, text, early, late, payload, n, rows, lead.
 
     queries: with a part for each query of a fact, which nothing reduces; without them
-    facts know nothing of their number. Rows are spread first: a row is several parts,
-    which are sorted, and a scan's task has too many of short rows.
+    facts know nothing of their number. Rows are read once for each of their spellings,
+    wordings, queries and, where they have such a column, citations; `stage` them before
+    where they are dear.
     """
-    rows = _prepared(spread(rows, *[c for c in ("query_id", *ORDER) if c in rows.columns]))
-    if not queries:
-        rows = rows.withColumn("query_ids", F.array().cast("array<string>"))
-    citation_type = rows.schema["citations"].dataType.elementType.simpleString()
+    cited = "citations" in rows.columns
+    rows = _prepared(rows)
+    citation = rows.schema["citations"].dataType.elementType
+    rows = _identified(rows, template_id, columns)
     folded, first = _split(template_id, columns)
-    written = F.struct(*[F.col("values")[c].alias(c) for c in identity_columns(template_id, columns)])
-    items = rows.select(written.alias("written"), F.struct(*ORDER).alias("ord"), F.inline(_items(columns, folded, first, citation_type)))
+    said = rows.select(
+        "identity", F.struct(*[F.col("values")[c].alias(c) for c in columns]).alias("values"), "flags", F.map_entries("standard").alias("standard"),
+        F.map_entries("variants").alias("variants"), F.col("n_support").cast("bigint").alias("n_support"), _packed().alias("_place"),
+    )
+    said = said.groupBy("identity", "values", "flags", "standard", "variants").agg(
+        F.min("_place").alias("_early"), F.max("_place").alias("_late"), F.sum("n_support").alias("n"), F.count("*").alias("rows")
+    )
+    # Few rows are left, of which each is several parts.
+    said = spread(said).withColumns({"_early": _unpacked(F.col("_early")), "_late": _unpacked(F.col("_late"))})
+    items = said.select("identity", "_early", "_late", F.inline(_items(columns, folded, first)))
+    when = lambda ord: F.struct(F.col(ord).alias("ord"), F.col("at"))
+    parts = _reduced(items.withColumns({"early": when("_early"), "late": when("_late"), "payload": F.lit(None).cast(citation)}), "identity")
+    lead, place = parts.schema["lead"].dataType, F.struct(*ORDER).cast(_PLACE)
+    others = []
     at = F.struct("ord", "at")
-    items = items.select("written", "kind", "name", "text", at.alias("early"), at.alias("late"), "payload", "n", "rows", "lead")
-    by_spelling = _reduced(items, "written")
-    # One row for each spelling; normalising is what costs, so they go over all tasks.
-    named = spread(by_spelling.filter("kind = 'row'").select(F.col("written").alias("values")))
-    named = named.select(F.col("values").alias("_written"), identity_key(template_id, columns).alias("identity"))
-    return _reduced(by_spelling.join(named, F.col("written").eqNullSafe(F.col("_written"))), "identity")
+    if queries:
+        # By query, before anything else: a query states a fact once or a few times.
+        each = rows.select("identity", place.alias("ord"), F.posexplode("query_ids").alias("at", "name"))
+        others.append(spread(each, "identity", "name").groupBy("identity", F.lit("query").alias("kind"), "name", F.lit("").alias("text")).agg(
+            F.min(at).alias("early"), F.max(at).alias("late"), F.lit(None).cast(citation).alias("payload")))
+    if cited:
+        each = rows.select("identity", place.alias("ord"), F.inline(_passages())).withColumn("early", at)
+        others.append(each.groupBy("identity", F.lit("citation").alias("kind"), "name", "text").agg(F.min(at).alias("early"), F.max(at).alias("late"), F.min_by("payload", "early").alias("payload")))
+    nothing = {"n": F.lit(0).cast("bigint"), "rows": F.lit(0).cast("bigint"), "lead": F.lit(None).cast(lead)}
+    for other in others:
+        parts = parts.unionByName(other.withColumns(nothing))
+    return parts
 
 
 def combine(*parts: DataFrame) -> DataFrame:
@@ -180,9 +245,12 @@ def facts_of(parts: DataFrame, template_id: str, columns: Sequence[str], *, list
     normal = F.lit("")
     for c in folded:
         normal = F.when((F.col("kind") == "value") & (F.col("name") == c), normalize_cell(c, F.col("text"))).otherwise(normal)
-    short = ("value", "flag", "standard", "variant")
-    part = F.struct("early", "late", "kind", "name", "text", "norm", *(["payload"] if listed else []))
-    gathered = part if listed else F.when(F.col("kind").isin(*short), part)
+    # What is short is folded by several passes over it; long lists stay apart.
+    part = F.struct("early", "late", "kind", "name", "text", "norm")
+    gathered = lambda part, *kinds: F.sort_array(F.collect_list(F.when(F.col("kind").isin(*kinds), part)))
+    lists = [
+        gathered(F.struct("early", "late", "name", "text", "payload"), "citation").alias("_cited"), gathered(F.struct("early", "late", "name"), "query").alias("_queries"),
+    ] if listed else []
     counted = lambda kind: F.count_if(F.col("kind") == kind)
     facts = parts.withColumn("norm", normal).groupBy("identity").agg(
         F.min(F.when(F.col("kind") == "row", F.col("early.ord"))).alias("first"),
@@ -191,7 +259,7 @@ def facts_of(parts: DataFrame, template_id: str, columns: Sequence[str], *, list
         F.min_by("lead", F.when(F.col("kind") == "row", F.col("early"))).alias("_lead"),
         counted("query").alias("n_queries"),
         counted("citation").alias("n_passages"),
-        F.array_sort(F.collect_list(gathered)).alias("items"),
+        gathered(part, "value", "flag", "standard", "variant").alias("items"), *lists,
     )
     return _assembled(facts, template_id, columns, folded, listed)
 
@@ -255,7 +323,7 @@ def _assembled(facts: DataFrame, template_id: str, columns: Sequence[str], folde
     standard = distinct_by(F.transform(_of("standard"), lambda x: F.struct(x["name"].alias("key"), x["text"].alias("value"))), lambda e: e["key"])
     lists = []
     if listed:
-        cited = _of("citation")
+        cited = F.col("_cited")
 
         def paper(key: Column) -> Column:
             own = F.filter(cited, lambda x: x["text"] == key)
@@ -263,7 +331,7 @@ def _assembled(facts: DataFrame, template_id: str, columns: Sequence[str], folde
             return F.get(own, F.lit(0))["payload"].withField("chunks", chunks)
 
         documents = F.array_distinct(F.transform(cited, lambda x: x["text"]))
-        lists = [F.transform(documents, paper).alias("citations"), F.array_distinct(F.transform(_of("query"), lambda x: x["name"])).alias("query_ids")]
+        lists = [F.transform(documents, paper).alias("citations"), F.transform("_queries", lambda x: x["name"]).alias("query_ids")]
     return facts.select(
         "identity", "first", F.lit(template_id).alias("template_id"), F.struct(*[cell(c) for c in columns]).alias("values"), flags.alias("flags"), "n_support",
         F.map_from_entries(standard).alias("standard"), variants.alias("variants"), "n_queries", "n_passages", *lists,

@@ -82,4 +82,4 @@ class Curation:
     def facts(self, specs: DataFrame, passages: DataFrame, *, listed: bool = True) -> DataFrame:
         """Merged facts of a table template over all specs."""
         rows, _ = self.rows(specs, passages)
-        return merge.merge_facts(rows, self.template.id, self.template.columns, listed=listed)
+        return merge.merge_facts(stage(rows, "run-rows"), self.template.id, self.template.columns, listed=listed)

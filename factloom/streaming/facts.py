@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from factloom.operators.merge import combine, fact_parts, facts_of
+from factloom.session import release, stage
 
 #: A folder holds the parts of the batches from `since` to `upto`.
 _SPAN = ("since", "upto")
@@ -28,7 +29,9 @@ def _folder(path: str, since: int, upto: int) -> str:
 
 def write_batch(rows: DataFrame, number: int, path: str, template_id: str, columns: Sequence[str]) -> None:
     """The parts of one batch; writing a number again replaces it."""
-    fact_parts(rows, template_id, columns).write.mode("overwrite").parquet(_folder(path, number, number))
+    own = stage(rows, "batch-rows")
+    fact_parts(own, template_id, columns).write.mode("overwrite").parquet(_folder(path, number, number))
+    release(own)
 
 
 def start(rows: DataFrame, path: str, checkpoint: str, template_id: str, columns: Sequence[str], **trigger) -> StreamingQuery:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import vocab
-from factloom.functions.normalize import normalize_cell
+from factloom.functions.normalize import normalize_cell, own_gene
 from factloom.operators.citations import chunk_key, distinct_by, document_key
 from factloom.session import spread, stage
 
@@ -54,15 +54,36 @@ def identity_key(template_id: str, columns: Sequence[str], values: str = "values
     return F.array(F.lit(template_id), *[normalize_cell(c, value(c), gene) for c in identity])
 
 
-def support(rows: DataFrame, template_id: str, columns: Sequence[str]) -> DataFrame:
-    """Identity and number of supporting rows.
+def _normalised(spelled: DataFrame, template_id: str, columns: Sequence[str]) -> DataFrame:
+    """Staged spellings (`values`) with their `identity`.
 
-    Rows are counted by spelling first, so each distinct spelling is normalised once, and
-    spellings are spread over all tasks, since normalising is what costs.
+    Each distinct cell is normalised once, a notation once for each gene that it may name, so
+    that it doesn't matter how many spellings the cells make up together. What is normalised
+    is staged, so that Spark knows its size and broadcasts a small table; spread, for it is
+    what costs.
     """
+    identity = identity_columns(template_id, columns)
+    gene = next((c for c in identity if c.strip().lower() in vocab.KEY_GENE), None)
+    for i, c in enumerate(identity):
+        own, told = f"_own{i}", f"_told{i}"
+        value = F.col("values")[c]
+        of = own_gene(value, F.col("values")[gene]) if gene and c.strip().lower() in vocab.NOTATION else F.lit(None).cast("string")
+        spelled = spelled.withColumn(own, F.struct(value.alias("v"), of.alias("g")))
+        cells = spread(spelled.select(own).distinct()).select(F.col(own).alias("_cell"), normalize_cell(c, F.col(own)["v"], F.col(own)["g"]).alias(told))
+        spelled = spelled.join(stage(cells, "merge-cells"), F.col(own).eqNullSafe(F.col("_cell"))).drop("_cell", own)
+    told = {c: F.col(f"_told{i}") for i, c in enumerate(identity)}
+    pair = vocab.SYMMETRIC.get(template_id) or ()
+    pair = pair if pair and all(c in identity for c in pair) else ()
+    key = F.array(F.lit(template_id), *[told[c] for c in identity if c not in pair])
+    key = F.concat(key, F.array_sort(F.array(*[told[c] for c in pair]))) if pair else key
+    return spelled.withColumn("identity", key).drop(*[f"_told{i}" for i in range(len(identity))])
+
+
+def support(rows: DataFrame, template_id: str, columns: Sequence[str]) -> DataFrame:
+    """Identity and number of supporting rows, which are counted by spelling first."""
     parts = [F.col("values")[c].alias(c) for c in identity_columns(template_id, columns)]
-    spelled = rows.groupBy(F.struct(*parts).alias("values")).agg(F.count("*").alias("_n"))
-    return spread(spelled).groupBy(identity_key(template_id, columns).alias("identity")).agg(F.sum("_n").alias("n_support"))
+    spelled = stage(rows.groupBy(F.struct(*parts).alias("values")).agg(F.count("*").alias("_n")), "merge-spellings")
+    return _normalised(spelled, template_id, columns).groupBy("identity").agg(F.sum("_n").alias("n_support"))
 
 
 def _item(kind: str | Column, at: Column, name: Column, text: Column, n: Column | None = None, rows: Column | None = None, lead: Column | None = None) -> Column:

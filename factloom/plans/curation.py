@@ -73,7 +73,8 @@ FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey
 
 def norm_mutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     spelled = table(spark, sf_dir, "lineitem").groupBy(_spelling().alias("v"), _gene().alias("g")).agg(F.count("*").alias("n"))
-    return spread(spelled).groupBy(N.normalize_mutation(F.col("v"), F.col("g")).alias("mutation")).agg(F.sum("n").alias("n"))
+    distinct = spread(spelled.groupBy("v", N.own_gene(F.col("v"), F.col("g")).alias("g")).agg(F.sum("n").alias("n")))
+    return distinct.groupBy(N.normalize_mutation(F.col("v"), F.col("g")).alias("mutation")).agg(F.sum("n").alias("n"))
 
 
 def _choice(key: Column, values: list[str]) -> Column:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from factloom.functions.normalize import expand_mutation, normalize_mutation, own_gene
 from factloom.operators import export, merge
 from tests.test_streams import COLUMNS, SCHEMA, claims
 
@@ -42,3 +43,24 @@ def test_any_place_is_kept(spark):
     assert ranked == [tuple(r) for r in own.drop("p").orderBy(F.struct(*merge.ORDER)).collect()]
     with pytest.raises(PySparkException, match="row_ord is below"):
         spark.createDataFrame([(0, merge.LOWEST - 1, 0)], "spec_ord bigint, row_ord int, split_ord int").select(merge._packed()).collect()
+
+
+def test_a_gene_that_a_cell_does_not_name_is_left_out(spark):
+    cells = ["S315T", "katG-S315T", "katGS315T", "KatG: Ser315Thr", "kat->G S315T", "p.Ser315Thr (S315T)", "S315T (katG S315T)", "katG S315T/N", "serine 315 to threonine", "c.-15C>T", "se-S1T", "N/A", "", None]
+    genes = ["katG", "katG gene", "gyrA", "Se", "s", "-", " ", "", None]
+    pairs = spark.createDataFrame([(v, g) for v in cells for g in genes], "v string, g string").withColumn("own", own_gene(F.col("v"), F.col("g")))
+    told = pairs.select("v", "g", "own", *[f(F.col("v"), F.col(g)).alias(f"{f.__name__}_{g}") for f in (normalize_mutation, expand_mutation) for g in ("g", "own")]).collect()
+    for r in told:
+        assert r.normalize_mutation_g == r.normalize_mutation_own and r.expand_mutation_g == r.expand_mutation_own, r
+    assert {(r.v, r.g): r.own for r in told}["S315T", "katG"] is None and {(r.v, r.g): r.own for r in told}["kat->G S315T", "katG gene"] == "katG gene"
+
+
+def test_a_notation_is_normalised_once_for_all_genes(spark, monkeypatch):
+    staged = []
+    keep = merge.stage
+    monkeypatch.setattr(merge, "stage", lambda df, name, **said: staged.append((name, keep(df, name, **said))) or staged[-1][1])
+    values = [(o, f"gene{g}", m, "", "", "") for o in ("M. x", "M. y") for g in range(6) for m in ("Ser3Thr", "S3T (seen)", "gene3-S3T")]
+    rows = spark.createDataFrame([(v,) for v in values], f"values struct<{', '.join(f'`{c}`: string' for c in COLUMNS)}>")
+    told = {tuple(r.identity[1:]): r.n_support for r in merge.support(rows, "mutation", COLUMNS).collect()}
+    assert told == {(o, f"gene{g}", "S3T"): 3 for o in ("m x", "m y") for g in range(6)}
+    assert sorted(df.count() for name, df in staged if name == "merge-cells") == [2, 4, 6]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.normalize import expand_mutation, genus
-from factloom.session import unnested
+from factloom.session import spread, unnested
 
 
 def outcomes(found: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -49,12 +49,18 @@ def _marks(rows: DataFrame, side: str, organism: Column, gene: Column, counts: C
     keys = F.transform(found, lambda m: mark("key", organism, F.lower(F.trim(gene)), m))
     named = F.when(F.size(found) == 0, F.array(mark("lost", none, none, none))).otherwise(keys)
     marks = F.when(counts, F.concat(F.array(mark("row", none, none, none)), named))
-    return unnested(rows.withColumn("_marks", marks), "_marks", "m").select(F.lit(side).alias("side"), "m.*")
+    return unnested(rows.withColumn("_marks", marks), "_marks", "m", "_n").select(F.lit(side).alias("side"), "m.*", "_n")
+
+
+def _counted(rows: DataFrame, *columns: str) -> DataFrame:
+    """Distinct rows with their number `_n`: expanding a cell is what costs, so equal ones are expanded once, and spread."""
+    return spread(rows.groupBy(*columns).agg(F.count("*").alias("_n")))
 
 
 def catalog_marks(catalog: DataFrame) -> DataFrame:
-    """Marks of a catalog (subtype, allele, gene_family, whitelisted_taxa): point alleles that
-    name a gene; what follows an allele's last underscore is its change."""
+    """Marks of a catalog (subtype, allele, gene_family, whitelisted_taxa), `_n` of each: point
+    alleles that name a gene; what follows an allele's last underscore is its change."""
+    catalog = _counted(catalog, "subtype", "allele", "gene_family", "whitelisted_taxa")
     allele, gene = F.trim("allele"), F.trim("gene_family")
     counts = (F.trim("subtype") == "POINT") & (allele != "") & (gene != "")
     named = catalog.withColumn("_found", F.when(counts, expand_mutation(F.substring_index(allele, "_", -1), gene)))
@@ -62,7 +68,8 @@ def catalog_marks(catalog: DataFrame) -> DataFrame:
 
 
 def prediction_marks(rows: DataFrame) -> DataFrame:
-    """Marks of exported rows (Organism, `Gene Name`, Mutation, _standard_notation): the cell, or else its standard form, names the changes."""
+    """Marks of exported rows (Organism, `Gene Name`, Mutation, _standard_notation), `_n` of each: the cell, or else its standard form, names the changes."""
+    rows = _counted(rows, "Organism", "`Gene Name`", "Mutation", "_standard_notation")
     gene = F.trim(F.coalesce("`Gene Name`", F.lit("")))
     none = F.array().cast("array<string>")
     # Columns one after the other: nested in one expression they would be too deep to analyse.
@@ -89,7 +96,7 @@ def report(predictions: DataFrame, catalog: DataFrame, asked: DataFrame) -> Data
     nobody asked for isn't missed. Keys are gene and mutation, and with the organism's genus.
     """
     marks = prediction_marks(predictions).unionByName(catalog_marks(catalog))
-    counted = marks.groupBy("side", "what", "organism", "gene", "mutation").agg(F.count("*").alias("n"))
+    counted = marks.groupBy("side", "what", "organism", "gene", "mutation").agg(F.sum("_n").alias("n"))
     on = lambda side: F.col("side") == side
     total = lambda side, what: F.coalesce(F.sum(F.when(on(side) & (F.col("what") == what), F.col("n"))), F.lit(0))
     sizes = counted.agg(

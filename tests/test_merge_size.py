@@ -9,7 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from factloom.functions.normalize import expand_mutation, normalize_mutation, own_gene
-from factloom.operators import export, merge
+from factloom.operators import export, merge, score
 from tests.test_streams import COLUMNS, SCHEMA, claims
 
 
@@ -64,3 +64,9 @@ def test_a_notation_is_normalised_once_for_all_genes(spark, monkeypatch):
     told = {tuple(r.identity[1:]): r.n_support for r in merge.support(rows, "mutation", COLUMNS).collect()}
     assert told == {(o, f"gene{g}", "S3T"): 3 for o in ("m x", "m y") for g in range(6)}
     assert sorted(df.count() for name, df in staged if name == "merge-cells") == [2, 4, 6]
+
+
+def test_equal_rows_are_expanded_once(spark):
+    rows = spark.createDataFrame([("E. coli", "gyrA", "Ser83Leu", "")] * 50 + [("E. coli", "gyrA", "loss", "")] * 3, "Organism string, `Gene Name` string, Mutation string, _standard_notation string")
+    marks = [tuple(r) for r in score.prediction_marks(rows).select("what", "mutation", "_n").collect()]
+    assert sorted(marks, key=str) == sorted([("row", None, 50), ("key", "S83L", 50), ("row", None, 3), ("lost", None, 3)], key=str)

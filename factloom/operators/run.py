@@ -45,8 +45,10 @@ class Curation:
         own = passages.filter(retrieve.wanted(self.filters))
         text = context.search_text(F.col("organism"), F.col("genes"), F.col("other_terms"), self.template)
         asked = specs.select("query_id", text.alias("search_text"))
-        ranked = retrieve.rank(retrieve.bm25(own, asked, known=self.known).join(specs.select("query_id", "top_k"), "query_id"), F.col("top_k"))
-        found = ranked.drop("top_k").join(own.select("chunk_id", "doc_id", "content", "collection", "metadata"), "chunk_id")
+        most = max(specs.agg(F.max("top_k")).first()[0] or 0, 1)
+        best = retrieve.bm25_top(own, asked, most, known=self.known).join(specs.select("query_id", "top_k"), "query_id").filter("source_rank <= top_k")
+        # Staged, so that Spark knows how few they are, and no passage's text is shuffled to meet them.
+        found = stage(best.drop("top_k"), "run-ranked").join(own.select("chunk_id", "doc_id", "content", "collection", "metadata"), "chunk_id")
         block = context.source_block(F.col("source_rank"), F.col("metadata.title"), F.col("metadata.pmid"), F.col("metadata.doi"), F.col("content"))
         sized = found.withColumns({"block": block, "n_sources": F.count("*").over(Window.partitionBy("query_id"))}).withColumn("block_chars", F.char_length("block"))
         room = context.context_chars(context.context_tokens(self.window, context.output_tokens(self.template, F.col("n_sources"))))

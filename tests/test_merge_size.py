@@ -9,7 +9,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from factloom.functions.normalize import expand_mutation, normalize_mutation, own_gene
-from factloom.operators import export, merge, score
+from factloom.operators import export, merge, run, score
+from factloom.schema import METADATA, Template
 from tests.test_streams import COLUMNS, SCHEMA, claims
 
 
@@ -70,3 +71,14 @@ def test_equal_rows_are_expanded_once(spark):
     rows = spark.createDataFrame([("E. coli", "gyrA", "Ser83Leu", "")] * 50 + [("E. coli", "gyrA", "loss", "")] * 3, "Organism string, `Gene Name` string, Mutation string, _standard_notation string")
     marks = [tuple(r) for r in score.prediction_marks(rows).select("what", "mutation", "_n").collect()]
     assert sorted(marks, key=str) == sorted([("row", None, 50), ("key", "S83L", 50), ("row", None, 3), ("lost", None, 3)], key=str)
+
+
+def test_a_run_ranks_without_pairs_and_joins_few_passages(spark):
+    text = [("d1", "alpha beta"), ("d2", "alpha gamma"), ("d3", "alpha"), ("d4", "delta")]
+    meta = F.from_json(F.lit("{}"), METADATA).alias("metadata")
+    passages = spark.createDataFrame(text, "chunk_id string, content string").select("chunk_id", F.col("chunk_id").alias("doc_id"), "content", F.lit("c").alias("collection"), meta)
+    specs = spark.createDataFrame([("q1", "alpha", 2), ("q2", "alpha beta", 1), ("q3", "delta", 0)], "query_id string, organism string, top_k int").withColumns({"genes": F.lit(""), "other_terms": F.lit("")})
+    found = run.Curation(Template("mutation", columns=COLUMNS), lambda prompt, most: {"text": ""}).sources(specs, passages)
+    assert sorted((r.query_id, r.chunk_id, r.source_rank) for r in found.collect()) == [("q1", "d1", 2), ("q1", "d3", 1), ("q2", "d1", 1)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [chunk_id" in plan and "SortMergeJoin [chunk_id" not in plan

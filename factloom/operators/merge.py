@@ -207,7 +207,7 @@ def fact_parts(rows: DataFrame, template_id: str, columns: Sequence[str], *, que
     where they are dear.
     """
     cited = "citations" in rows.columns
-    rows = _prepared(rows)
+    rows = _prepared(rows.drop("identity"))  # merged rows bring one
     citation = rows.schema["citations"].dataType.elementType
     rows = _identified(rows, template_id, columns)
     folded, first = _split(template_id, columns)
